@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import mixing, packing, simhash_dedup, token_counts
 
-MODULES = (token_counts, packing)
+MODULES = (token_counts, packing, mixing, simhash_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.SQL.items()}
