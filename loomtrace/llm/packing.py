@@ -14,10 +14,12 @@ rows are packed as documents of their own; other columns are not read, so their
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark import TaskContext
@@ -26,23 +28,59 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-CACHE_ENTRIES = 300_000
+#: Words that a worker remembers at most; beyond it the table starts anew.
+CACHE_ENTRIES = 600_000
+#: The vocabulary's pattern and word-end mark.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+#: A byte that UTF-8 never holds.
+MARK = b"\xff"
+#: Letters below have one lower-case form and no combining marks, but for one.
+BEYOND_LATIN, DOTTED_I = "\u0250", "\u0130"
 #: Characters that Python's split() takes for white space and the library does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class WordTokenizer:
-    """Ids of whole texts as the library gives them. The vocabulary's pattern never spans white space, so each
-    distinct blank-separated word is encoded once and remembered; texts with special strings are encoded whole."""
+    """Ids of whole texts as the library gives them. The vocabulary's pattern never spans white space, so each distinct
+    blank-separated word is encoded once and remembered.
+
+    Words of Latin letters go through the merges alone: a byte that no text holds marks the end of a word, so a last
+    byte with its mark is one symbol and the marked merges follow by rank. All other words, and texts with special strings, are
+    encoded by the library itself."""
 
     def __init__(self, vocabulary: str):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
+        from .token_counts import byte_alphabet
+
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_padding()
         self.library.no_truncation()
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        with open(vocabulary, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, letter = model["vocab"], byte_alphabet()
+        back = {c: b for b, c in letter.items()}
+
+        def raw(symbol: str) -> bytes:
+            whole = symbol.endswith(WORD_END)
+            return bytes(back[c] for c in (symbol[: -len(WORD_END)] if whole else symbol)) + MARK * whole
+
+        # Ranks: a byte with the mark comes first, single bytes are never made, then the merges in their order.
+        ranks = {bytes([b]) + MARK: b for b in range(255)} | {bytes([b]): 256 + b for b in range(256)}
+        found = [ids[letter[b] + WORD_END] for b in range(255)] + [0] + [ids[letter[b]] for b in range(256)]
+        for i, m in enumerate(model["merges"]):
+            x, y = m if isinstance(m, list) else m.split(" ")
+            ranks[raw(x) + raw(y)] = 512 + i
+            found.append(ids[x + y])
+        #: Little-endian bytes of the id of each rank.
+        self.ids = [i.to_bytes(4, "little") for i in found]
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.split = regex.compile(SPLIT)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -50,6 +88,25 @@ class WordTokenizer:
         found = self.library.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _piece(self, low: str) -> bytes:
+        return b"".join(map(self.ids.__getitem__, self.merge(low.encode() + MARK)))
+
+    def _learn(self, words: list[str]) -> None:
+        known, piece, odd = self.known, self._piece, []
+        for w in words:
+            if w.isascii() or max(w) < BEYOND_LATIN and DOTTED_I not in w:
+                low = w.lower()
+                if low.isalpha():
+                    known[w] = piece(low)
+                elif low[-1] in ",." and low[:-1].isalpha():
+                    known[w] = piece(low[:-1]) + piece(low[-1])
+                else:
+                    known[w] = b"".join(map(piece, self.split.findall(low)))
+            else:
+                odd.append(w)
+        for at in range(0, len(odd), 20_000):
+            known.update(zip(odd[at : at + 20_000], self._whole(odd[at : at + 20_000])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [not (SEPARATORS.search(t) or any(s in t for s in self.special)) for t in texts]
@@ -57,10 +114,7 @@ class WordTokenizer:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        missing = list({w for ws in words for w in ws if w not in known})
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            known.update(zip(some, self._whole(some)))
+        self._learn([w for w in set(chain.from_iterable(words)) if w not in known])
         get = known.__getitem__
         return [b"".join(map(get, ws)) if ok else self._whole([t])[0] for t, ok, ws in zip(texts, plain, words)]
 
@@ -133,8 +187,8 @@ def pack(
                 serial += 1
 
             keys, texts = b["k"].tolist(), b["t"].tolist()
-            for at in range(0, len(texts), 256):
-                for k, ids in zip(keys[at : at + 256], tok.encode(texts[at : at + 256])):
+            for at in range(0, len(texts), 1024):
+                for k, ids in zip(keys[at : at + 1024], tok.encode(texts[at : at + 1024])):
                     ids += tail
                     total = len(ids) // 4
                     piece = lambda s, n: (k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), total)  # noqa: B023, E731
