@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,8 @@ from . import shared
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Pre-tokens and token pairs that a worker remembers at most; beyond it the table starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
+NEVER = 1 << 60
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -52,6 +55,10 @@ class PrefixCounter:
         for i, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank[raw(a), raw(b)] = i
+        #: How each token is made: the rank of its merge and its two halves.
+        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
+        for (a, b), i in self.rank.items():
+            self.made.setdefault(a + b, (i, a, b))
         self.longest = max(map(len, self.tokens))
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
@@ -61,49 +68,58 @@ class PrefixCounter:
         self._beside: dict[tuple[bytes, bytes], bool] = {}
         self._totals: dict[str, int] = {}
 
-    def _merge(self, piece: bytes) -> list[bytes]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
     def _stand_beside(self, left: bytes, right: bytes) -> bool:
-        known = self._beside.get((left, right))
-        if known is None:
-            if len(self._beside) > CACHE_ENTRIES:
-                self._beside.clear()
-            known = self._beside[left, right] = self._merge(left + right) == [left, right]
-        return known
+        """Whether ``left`` and ``right`` stay apart: going back through the merges that made the tokens at their
+        border, no merge across it comes before those that take its two sides away. Equal merges go left to right."""
+        x, y, x_gone, y_gone = left, right, NEVER, NEVER
+        rank, made = self.rank, self.made
+        while True:
+            m = rank.get((x, y))
+            if m is not None and m < x_gone and m <= y_gone:
+                return False
+            x_made, y_made = made.get(x), made.get(y)
+            if x_made is not None and (y_made is None or x_made[0] > y_made[0]):
+                x_gone, x = x_made[0], x_made[2]
+            elif y_made is not None:
+                y_gone, y = y_made[0], y_made[1]
+            else:
+                return True
 
-    def piece_counts(self, piece: bytes) -> list[int]:
-        """Token counts of every byte prefix of one pre-token, index 0 to ``len(piece)``."""
+    def _extend(self, piece: bytes, shared: int, count: list[int], last: list[bytes]) -> None:
+        """Fill the tables of ``piece`` beyond its first ``shared`` bytes."""
         n, tokens, beside, longest = len(piece), self.tokens, self._beside, self.longest
-        count, last = [0] * (n + 1), [b""] * (n + 1)
-        for end in range(1, n + 1):
+        del count[shared + 1 :], last[shared + 1 :]
+        for end in range(shared + 1, n + 1):
             for start in range(max(0, end - longest), end):
                 t = piece[start:end]
                 if t in tokens:
-                    before = last[start]
-                    if not before:
-                        fits = len(t) == 1 or self._merge_cached(t)
-                    else:
-                        fits = beside.get((before, t))
+                    if start:
+                        pair = (last[start], t)
+                        fits = beside.get(pair)
                         if fits is None:
-                            fits = self._stand_beside(before, t)
+                            fits = beside[pair] = self._stand_beside(*pair)
+                    else:
+                        fits = True
                     if fits:
-                        count[end], last[end] = count[start] + 1, t
+                        count.append(count[start] + 1)
+                        last.append(t)
                         break
+
+    def piece_counts(self, piece: bytes) -> list[int]:
+        """Token counts of every byte prefix of one pre-token, index 0 to ``len(piece)``."""
+        count, last = [0], [b""]
+        self._extend(piece, 0, count, last)
         return count
 
-    def _merge_cached(self, t: bytes) -> bool:
-        known = self._beside.get((b"", t))
-        if known is None:
-            known = self._beside[b"", t] = self._merge(t) == [t]
-        return known
+    def learn(self, pieces: list[str]) -> None:
+        """Totals of new pre-tokens; in sorted order each goes on from the prefix that it shares with the one before."""
+        count, last, before, totals = [0], [b""], b"", self._totals
+        for piece in sorted(pieces):
+            data = piece.encode()
+            shared = len(commonprefix((before, data)))
+            self._extend(data, shared, count, last)
+            totals[piece] = count[-1]
+            before = data
 
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         if self.special is None or not any(s in text for s in self.special_heads):
@@ -113,23 +129,26 @@ class PrefixCounter:
             if part:
                 yield part, bool(k % 2)
 
-    def _total(self, piece: str) -> int:
-        if len(self._totals) > CACHE_ENTRIES:
-            self._totals.clear()
-        n = self._totals[piece] = self.piece_counts(piece.encode())[-1]
-        return n
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts: the entries of their longest prefixes."""
+        specials, plain = [0] * len(texts), []
+        for i, text in enumerate(texts):
+            parts = []
+            for part, special in self._segments(text):
+                if special:
+                    specials[i] += 1
+                else:
+                    parts += self.split.findall(part)
+            plain.append(parts)
+        known = self._totals
+        for table in (known, self._beside):
+            if len(table) > CACHE_ENTRIES:
+                table.clear()
+        self.learn([p for p in set(chain.from_iterable(plain)) if p not in known])
+        return [n + sum(map(known.__getitem__, parts)) for n, parts in zip(specials, plain)]
 
     def count(self, text: str) -> int:
-        """Tokens of the whole text: the entry of its longest prefix."""
-        total, known = 0, self._totals
-        for part, special in self._segments(text):
-            if special:
-                total += 1
-                continue
-            for piece in self.split.findall(part):
-                n = known.get(piece)
-                total += self._total(piece) if n is None else n
-        return total
+        return self.counts([text])[0]
 
     def _chars(self, piece: str) -> list[int]:
         """Counts after each character of a pre-token that begins where the pattern puts it."""
@@ -186,7 +205,7 @@ class PrefixCounter:
         at, spent = 0, 0
         for part, special in self._segments(text):
             for piece in [part] if special else self.split.findall(part):
-                n = 1 if special else self._totals.get(piece) or self._total(piece)
+                n = 1 if special else self._totals.get(piece) or self.piece_counts(piece.encode())[-1]
                 if spent + n > budget:
                     inside = [0] if special else [0, *self._chars(piece)]
                     return at + max(i for i, k in enumerate(inside) if spent + k <= budget)
@@ -208,8 +227,9 @@ def token_counts(docs: DataFrame, vocabulary: str, *, limit: int = 1024, key: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(vocabulary)
         for b in batches:
-            n = [c.count(t) for t in b["t"]]
-            cut = [c.cut(t, limit) if k > limit else len(t) for t, k in zip(b["t"], n)]
+            texts = b["t"].tolist()
+            n = [k for at in range(0, len(texts), 1000) for k in c.counts(texts[at : at + 1000])]
+            cut = [c.cut(t, limit) if k > limit else len(t) for t, k in zip(texts, n)]
             yield pd.DataFrame({key: b["k"], "n_bytes": b["n"], "n_tokens": n, "over_limit": [k > limit for k in n], "kept_chars": cut})
 
     t = F.coalesce(F.col(text), F.lit(""))
