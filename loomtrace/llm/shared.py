@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STAGED = "staged-"
+#: What the names of staged tables begin with.
+STAGED = "staged-"
+#: Staged tables of this process that have not been removed.
+_made: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{_STAGED}{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{STAGED}{label}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -47,20 +52,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def drop_staged(df: DataFrame) -> None:
     """Remove the staged table that ``df`` reads (a result of :func:`staged` that nothing reads any more)."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        if _STAGED in path:
-            delete(df.sparkSession, path)
+    files = df.inputFiles()[:1]
+    for path in [p for p in _made for f in files if p.rsplit("/", 1)[1] in f]:
+        delete(df.sparkSession, path)
+        _made.discard(path)
 
 
 def sweep(spark: SparkSession) -> None:
-    """Remove every staged table of this session's shared folder. Only for callers that have written what they keep."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(base):
-        for s in fs.listStatus(base):
-            if s.getPath().getName().startswith(_STAGED):
-                fs.delete(s.getPath(), True)
+    """Remove every staged table that this process has made. Only for callers that have written what they keep."""
+    while _made:
+        delete(spark, _made.pop())
 
 
 def clean_text(column: str = "text") -> F.Column:

@@ -52,15 +52,16 @@ def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
+    """(key, th, fp): fp is the fingerprint as a signed long; th, a hash of the text, tells rows of one key apart."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, words_per_shingle, seed) for t in b["t"]), np.uint64, len(b))
-            yield pd.DataFrame({key: b["k"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({key: b["k"], "th": b["th"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(key).alias("k"), shared.clean_text(text).cast("binary").alias("t")).mapInPandas(run, f"{key} {kind}, fp long")
+    t = shared.clean_text(text)
+    return docs.select(F.col(key).alias("k"), F.hash(t).alias("th"), t.cast("binary").alias("t")).mapInPandas(run, f"{key} {kind}, th int, fp long")
 
 
 def _within_two(bits: int) -> np.ndarray:
@@ -156,18 +157,19 @@ def near_links(prints: DataFrame, *, n: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id) for every row of ``docs``."""
+    """(key, fingerprint, component_id, group, th) for every row of ``docs``; ``group`` names the component whatever its
+    keys are, also where they are null or repeat."""
     prints = shared.staged(fingerprints(docs, key=key, text=text), "prints")
     nodes = shared.staged(prints.groupBy("fp").agg(F.min(key).alias("lead")), "nodes")
     roots = components(near_links(nodes.select("fp"), n=nodes.count()))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("lead").alias("component_id"))
-    labels = shared.staged(named.join(low, "root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = shared.staged(named.join(low, "root").select("fp", "component_id", "root"), "labels")
+    return prints.join(labels, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("group"), "th")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(shared.table(spark, sf_dir, "documents"))
+    return near_duplicates(shared.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}

@@ -285,14 +285,15 @@ def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[at], reach[np.r_[at[1:] - 1, len(s) - 1]]
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 200, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept, n_bytes, n_removed, n_spans, keep...): the bytes of every row that no repeat covers."""
+def remove_repeats(docs: DataFrame, *, window: int = 200, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(key, kept, n_bytes, n_removed, n_spans, keep...): the bytes of every row that no repeat covers. ``as_text`` gives
+    them as a string, without the bytes of characters that a cut has split."""
     spans = repeated_spans(docs, window=window, key=key, text=text)
     spans = spans.select(F.col("doc").alias("s_doc"), F.col("th").alias("s_th"), F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))
     packed = _packed(docs, key, text, keep)
     both = packed.join(spans, F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th")), "left").drop("s_doc", "s_th")
     carried = {f.name: f.dataType.simpleString() for f in packed.schema if f.name in keep}
-    schema = ", ".join([f"doc {packed.schema['doc'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long", *(f"`{n}` {k}" for n, k in carried.items())])
+    schema = ", ".join([f"doc {packed.schema['doc'].dataType.simpleString()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long", *(f"`{n}` {k}" for n, k in carried.items())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -315,6 +316,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
                     kept.append(b"".join(body[i:j] for i, j in zip(edges[::2], edges[1::2])))
                     removed.append(len(body) - len(kept[-1]))
                     runs.append(len(x))
+                if as_text:
+                    kept = [k.decode("utf-8", "ignore") for k in kept]
                 yield pd.DataFrame({"doc": part["doc"], "kept": kept, "n_bytes": size, "n_removed": removed, "n_spans": runs, **{n: part[n] for n in carried}})
 
     return both.mapInPandas(run, schema).withColumnRenamed("doc", key)
