@@ -103,20 +103,34 @@ def _tell_apart(rows: DataFrame, covered: list[DataFrame], limit: int) -> tuple[
     is left of keys with up to ``limit`` kinds, and of keys with more."""
     spark = rows.sparkSession
     same = ["key", "lo", "hi", "ch"]
-    rows = rows.withColumn("ch", F.xxhash64("ctx"))
-    kinds = shared.staged(rows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "a")).alias("rep"), F.first("ctx").alias("ctx")), "kinds")
+    rows = shared.staged(rows.withColumn("ch", F.xxhash64("ctx")), "halves")
+    place = [F.first(c).alias(c) for c in ("ctx", "x", "y")]
+    kinds = shared.staged(rows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "a")).alias("rep"), *place), "kinds")
     again = kinds.where("n > 1").select(*[F.col(c).alias("k_" + c) for c in same])
     on = F.lit(True)
     for c in same:
         on = on & (F.col(c) == F.col("k_" + c))
     covered.append(shared.staged(rows.drop("ctx").join(again, on).select("doc", "th", (F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + F.col("window")).alias("end")), "covered"))
     many = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("key", "k_key")
-    left = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "ctx", "kinds", "rep.doc", "rep.th", "rep.a")
+    left = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "ctx", "x", "y", "kinds", "rep.doc", "rep.th", "rep.a")
     left = shared.staged(left, "left")
+    shared.drop_staged(rows)
+    shared.drop_staged(kinds)
     _settle(spark)
     return left.where(F.col("kinds") <= limit).drop("kinds"), left.where(F.col("kinds") > limit).drop("kinds")
 
 
+def _half(hot: DataFrame, x: Column, y: Column, window: int) -> DataFrame:
+    """Contexts cut to the windows that begin x to y bytes from their anchor, keyed by the bytes that all those hold."""
+    part = hot.withColumn("nx", x).withColumn("ny", y).where("nx <= ny and lo <= ny and hi >= nx")
+    core = F.substring(F.col("ctx"), F.col("ny") - F.col("lo") + 1, F.col("nx") + window - F.col("ny"))
+    lo, hi = F.greatest(F.col("lo").cast("int"), "nx"), F.least(F.col("hi").cast("int"), "ny")
+    return part.select(
+        F.xxhash64("key", "nx", "ny", core).alias("key"), lo.cast("short").alias("lo"), hi.cast("short").alias("hi"),
+        F.substring(F.col("ctx"), lo - F.col("lo") + 1, hi - lo + window).alias("ctx"), "doc", "th", "a", F.col("nx").alias("x"), F.col("ny").alias("y"), F.lit(window).alias("window"),
+    )
+
+
 def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", text: str = "text", shard_kinds: int = SHARD_KINDS) -> DataFrame:
     """(doc, th, spans): the repeated bytes of each text that has any, as [start, end) pairs in no order, possibly
     overlapping. ``th`` is the 32-bit hash of the text, null as empty."""
@@ -146,7 +160,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
             yield out[["key", "ch", "doc", "th", "a", "lo", "hi"]]
 
     found = shared.staged(rows.mapInPandas(find, f"key long, ch long, doc {kind}, th int, a int, lo short, hi short"), "anchors")
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k_key"))
+    # Written first: as a table of its own it is dealt anew for the join, so the join can split a frequent key.
+    twice = shared.staged(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k_key")), "twice")
     shared_anchors = shared.staged(found.join(twice, F.col("key") == F.col("k_key")).drop("k_key"), "candidates")
     shared.drop_staged(found)
     _settle(spark)
@@ -197,20 +212,11 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
     width = window - GRAM
     while width > 0 and not hot.isEmpty():
         # Halve the windows' places [x, y]; a half is keyed by the bytes that all its windows hold.
-        mid = F.floor((F.col("x") + F.col("y")) / 2)
-        halves = F.explode(F.array(F.struct(F.col("x").alias("nx"), mid.cast("int").alias("ny")), F.struct((mid + 1).cast("int").alias("nx"), F.col("y").alias("ny"))))
-        part = hot.withColumn("half", halves).select("*", "half.*").where("nx <= ny and lo <= ny and hi >= nx")
-        core = F.substring(F.col("ctx"), F.col("ny") - F.col("lo") + 1, F.col("nx") + window - F.col("ny"))
-        nlo, nhi = F.greatest(F.col("lo").cast("int"), "nx"), F.least(F.col("hi").cast("int"), "ny")
-        part = part.select(
-            F.xxhash64("key", "nx", "ny", core).alias("key"), nlo.cast("short").alias("lo"), nhi.cast("short").alias("hi"),
-            F.substring(F.col("ctx"), nlo - F.col("lo") + 1, nhi - nlo + window).alias("ctx"), "doc", "th", "a", F.col("nx").alias("x"), F.col("ny").alias("y"), F.lit(window).alias("window"),
-        )
-        places = part.select(F.col("key").alias("p_key"), "x", "y").distinct()
-        few, more = _tell_apart(part, covered, shard_kinds)
+        mid = F.floor((F.col("x") + F.col("y")) / 2).cast("int")
+        part = _half(hot, F.col("x"), mid, window).unionByName(_half(hot, mid + 1, F.col("y"), window))
+        few, hot = _tell_apart(part, covered, shard_kinds)
         shards.append(few)
         width //= 2
-        hot = more.join(places, F.col("key") == F.col("p_key")).drop("p_key")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
