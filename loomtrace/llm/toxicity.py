@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from . import labelled, shared
 
 #: The bounded sample: rows of each class, and bytes of the longest text that is learned from.
-PER_CLASS, LONGEST = 2500, 65_536
+PER_CLASS, LONGEST = 2000, 65_536
 SLOTS = 1 << 20
 CHUNK = 64
 WORDS = re.compile(r"[^\W\d_]+")
@@ -136,74 +135,87 @@ def tokens(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def _distinct(docs: list[list[str]]) -> list[int]:
-    """Rows that are no near copies of an earlier one: copies would make the words that they share look telling.
-    Two texts count as copies if one of three triples of their smallest word hashes agrees."""
-    seen: set[tuple] = set()
-    kept = []
-    for i, words in enumerate(docs):
-        low = sorted({zlib.crc32(w.encode()) for w in set(words)})[:9]
-        keys = {(k, *low[k : k + 3]) for k in (0, 3, 6) if len(low) >= k + 3} or {tuple(low)}
-        if not keys & seen:
-            kept.append(i)
-        seen |= keys
-    return kept
-
-
-def _word_labels(docs: list[list[str]], y: np.ndarray) -> set[str]:
-    """Words that count as toxic where they stand in a toxic document."""
-    counts = {0: Counter(), 1: Counter()}
-    slots: dict[str, list[str]] = {}
-    for words, label in zip(docs, y):
-        seen = set()
-        for w in set(words):
-            seen.update(slots.setdefault(w, names(w)))
-        counts[int(label)].update(seen)
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    telling = {s for s, k in counts[1].items() if k >= max(3, 0.01 * n1) and k / n1 >= 15 * (counts[0][s] + 0.5) / n0}
-    return {w for w, s in slots.items() if telling.intersection(s)}
-
-
-def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clean_chunks: int = 3000) -> SpanTagger:
+NO_FEATURE = np.uint32(0xFFFFFFFF)
+
+
+class Sample:
+    """The texts of a training sample as word numbers; words keep the hashes of themselves and of their features."""
+
+    def __init__(self, texts: list[str]):
+        index: dict[str, int] = {}
+        self.docs = [np.fromiter((index.setdefault(w, len(index)) for w in tokens(t)), np.int32) for t in texts]
+        self.hashes = np.fromiter((zlib.crc32(w.encode()) for w in index), np.uint32, len(index))
+        self.features = np.full((len(index), 5), NO_FEATURE, np.uint32)
+        for i, w in enumerate(index):
+            found = [zlib.crc32(n.encode()) for n in names(w)]
+            self.features[i, : len(found)] = found
+
+    def distinct(self) -> list[int]:
+        """Texts that are no near copies of an earlier one: copies would make the words that they share look telling.
+        Two texts count as copies if one of three triples of their smallest word hashes agrees."""
+        seen: set[tuple] = set()
+        kept = []
+        for i, words in enumerate(self.docs):
+            low = np.unique(self.hashes[words])[:9].tolist()
+            keys = {(k, *low[k : k + 3]) for k in (0, 3, 6) if len(low) >= k + 3} or {tuple(low)}
+            if not keys & seen:
+                kept.append(i)
+            seen |= keys
+        return kept
+
+    def toxic_words(self, which: list[int], y: np.ndarray) -> np.ndarray:
+        """For each word, whether it counts as toxic where it stands in a toxic document."""
+        counts = []
+        for label in (0, 1):
+            sets = [np.unique(self.features[np.unique(self.docs[i])]) for i, k in zip(which, y) if k == label]
+            counts.append(np.unique(np.concatenate(sets), return_counts=True))
+        (f0, c0), (f1, c1) = counts
+        n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+        at = np.minimum(np.searchsorted(f0, f1), len(f0) - 1)
+        clean = np.where(f0[at] == f1, c0[at], 0)
+        telling = f1[(c1 >= max(3, 0.01 * n1)) & (c1 / n1 >= 15 * (clean + 0.5) / n0) & (f1 != NO_FEATURE)]
+        return np.isin(self.features, telling).any(axis=1)
+
+
+def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clean_chunks: int = 2000) -> SpanTagger:
     """Fit the field and the document scale on a bounded sample."""
+    none = SpanTagger(np.zeros(SLOTS, np.float32), np.ones((2, 2)), 0.0, (0.0,) * 4, constant=share)
     if len(set(y.tolist())) < 2:
-        return SpanTagger(np.zeros(SLOTS, np.float32), np.ones((2, 2)), 0.0, (0.0,) * 4, constant=share)
-    docs = [tokens(t) for t in texts]
-    alone = _distinct(docs)
-    docs, y = [docs[i] for i in alone], y[alone]
+        return none
+    sample = Sample(texts)
+    alone = sample.distinct()
+    y = y[alone]
     if len(set(y.tolist())) < 2:
-        return SpanTagger(np.zeros(SLOTS, np.float32), np.ones((2, 2)), 0.0, (0.0,) * 4, constant=share)
-    toxic = _word_labels(docs, y)
-    index: dict[str, int] = {}
+        return none
+    toxic = sample.toxic_words(alone, y)
     rows, tags, wanted = [], [], []
-    for words, label in zip(docs, y):
-        ids = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
-        tag = np.array([bool(label) and w in toxic for w in words], bool)
+    for i, label in zip(alone, y):
+        ids = sample.docs[i]
+        hit = toxic[ids]
         for at in range(0, len(ids), CHUNK):
             rows.append(ids[at : at + CHUNK])
-            tags.append(tag[at : at + CHUNK])
-            # Chunks with a toxic tag, and chunks of clean documents that hold such a word, are all learned from.
-            wanted.append(2 if tag[at : at + CHUNK].any() else int(not label and any(w in toxic for w in words[at : at + CHUNK])))
+            tags.append(hit[at : at + CHUNK] & bool(label))
+            # Chunks with such a word are all learned from, tagged in toxic documents, not tagged in clean ones.
+            wanted.append(bool(hit[at : at + CHUNK].any()))
     order = np.random.default_rng(17).permutation(len(rows))
     plain = [i for i in order if not wanted[i]][:clean_chunks]
-    use = sorted([i for i, w in enumerate(wanted) if w][: 4 * clean_chunks] + plain)
-    used = sorted({w for i in use for w in rows[i].tolist()})
-    renumber = np.zeros(len(index) + 1, np.int64)
-    renumber[used] = np.arange(1, len(used) + 1)
-    spelled = list(index)
-    word_slots = [[], *(features(spelled[w]) for w in used)]
-    flat = np.array([s for ss in word_slots for s in ss], np.int64)
-    owner = np.repeat(np.arange(len(word_slots)), [len(s) for s in word_slots])
-    x, t, mask = (np.zeros((len(use), CHUNK), k) for k in (np.int64, bool, bool))
+    use = sorted([i for i in order if wanted[i]][: 3 * clean_chunks] + plain)
+    used = np.unique(np.concatenate([rows[i] for i in use])) if use else np.zeros(0, np.int64)
+    x, t, mask = (np.zeros((len(use), CHUNK), k) for k in (np.int32, bool, bool))
     for r, i in enumerate(use):
         n = len(rows[i])
-        x[r, :n], t[r, :n], mask[r, :n] = renumber[rows[i]], tags[i], True
+        x[r, :n], t[r, :n], mask[r, :n] = np.searchsorted(used, rows[i]) + 1, tags[i], True
+    del rows, tags
+    some = sample.features[used]
+    owner, column = np.nonzero(some != NO_FEATURE)
+    flat = (some[owner, column] % SLOTS).astype(np.int64)
+    owner, word_slots = owner + 1, len(used) + 1
     slots, local = np.unique(flat, return_inverse=True)
     weight, trans, start = np.zeros(len(slots)), np.zeros((2, 2)), -3.0
     sq_w, sq_t, sq_s = np.full(len(slots), 1e-8), np.full((2, 2), 1e-8), 1e-8
     pair_seen = np.array([[(mask[:, 1:] & (t[:, :-1] == a) & (t[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(rounds):
-        emission = np.bincount(owner, weights=weight[local], minlength=len(word_slots))
+        emission = np.bincount(owner, weights=weight[local], minlength=word_slots)
         e = np.exp(np.clip(emission[x], -30, 30))
         T = np.exp(trans)
         f0, f1 = np.ones(x.shape), np.empty(x.shape)
@@ -218,7 +230,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clea
         odds = f1 * b1
         m = np.where(mask, odds / (1 + odds), 0.0)
         gap = np.where(mask, t - m, 0.0)
-        per_word = np.bincount(x.ravel(), weights=gap.ravel(), minlength=len(word_slots))
+        per_word = np.bincount(x.ravel(), weights=gap.ravel(), minlength=word_slots)
         g = np.bincount(local, weights=per_word[owner], minlength=len(slots)) - 0.05 * weight
         right = np.stack([np.ones_like(b1[:, 1:]), e[:, 1:] * b1[:, 1:]])
         left = np.stack([f0[:, :-1], f1[:, :-1]])
@@ -231,7 +243,13 @@ def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clea
     table = np.zeros(SLOTS, np.float32)
     table[slots] = weight
     tagger = SpanTagger(table, np.exp(trans), float(start), (0.0,) * 4)
-    s = np.array([tagger.summary(m) for m in tagger.marginals(docs)])
+    del x, t, mask
+    emission = np.where(sample.features != NO_FEATURE, table[sample.features % SLOTS], 0).sum(axis=1, dtype=float)
+    s = np.empty((len(alone), 3))
+    for k, i in enumerate(alone):
+        first = np.zeros(len(sample.docs[i]), bool)
+        first[:1] = True
+        s[k] = tagger.summary(forward_backward(emission[sample.docs[i]], first, tagger.trans, tagger.start))
     design = np.column_stack([s, np.ones(len(s))])
     # Classes are weighed back to their share among all labelled rows.
     w = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
@@ -241,7 +259,6 @@ def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clea
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         beta += np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (w * (y - p)) - ridge @ beta)
     tagger.scale = tuple(beta.tolist())
-    tagger.known.clear()
     return tagger
 
 
