@@ -46,7 +46,9 @@ def similar(nodes: DataFrame, least: int = 75) -> DataFrame:
 
 def branch_graph(decisions: DataFrame, reward: str = "reward") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): observed and semantic edges; the weight is 0.4 semantic, 0.4 transition, 0.2 outcome where observed, else 0.6 and 0.4."""
-    nodes = nodes_of(decisions, reward)
+    # Three branches read the labelled steps: they are kept once, with the few columns that those need.
+    decisions = decisions.select("node_id", *KEY, "trajectory_id", "step_index", reward).persist()
+    nodes = nodes_of(decisions, reward).persist()
     seen = transitions(decisions, reward)
     every = seen.select("source", "target").unionByName(similar(nodes).select("source", "target")).distinct()
     side = lambda c: nodes.select(F.col("node_id").alias(c), F.struct(*KEY).alias(f"{c}_key"), F.col("bands").alias(f"{c}_bands"))

@@ -102,7 +102,7 @@ _DECISIONS = f"""decided AS (
         WHEN event_type = 'result_navigation' THEN 'result_navigation' WHEN event_type = 'detail_backtracking' THEN 'detail_backtrack' WHEN event_type = 'search_backtracking' THEN 'search_backtrack' WHEN event_type = 'purchase_decision' THEN 'purchase' ELSE 'other' END AS signal
     FROM decided))"""
 _KEYS = "event_type, attribute_count, option_count, requires_price_check, signal, price_signal, repeated_event"
-_BRANCH = f"""dr AS (SELECT * REPLACE (least(reward / 60, 1.0) AS reward) FROM decisions),
+_BRANCH = f"""dr AS (SELECT * REPLACE (floor(least(reward / 60, 1.0) * 1024) / 1024 AS reward) FROM decisions),
 db AS (SELECT *, CASE WHEN reward >= 0.999 THEN 2 WHEN reward >= 0.5 THEN 1 ELSE 0 END AS band FROM dr),
 bn AS (SELECT node_id, {_KEYS}, count(*) AS support, avg(reward) AS mean_reward, avg((band = 0)::INT) AS b0, avg((band = 1)::INT) AS b1, avg((band = 2)::INT) AS b2, count(*) AS members FROM db GROUP BY ALL),
 tr AS (SELECT source, target, count(*) AS support, avg(reward) AS mean_reward, avg((band = 0)::INT) AS b0, avg((band = 1)::INT) AS b1, avg((band = 2)::INT) AS b2 FROM (SELECT node_id AS source, lead(node_id) OVER (PARTITION BY trajectory_id ORDER BY step_index) AS target, reward, band FROM db) WHERE target IS NOT NULL GROUP BY 1, 2),

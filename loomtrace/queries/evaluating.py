@@ -167,16 +167,16 @@ def a24(spark, sf):
     return ev.paired(traces.episodes(spark, sf)).groupBy("repeat_id").agg(F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"), F.round(F.avg(d), 6).alias("mean_delta"))
 
 
-@query("a25_roles_by_signal", sql("steps", "SELECT k % 10 AS cluster, arg_max(event_type, (n * 1000 - ord)) AS role, max(n) AS support FROM (SELECT k, event_type, ord, sum(n) OVER (PARTITION BY k % 10, event_type) AS n FROM (SELECT k, event_type, count(*) AS n, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS ord FROM steps GROUP BY 1, 2)) GROUP BY 1"))
+@query("a25_roles_by_signal", sql("steps", "SELECT k % 10 AS cluster, arg_max(event_type, (n * 1000 - ord)) AS role, max(n)::BIGINT AS support FROM (SELECT k, event_type, ord, sum(n) OVER (PARTITION BY k % 10, event_type) AS n FROM (SELECT k, event_type, count(*) AS n, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS ord FROM steps GROUP BY 1, 2)) GROUP BY 1"))
 def a25(spark, sf):
     counts = traces.steps(spark, sf).groupBy((F.col("k") % 10).alias("cluster"), "event_type").agg(F.count("*").alias("n"))
     return counts.groupBy("cluster").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("role"), F.max("n").alias("support"))
 
 
-@query("a26_cluster_profile", sql("steps", "SELECT k % 10 AS cluster, count(*) AS support, round(avg(reward), 4) AS mean_score, avg((event_type = 'purchase')::INT) AS full_ratio, count(DISTINCT trajectory_id) AS n_trajectories, left(min(trajectory_id || ' ' || event_type), 1200) AS example FROM steps GROUP BY 1"))
+@query("a26_cluster_profile", sql("steps", "SELECT k % 10 AS cluster, count(*) AS support, round(avg(round(reward * 100)::BIGINT) / 100, 4) AS mean_score, avg((event_type = 'purchase')::INT) AS full_ratio, count(DISTINCT trajectory_id) AS n_trajectories, left(min(trajectory_id || ' ' || event_type), 1200) AS example FROM steps GROUP BY 1"))
 def a26(spark, sf):
     return traces.steps(spark, sf).groupBy((F.col("k") % 10).alias("cluster")).agg(
-        F.count("*").alias("support"), F.round(F.avg("reward"), 4).alias("mean_score"), F.avg((F.col("event_type") == "purchase").cast("int")).alias("full_ratio"), F.count_distinct("trajectory_id").alias("n_trajectories"), F.substring(F.min(F.concat_ws(" ", "trajectory_id", "event_type")), 1, 1200).alias("example"),
+        F.count("*").alias("support"), F.round(F.avg(F.round(F.col("reward") * 100).cast("long")) / 100, 4).alias("mean_score"), F.avg((F.col("event_type") == "purchase").cast("int")).alias("full_ratio"), F.count_distinct("trajectory_id").alias("n_trajectories"), F.substring(F.min(F.concat_ws(" ", "trajectory_id", "event_type")), 1, 1200).alias("example"),
     )
 
 

@@ -183,14 +183,14 @@ def g16(spark, sf):
 
 
 def _branches(spark, sf):
-    d = _decisions(spark, sf).withColumn("reward", F.least(F.col("reward") / 60, F.lit(1.0)))
+    d = _decisions(spark, sf).withColumn("reward", F.floor(F.least(F.col("reward") / 60, F.lit(1.0)) * 1024) / 1024)  # sums of such rewards are exact in any order
     return po.branch_graph(d)
 
 
 @query("a10_decision_nodes", sql("branches", "SELECT node_id, event_type, signal, support, round(mean_reward, 6) AS mean_reward, round(b2, 6) AS exact, members FROM bn"))
 def a10(spark, sf):
     n, _ = _branches(spark, sf)
-    return n.select("node_id", "event_type", "signal", "support", F.round("mean_reward", 6).alias("mean_reward"), F.round(F.get("bands", F.lit(2)), 6).alias("exact"), F.size("members").alias("members"))
+    return n.select("node_id", "event_type", "signal", "support", F.round("mean_reward", 6).alias("mean_reward"), F.round(F.get("bands", F.lit(2)), 6).alias("exact"), F.size("members").cast("long").alias("members"))
 
 
 @query("g17_branch_graph", sql("branches", "SELECT source, target, support, round(semantic, 6) AS semantic, round(strength, 6) AS strength, round(outcome, 6) AS outcome, round(weight, 6) AS weight FROM be"))
@@ -204,11 +204,16 @@ def g18(spark, sf):
     return po.signed(_branches(spark, sf)[1]).select("source", "target", F.round("adjacency", 6).alias("adjacency"))
 
 
-@query("a14_branch_rules")
+@query("a14_branch_rules", sql("branches", """k AS (SELECT ts.*, s.signal AS ss, s.option_count AS options, t.signal AS tt FROM ts JOIN bn s ON s.node_id = source JOIN bn t ON t.node_id = target WHERE s.option_count = t.option_count),
+  t AS (SELECT options, source, ss, tt, sum(support) AS n, sum(mean_reward * support) / sum(support) AS r FROM k GROUP BY ALL HAVING sum(support) >= 3),
+  o AS (SELECT *, count(*) OVER w AS c, row_number() OVER (PARTITION BY options, source ORDER BY r DESC, n DESC, tt DESC) AS up, row_number() OVER (PARTITION BY options, source ORDER BY r, n DESC, tt) AS down FROM t WINDOW w AS (PARTITION BY options, source)),
+  b AS (SELECT a.options, a.ss, a.tt AS preferred, z.tt AS avoided, a.n AS n1, a.r AS r1, z.n AS n2, z.r AS r2 FROM o a JOIN o z ON a.source = z.source AND a.options = z.options WHERE a.up = 1 AND z.down = 1 AND a.c >= 2 AND a.r - z.r >= 0.01),
+  g AS (SELECT options, ss AS source_signal, preferred, avoided, count(*) AS sources, sum(n1)::BIGINT AS preferred_support, sum(n2)::BIGINT AS avoided_support, sum(r1 * n1) / sum(n1) - sum(r2 * n2) / sum(n2) AS gain FROM b GROUP BY 1, 2, 3, 4)
+  SELECT options, source_signal, preferred, avoided, sources, preferred_support, avoided_support, round(gain, 4) AS gain FROM g WHERE preferred_support >= 3 AND avoided_support >= 3 AND gain >= 0.01"""))
 def a14(spark, sf):
     n, e = _branches(spark, sf)
     r = po.branch_rules(n, e, least_support=3, least_gain=0.01, least_sources=1)
-    return r.select("options", "source_signal", "preferred", "avoided", "sources", "preferred_support", "avoided_support", F.round("gain", 6).alias("gain"))
+    return r.select("options", "source_signal", "preferred", "avoided", "sources", "preferred_support", "avoided_support", F.round("gain", 4).alias("gain"))
 
 
 _LINKS = "l AS (SELECT event_type AS source, nx AS target, count(*) AS support FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY trajectory_id ORDER BY start_step) AS nx FROM segments) WHERE nx IS NOT NULL GROUP BY 1, 2)"
@@ -220,14 +225,19 @@ def g19(spark, sf):
     return po.backbone(links, ("view", "signup"), "purchase")
 
 
-@query("g20_cluster_lineage")
+@query("g20_cluster_lineage", """WITH RECURSIVE o AS (SELECT vec_id AS s, label::BIGINT AS a FROM embeddings WHERE label < 6), n AS (SELECT vec_id AS s, (vec_id % 12) % 9 AS b FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 3 = 0),
+  x AS (SELECT a, b, count(*) AS shared FROM o JOIN n USING (s) GROUP BY 1, 2), l AS (SELECT 'a' || lpad(a::VARCHAR, 12, '0') AS i, 'b' || lpad(b::VARCHAR, 12, '0') AS j FROM x WHERE shared / (SELECT count(*) FROM o WHERE o.a = x.a) >= 0.12 OR shared / (SELECT count(*) FROM n WHERE n.b = x.b) >= 0.9),
+  e AS (SELECT i, j FROM l UNION SELECT j, i FROM l), every AS (SELECT DISTINCT 'a' || lpad(a::VARCHAR, 12, '0') AS node FROM o UNION SELECT DISTINCT 'b' || lpad(b::VARCHAR, 12, '0') FROM n),
+  r AS (SELECT node, node AS label FROM every UNION SELECT e.j, r.label FROM r JOIN e ON e.i = r.node), m AS (SELECT node, min(label) AS component FROM r GROUP BY 1), g AS (SELECT component, count(*) FILTER (node[1] = 'a') AS na, count(*) FILTER (node[1] = 'b') AS nb,
+  coalesce(string_agg(node[2:]::BIGINT::VARCHAR, ',' ORDER BY node) FILTER (node[1] = 'a'), '') AS old_ids, coalesce(string_agg(node[2:]::BIGINT::VARCHAR, ',' ORDER BY node) FILTER (node[1] = 'b'), '') AS new_ids FROM m GROUP BY 1)
+  SELECT component, CASE WHEN na = 0 THEN 'new' WHEN nb = 0 THEN 'disappeared' WHEN na = 1 AND nb = 1 THEN 'continuation' WHEN na = 1 THEN 'split' WHEN nb = 1 THEN 'merge' ELSE 'recomposed' END AS kind, old_ids, new_ids FROM g""")
 def g20(spark, sf):
     old, new = _partitions(spark, sf)
     l = dp.lineage(old.where("old_id < 6"), new.where("segment_id % 3 = 0").withColumn("new_id", F.col("new_id") % 9), least_retention=0.12, least_purity=0.9)  # noqa: E741
     return l.select("component", "kind", F.array_join(F.transform("old_ids", lambda x: x.cast("string")), ",").alias("old_ids"), F.array_join(F.transform("new_ids", lambda x: x.cast("string")), ",").alias("new_ids"))
 
 
-@query("g21_component_count")
+@query("g21_component_count", sql("nodes", f"{_GRAPH}, e AS (SELECT i, j FROM signed WHERE abs(adjacency) > 0.3 UNION SELECT j, i FROM signed WHERE abs(adjacency) > 0.3), r AS (SELECT i AS node, i AS label FROM e UNION SELECT e.j, r.label FROM r JOIN e ON e.i = r.node), m AS (SELECT node, min(label) AS label FROM r GROUP BY 1) SELECT label, count(*) AS size FROM m GROUP BY 1"))
 def g21(spark, sf):
     e = gr.edge_algebra(*_graph(spark, sf)).where("abs(adjacency) > 0.3").select("i", "j")
     return gr.component_labels(e).groupBy("label").agg(F.count("*").alias("size"))
@@ -252,7 +262,11 @@ def g22_ranks(spark, sf):
     return dp.fronts(b, ("o1", "o2")).select("item_id", "front")
 
 
-@query("g23_structural_scores")
+@query("g23_structural_scores", sql("nodes", """p AS (SELECT 'old' AS partition, segment_id % 4 AS c, * FROM nodes UNION ALL SELECT 'new', event_type, * FROM nodes),
+  o AS (SELECT partition, c, max(n) AS top, sum(n) AS size FROM (SELECT partition, c, outcome, count(*) AS n FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2), e AS (SELECT partition, c, max(n) AS top FROM (SELECT partition, c, event_type, count(*) AS n FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  k AS (SELECT partition, c, list(m ORDER BY d) AS centroid FROM (SELECT partition, c, d, avg(embedding[d]) AS m FROM p, range(1, 65) t(d) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  q AS (SELECT partition, avg(""" + _DOT.format(a="embedding", b="centroid") + " / (" + _NORM.format(a="embedding") + " * " + _NORM.format(a="centroid") + """)) AS compactness FROM p JOIN k USING (partition, c) GROUP BY 1)
+  SELECT partition, round(sum(o.top) / sum(size), 6) AS outcome_purity, round(sum(e.top) / sum(size), 6) AS role_purity, round(any_value(compactness), 6) AS compactness FROM o JOIN e USING (partition, c) JOIN q USING (partition) GROUP BY 1"""))
 def g23(spark, sf):
     n = traces.nodes(spark, sf)
     old = dp.structural_scores(n.withColumn("c", F.col("segment_id") % 4), "c").withColumn("partition", F.lit("old"))

@@ -216,6 +216,13 @@ def p25(spark, sf):
     return sliced.select("p_brand", F.explode("page").alias("p_partkey"), "has_next", "has_prev")
 
 
+@query("p26_policy_flags", sql("steps", "SELECT sample_id, bool_or(event_type = 'view') AS has_search, bool_or(event_type = 'purchase') AS has_purchase, bool_or(event_type = 'error') AS has_error FROM steps GROUP BY 1"))
+def p26(spark, sf):
+    """Which parts a rendered policy would have; its prose is out of scope."""
+    has = lambda e: F.bool_or(F.col("event_type") == e)
+    return traces.steps(spark, sf).groupBy("sample_id").agg(has("view").alias("has_search"), has("purchase").alias("has_purchase"), has("error").alias("has_error"))
+
+
 @query("p27_trajectory_context", sql("steps", "SELECT trajectory_id, string_agg(event_type, '>' ORDER BY step_index) AS events, string_agg(k::VARCHAR, ',' ORDER BY step_index) AS actions FROM steps GROUP BY 1"))
 def p27(spark, sf):
     seq = traces.steps(spark, sf).groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "event_type", "k"))).alias("s"))

@@ -84,7 +84,7 @@ def v10(spark, sf):
     return va.bad_dimensions(v, "skill_id", "vector")
 
 
-@query("v11_configuration_rules")
+@query("v11_configuration_rules", "SELECT * FROM (VALUES ('b', 'least above most'), ('c', 'ratio range')) t(name, rule)")
 def v11(spark, sf):
     """Cross-field rules of a configuration, as rows."""
     c = spark.createDataFrame([("a", 2, 8, 0.5), ("b", 5, 3, 0.2), ("c", 1, 4, 1.5)], "name string, least int, most int, ratio double")
@@ -122,7 +122,7 @@ def v16(spark, sf):
     return va.violations(sq.segments(traces.steps(spark, sf)), {"too long": F.col("n_steps") <= 4, "no label": F.col("event_type").isNotNull()}).select("segment_id")
 
 
-@query("v17_selectors")
+@query("v17_selectors", "SELECT * FROM (VALUES ('a=/x', NULL), ('b=/y', NULL), (NULL, 0), (NULL, 2), (NULL, 3), (NULL, 4)) t(assignment, shard)")
 def v17(spark, sf):
     from ..plans.selectors import assignments, shard_ids
 
