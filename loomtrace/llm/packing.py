@@ -172,6 +172,7 @@ def pack(
     kind = docs.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared.claim("packing", tokenizer.cache_clear)
         tok, task = tokenizer(vocabulary), TaskContext.get().partitionId()
         tail = end_id.to_bytes(4, "little")
         space, serial = OpenWindows(window, open_windows), 0

@@ -142,11 +142,14 @@ def score(docs: DataFrame, model: NeighbourVote, *, text: str = "text", threshol
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
+        shared.claim("quality", m.bag.known.clear)
         for b in batches:
-            s = m.score([t or "" for t in b[text]])
-            b[f"{prefix}score"] = s
-            b[f"{prefix}predicted"] = (s >= threshold).astype("int32")
-            yield b
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024].copy()
+                s = m.score([t or "" for t in part[text]])
+                part[f"{prefix}score"] = s
+                part[f"{prefix}predicted"] = (s >= threshold).astype("int32")
+                yield part
 
     return docs.mapInPandas(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,18 @@ def sweep(spark: SparkSession) -> None:
         delete(spark, _made.pop())
 
 
+#: What this Python worker remembers between tasks, by operator.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def claim(operator: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called by an operator as a task of it begins: workers serve one operator after another, so what the others remember is
+    dropped. ``forget`` drops what this one remembers."""
+    for name in [n for n in _remembered if n != operator]:
+        _remembered.pop(name)()
+    _remembered[operator] = forget
+
+
 def clean_text(column: str = "text") -> F.Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared.claim("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(t, words_per_shingle, seed) for t in b["t"]), np.uint64, len(b))
             yield pd.DataFrame({key: b["k"], "th": b["th"], "fp": fp.view(np.int64)})

@@ -143,21 +143,24 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh64_intdigest
-        for b in batches:
-            h, c, doc, th, a_, lo, hi = [], [], [], [], [], [], []
-            for d, x, body in zip(b["doc"], b["th"], b["t"]):
-                body = bytes(body)
-                for pos, first, last in anchors(body, window):
-                    h += [digest(body[p : p + GRAM]) for p in pos]
-                    c += [digest(body[i : j + window], p - i) for p, i, j in zip(pos, first, last)]
-                    a_ += pos
-                    lo += [i - p for p, i in zip(pos, first)]
-                    hi += [j - p for p, j in zip(pos, last)]
-                    doc += [d] * len(pos)
-                    th += [x] * len(pos)
-            out = pd.DataFrame({"key": np.array(h, np.uint64).view(np.int64), "ch": np.array(c, np.uint64).view(np.int64), "th": th, "a": a_, "lo": lo, "hi": hi})
-            out["doc"] = pd.Series(doc, dtype=b["doc"].dtype)
-            yield out[["key", "ch", "doc", "th", "a", "lo", "hi"]]
+        shared.claim("suffix_dedup")
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                b = batch.iloc[at : at + 1024]
+                h, c, doc, th, a_, lo, hi = [], [], [], [], [], [], []
+                for d, x, body in zip(b["doc"], b["th"], b["t"]):
+                    body = bytes(body)
+                    for pos, first, last in anchors(body, window):
+                        h += [digest(body[p : p + GRAM]) for p in pos]
+                        c += [digest(body[i : j + window], p - i) for p, i, j in zip(pos, first, last)]
+                        a_ += pos
+                        lo += [i - p for p, i in zip(pos, first)]
+                        hi += [j - p for p, j in zip(pos, last)]
+                        doc += [d] * len(pos)
+                        th += [x] * len(pos)
+                out = pd.DataFrame({"key": np.array(h, np.uint64).view(np.int64), "ch": np.array(c, np.uint64).view(np.int64), "th": th, "a": a_, "lo": lo, "hi": hi})
+                out["doc"] = pd.Series(doc, dtype=b["doc"].dtype)
+                yield out[["key", "ch", "doc", "th", "a", "lo", "hi"]]
 
     found = shared.staged(rows.mapInPandas(find, f"key long, ch long, doc {kind}, th int, a int, lo short, hi short"), "anchors")
     # Written first: as a table of its own it is dealt anew for the join, so the join can split a frequent key.

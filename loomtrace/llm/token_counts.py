@@ -225,6 +225,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, limit: int = 1024, key: st
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared.claim("token_counts", counter.cache_clear)
         c = counter(vocabulary)
         for b in batches:
             texts = b["t"].tolist()
