@@ -29,8 +29,10 @@ from . import labelled, shared
 PER_CLASS, LONGEST = 2000, 65_536
 SLOTS = 1 << 20
 CHUNK = 64
+#: How likely chance may make a feature look telling, and the least share of toxic texts that have it.
+CHANCE, SHARE = 1e-3, 0.01
 WORDS = re.compile(r"[^\W\d_]+")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 def features(word: str) -> list[int]:
@@ -173,7 +175,11 @@ class Sample:
         n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
         at = np.minimum(np.searchsorted(f0, f1), len(f0) - 1)
         clean = np.where(f0[at] == f1, c0[at], 0)
-        telling = f1[(c1 >= max(3, 0.01 * n1)) & (c1 / n1 >= 15 * (clean + 0.5) / n0) & (f1 != NO_FEATURE)]
+        # Far more frequent among toxic texts, and by more than chance allows: Chernoff's bound of the binomial tail.
+        n, rate = c1 + clean, n1 / (n1 + n0)
+        x = c1 / n
+        excess = n * (x * np.log(x / rate) + np.where(x < 1, (1 - x) * np.log(np.maximum(1 - x, 1e-12) / (1 - rate)), 0.0))
+        telling = f1[(c1 >= SHARE * n1) & (x > rate) & (excess >= -np.log(CHANCE)) & (c1 / n1 >= 15 * (clean + 0.5) / n0) & (f1 != NO_FEATURE)]
         return np.isin(self.features, telling).any(axis=1)
 
 
@@ -287,16 +293,17 @@ def score(docs: DataFrame, tagger: SpanTagger, *, text: str = "text", threshold:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = held.value
+        shared.claim("toxicity", tagger.known.clear)
         for b in batches:
-            texts = [t or "" for t in b[text]]
-            found: list[np.ndarray] = []
-            for at in range(0, len(texts), 500):
-                found += tagger.marginals([tokens(t) for t in texts[at : at + 500]])
-            s = tagger.scores(found)
-            b[f"{prefix}score"] = s
-            b[f"{prefix}predicted"] = (s >= threshold).astype("int32")
-            b[f"{prefix}spans"] = [spans(t, m) if len(m) and m.max() > 0.5 else [] for t, m in zip(texts, found)]
-            yield b
+            for at in range(0, len(b), 500):
+                part = b.iloc[at : at + 500].copy()
+                texts = [t or "" for t in part[text]]
+                found = tagger.marginals([tokens(t) for t in texts])
+                s = tagger.scores(found)
+                part[f"{prefix}score"] = s
+                part[f"{prefix}predicted"] = (s >= threshold).astype("int32")
+                part[f"{prefix}spans"] = [spans(t, m) if len(m) and m.max() > 0.5 else [] for t, m in zip(texts, found)]
+                yield part
 
     return docs.mapInPandas(run, schema)
 
