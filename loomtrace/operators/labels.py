@@ -23,6 +23,8 @@ GOAL_PHRASES = {
     "clean_object": ("clean", "wash", "washed", "wet", "rinse", "rinsed"), "heat_object": ("heat", "heated", "hot", "warm", "microwaved", "cooked"),
     "cool_object": ("cool", "cooled", "cold", "chill", "chilled", "frozen"), "slice_object": ("slice", "sliced", "cut"), "toggle_object": ("lamp", "light", "turn on", "toggle", "illuminate"),
 }
+#: Fixed value: the first line of a search page, lower-cased, as logs have it.
+SEARCH_PAGE = "webshop search page."
 #: Details of a product page, page types with the events that are legal on them, and the page that follows an event.
 DETAILS = ("description", "features", "reviews", "attributes")
 PAGE_EVENTS = {
@@ -72,7 +74,7 @@ def page_type(observation: Column) -> Column:
     for d in DETAILS:
         detail = detail | line.startswith(f"{d}:")
     return (
-        F.when(line == "webshop search page.", "search").when(line.startswith("search results page"), "results").when(line.startswith("product:"), "item")
+        F.when(line == SEARCH_PAGE, "search").when(line.startswith("search results page"), "results").when(line.startswith("product:"), "item")
         .when(detail, "item_detail").when(line.startswith("purchase completed"), "terminal").otherwise("unknown")
     )
 
