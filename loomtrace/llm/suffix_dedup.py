@@ -111,7 +111,7 @@ def _tell_apart(rows: DataFrame, covered: list[DataFrame], limit: int) -> tuple[
     for c in same:
         on = on & (F.col(c) == F.col("k_" + c))
     covered.append(shared.staged(rows.drop("ctx").join(again, on).select("doc", "th", (F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + F.col("window")).alias("end")), "covered"))
-    many = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("key", "k_key")
+    many = shared.staged(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("key", "k_key"), "many")
     left = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "ctx", "x", "y", "kinds", "rep.doc", "rep.th", "rep.a")
     left = shared.staged(left, "left")
     shared.drop_staged(rows)
@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
         on = on & (F.col(c) == F.col("k_" + c))
     span = [(F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + window).alias("end")]
     covered = [shared.staged(shared_anchors.join(again, on).select("doc", "th", *span), "covered")]
-    many = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("key", "k_key")
+    many = shared.staged(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("key", "k_key"), "many")
     wanted = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "kinds", "rep.doc", "rep.th", "rep.a")
     wanted = shared.staged(wanted, "wanted")
     shared.drop_staged(shared_anchors)
