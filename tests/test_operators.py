@@ -280,3 +280,39 @@ def test_partitions_repeat_and_are_disjoint(spark):
     assert a == b and len(a) == 15 == len({i for i, _ in a})
     s = mf.selections(ids, seeds=(1, 2), size=6).collect()
     assert len({r.sample_id for r in s}) == 12
+
+
+def _unit_rows(rng, n, kinds):
+    x = rng.random((n, kinds)) * (rng.random((n, kinds)) < 0.4)
+    x[np.arange(n), np.arange(n) % 3] += 2.0
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    at, feature = np.nonzero(u)
+    return gr.FeatureGraph(at, feature, u[at, feature], u.shape)
+
+
+def test_modularity_of_rows_is_that_of_their_pairs():
+    g = _unit_rows(np.random.default_rng(5), 120, 9)
+    want, q = gr.modularity_groups(g.dense())
+    found, p = gr.modularity_groups(g, dense_nodes=10)
+    assert found == want and len(want) > 1 and p == pytest.approx(q, abs=1e-12)
+
+
+def test_communities_hold_every_success(spark, tmp_path):
+    """450 successful trajectories: more than the 400 once taken."""
+    from loomtrace.queries import graphing as gq
+
+    kinds = ["purchase", "view", "click", "signup"]
+    rows = [(u * 4 + k, u, kinds[0 if k == 3 else (u // 3**k + k) % 4], 1.0, '{"k": 5}') for u in range(450) for k in range(4)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    e.selectExpr("event_id", "timestamp'2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, event_id) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    sizes = [r["size"] for r in gq.g15(spark, str(tmp_path)).collect()]
+    members = [t for r in gq.g16(spark, str(tmp_path)).collect() for t in r["trajectories"].split(",")]
+    assert sum(sizes) == 450 and len(set(members)) == len(members) == 450
+
+
+def test_communities_beyond_the_dense_limit(spark):
+    """Over 4000 trajectories are split too; once they raised."""
+    s = spark.range(4100).selectExpr("concat('t', id) AS trajectory_id", "CASE WHEN id % 2 = 0 THEN array('a', 'b', 'a') ELSE array('c', 'd', if(id % 4 = 1, 'c', 'e')) END AS seq")
+    paths = spark.createDataFrame([], "path_id string, trajectories array<string>")
+    found, q = mi.communities(s, paths)
+    assert sum(len(r["trajectories"]) for r in found.collect()) == 4100 and q > 0.4
