@@ -316,3 +316,19 @@ def test_communities_beyond_the_dense_limit(spark):
     paths = spark.createDataFrame([], "path_id string, trajectories array<string>")
     found, q = mi.communities(s, paths)
     assert sum(len(r["trajectories"]) for r in found.collect()) == 4100 and q > 0.4
+
+
+def test_ranking_covers_every_benchmark_query(spark, small):
+    import duckdb
+
+    from loomtrace.queries import graphing as gq
+
+    c = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
+    want = c.execute(f"WITH {gq._BM_ALL} SELECT query_id, rank, doc, score FROM k WHERE rank <= 10 ORDER BY 1, 2").fetchall()
+    got = sorted((r["query_id"], r["rank"], r["doc"], r["score"]) for r in gq.r08_all(spark, small).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1.1e-4)
+    items = {r[0] for r in c.execute("SELECT item_id FROM benchmark").fetchall()}
+    assert max(items) >= 10 and {r[0] for r in got} == items == {r["query_id"] for r in gq.t03_all(spark, small).select("query_id").collect()}
