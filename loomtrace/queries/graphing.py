@@ -160,8 +160,14 @@ def g13(spark, sf):
 
 @query("g14_sequence_similarity", sql("segments", f"{_SEQF}, u AS (SELECT trajectory_id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY trajectory_id)) AS u FROM w WHERE weight <> 0), s AS (SELECT a.trajectory_id AS i, b.trajectory_id AS j, sum(a.u * b.u) AS v FROM u a JOIN u b USING (feature) WHERE a.trajectory_id <> b.trajectory_id AND a.trajectory_id LIKE '%7-w0' GROUP BY 1, 2) SELECT i, j, round(v, 5) AS value FROM s WHERE v >= 1e-12"))
 def g14(spark, sf):
-    w = mi.sequence_weights(_mined(spark, sf)[0])
-    return mi.similarity(w).where("i like '%7-w0'").select("i", "j", F.round("value", 5).alias("value"))
+    """The left sides that its SQL shows; ``g14_sequence_similarity_all`` has those of every trajectory."""
+    return mi.similarity(mi.sequence_weights(_mined(spark, sf)[0])).where("i like '%7-w0'").select("i", "j", F.round("value", 5).alias("value"))
+
+
+@query("g14_sequence_similarity_all")
+def g14_all(spark, sf):
+    """Every pair with a common weighed feature, a row for each direction."""
+    return mi.similarity(mi.sequence_weights(_mined(spark, sf)[0])).select("i", "j", F.round("value", 5).alias("value"))
 
 
 def _successful(spark, sf):

@@ -332,3 +332,20 @@ def test_ranking_covers_every_benchmark_query(spark, small):
     assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1.1e-4)
     items = {r[0] for r in c.execute("SELECT item_id FROM benchmark").fetchall()}
     assert max(items) >= 10 and {r[0] for r in got} == items == {r["query_id"] for r in gq.t03_all(spark, small).select("query_id").collect()}
+
+
+def test_similarity_has_every_trajectory_on_the_left(spark, small):
+    from loomtrace.queries import graphing as gq
+
+    got = {(r["i"], r["j"]): r["value"] for r in gq.g14_all(spark, small).collect()}
+    rows = {}
+    for t, f, w in mi.sequence_weights(gq._mined(spark, small)[0]).collect():
+        rows.setdefault(t, {})[f] = w
+    norm = {t: math.sqrt(sum(w * w for w in x.values())) for t, x in rows.items()}
+    want = {}
+    for i, x in rows.items():
+        for j, y in rows.items():
+            if i != j and norm[i] and norm[j] and (v := sum(w * y.get(f, 0.0) for f, w in x.items()) / norm[i] / norm[j]) >= 1e-12:
+                want[i, j] = v
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1.1e-5 for k, v in want.items())
+    assert len({i for i, _ in got if not i.endswith("7-w0")}) > 1
