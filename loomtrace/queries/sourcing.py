@@ -46,11 +46,21 @@ def s01(spark, sf):
 
 @query("s02_episode_files", sql("steps", "SELECT trajectory_id, count(*) AS n_steps FROM steps WHERE sample_id < 3 GROUP BY 1"))
 def s02(spark, sf):
+    """The three samples that its SQL names; ``s02_episode_files_all`` writes and reads every episode."""
+    return _episode_files(spark, nested(spark, sf).where("sample_id < 3").repartition(12, "trajectory_id"))
+
+
+def _episode_files(spark, rows):
     path = fs.scratch(spark, "episodes")
-    nested(spark, sf).where("sample_id < 3").repartition(12, "trajectory_id").write.option("maxRecordsPerFile", 1).json(path)  # three samples: one file an episode
+    rows.write.option("maxRecordsPerFile", 1).json(path)  # one file an episode
     return fs.read_episode_files(spark, path).select("trajectory_id", F.size("steps").cast("long").alias("n_steps"))
 
 
+@query("s02_episode_files_all", sql("steps", "SELECT trajectory_id, count(*) AS n_steps FROM steps GROUP BY 1"))
+def s02_all(spark, sf):
+    return _episode_files(spark, nested(spark, sf).repartition("trajectory_id"))
+
+
 @query("s03_recursive_results", sql("episodes", "SELECT method, count(*) AS n, sum(steps)::BIGINT AS steps FROM episodes GROUP BY 1"))
 def s03(spark, sf):
     path = fs.scratch(spark, "results")
@@ -174,12 +184,22 @@ def s18(spark, sf):
 
 @query("s19_library_parse", "SELECT 'part ' || p_partkey AS name, 'card_' || left(sha256('part ' || p_partkey || chr(31) || p_name), 16) AS content_id FROM part WHERE p_partkey < 50")
 def s19(spark, sf):
-    p = traces.read(spark, sf, "part").where("p_partkey < 50")  # the library of fifty parts
+    """One payload of the parts that its SQL names; ``s19_library_parse_all`` parses every part."""
+    return _library(spark, traces.read(spark, sf, "part").where("p_partkey < 50"), F.lit(0))
+
+
+def _library(spark, parts, shelf):
     record = F.struct(F.col("p_name").alias("document"), F.array("p_type").alias("tools"))
-    payload = p.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("part "), "p_partkey"), record)))).alias("payload"))
+    payload = parts.groupBy(shelf.alias("shelf")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("part "), "p_partkey"), record)))).alias("payload"))
     return fs.parse_library(payload, "payload").select("name", "content_id")
 
 
+@query("s19_library_parse_all", "SELECT 'part ' || p_partkey AS name, 'card_' || left(sha256('part ' || p_partkey || chr(31) || p_name), 16) AS content_id FROM part")
+def s19_all(spark, sf):
+    """Payloads of fifty parts each."""
+    return _library(spark, traces.read(spark, sf, "part"), F.floor(F.col("p_partkey") / 50))
+
+
 @query("s21_pool_materialisation", sql("episodes", "SELECT count(*) AS n, count(DISTINCT sample_id) AS n_samples FROM episodes WHERE method = 'baseline'"))
 def s21(spark, sf):
     from ..operators import validation as va
