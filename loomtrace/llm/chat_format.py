@@ -8,7 +8,8 @@ and taking the bang away gives the text back. ``loss`` holds the (start, length)
 
 Defined cases: null text or role counts as empty; a conversation's rows are ordered by turn (null first), then role and
 text; a null conversation id is a conversation of its own; a record whose fingerprint is unknown gives no turns and
-``layout`` null, so it can be found and is not lost; an empty table gives an empty result (plus the probe).
+``layout`` null, so it can be found and is not lost; so is one that is no
+JSON, but ``op5_chat_format``, which writes its records itself, raises; an empty table gives an empty result (plus the probe).
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ from . import shared
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: The JSON parser's default refuses a string beyond 20 million characters, and a variant holds 128 MiB. From so many bytes on,
+#: a record's shape alone becomes a variant and its texts are read by the layout's schema, without that limit.
+LONG = 16_000_000
+UNLIMITED = {"maxStringLen": str(2**31 - 1)}
+_LITERAL = r"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+"
 
 
 @dataclass(frozen=True)
@@ -97,17 +103,32 @@ def _turn(role: str, text: str, roles: tuple[tuple[str, str], ...]) -> Callable[
     return turn
 
 
-def canonical_turns(record: Column, fingerprint: Column) -> Column:
-    """Turns of a parsed record by the mapping that its fingerprint selects; null for an unknown one."""
+def shape(record: Column) -> Column:
+    """A JSON text with its string values emptied; field names stay. Possessive loops, so a long text needs no stack."""
+    return F.regexp_replace(record, rf'("{_LITERAL}"\s*+:)|("){_LITERAL}(")', "$1$2$3")
+
+
+def canonical_turns(record: Column, fingerprint: Column, long: Column) -> Column:
+    """Turns of a parsed record by the mapping that its fingerprint selects; null for an unknown one. ``long`` is the text of
+    a record of which only the shape was parsed, null for others."""
+
+    def read(path: str, kind: str) -> Column:
+        names, schema = path.split("."), kind
+        for name in reversed(names):
+            schema = f"struct<`{name}`:{schema}>"
+        value = F.from_json(long, schema, UNLIMITED)
+        for name in names:
+            value = value[name]
+        return F.when(long.isNull(), F.variant_get(record, f"$.{path}", kind)).otherwise(value)
+
     out = F.lit(None).cast(TURNS)
     for layout in LAYOUTS:
         if layout.many:
             at, role, text = layout.many
-            items = F.variant_get(record, f"$.{at}", f"array<struct<`{role}`:string,`{text}`:string>>")
-
+            items = read(at, f"array<struct<`{role}`:string,`{text}`:string>>")
             turns = F.transform(items, _turn(role, text, layout.roles))
         else:
-            turns = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.variant_get(record, f"$.{p}", "string"), F.lit("")).alias("text")) for r, p in layout.single])
+            turns = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(read(p, "string"), F.lit("")).alias("text")) for r, p in layout.single])
         out = F.when(fingerprint == layout.fingerprint, turns).otherwise(out)
     return out
 
@@ -120,14 +141,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<!(!*)\|", r"<$1|")
 
 
-def format_records(records: DataFrame, *, key: str = "id", record: str = "record") -> DataFrame:
+def format_records(records: DataFrame, *, key: str = "id", record: str = "record", long_bytes: int = LONG) -> DataFrame:
     """(key, fingerprint, layout, formatted, loss) of JSON records; one row per row, no shuffle."""
-    parsed = records.select(F.col(key), F.try_parse_json(record).alias("v"))
+    text, is_long = F.col(record), F.octet_length(record) >= long_bytes
+    parsed = records.select(F.col(key), F.when(is_long, text).alias("long"), F.try_parse_json(F.when(is_long, shape(text)).otherwise(text)).alias("v"))
     printed = parsed.withColumn("fingerprint", F.sha2(field_paths(F.col("v")), 256))
     layout = F.lit(None).cast("string")
     for known in LAYOUTS:
         layout = F.when(F.col("fingerprint") == known.fingerprint, F.lit(known.name)).otherwise(layout)
-    turns = F.coalesce(canonical_turns(F.col("v"), F.col("fingerprint")), F.array().cast(TURNS))
+    turns = F.coalesce(canonical_turns(F.col("v"), F.col("fingerprint"), F.col("long")), F.array().cast(TURNS))
     marked = F.transform(turns, lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     known = printed.select(key, "fingerprint", layout.alias("layout"), marked.alias("turns"))
     heads = F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n")))
@@ -194,7 +216,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = END + START + "assistant ok"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return digests(format_records(records_of(turns).withColumnRenamed("conv_id", "id"), key="id").withColumnRenamed("id", "conv_id"))
+    return digests(known_only(format_records(records_of(turns).withColumnRenamed("conv_id", "id"), key="id")).withColumnRenamed("id", "conv_id"))
+
+
+def known_only(formatted: DataFrame) -> DataFrame:
+    """The same rows; one without a layout, whose turns would be missing, raises."""
+    lost = F.raise_error(F.concat(F.lit("no known layout in record "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("string")
+    return formatted.withColumn("formatted", F.when(F.col("layout").isNull(), lost).otherwise(F.col("formatted")))
 
 
 QUERIES = {"op5_chat_format": op5_chat_format}

@@ -110,3 +110,31 @@ def test_damaged_image_is_noticed():
     image[60] ^= 1
     with pytest.raises((ValueError, zlib.error)):
         media.from_png(bytes(image))
+
+
+def test_long_records_are_read_like_short_ones(spark):
+    odd = ["<|im_end|>", "", None, '{"json": [1]}', 'a "quoted": "b", \\ and \\"', "\\", "line\nline\ttab", "é😀\u0001"]
+    roles = [("user", "assistant"), ("system", "user", "assistant"), ("assistant", "user", "tool", 'say "x": ')]
+    rows = [(c, t, r, odd[(c * 5 + t) % len(odd)], None, None) for c in range(48) for t, r in enumerate(roles[c % 9 // 3])]
+    records = chat_format.records_of(spark.createDataFrame(rows, CHATS)).withColumnRenamed("conv_id", "id")
+    short, long = ({r.id: r for r in chat_format.format_records(records, long_bytes=n).collect()} for n in (chat_format.LONG, 1))
+    assert short == long and {r.layout for r in long.values()} == {x.name for x in chat_format.LAYOUTS}
+
+
+def test_turns_beyond_the_parser_limit_keep_their_text(spark):
+    """21 million characters in one turn: once the whole conversation came out empty."""
+    turns = spark.createDataFrame([(c, t, r) for c in (0, 4, 5) for t, r in enumerate(("user", "assistant", "user")[: 2 + c // 4])], "conv_id long, turn long, role string")
+    turns = turns.withColumn("text", F.when(F.col("turn") == 0, F.repeat(F.lit('a"\n'), 7_000_000)).otherwise("short"))
+    done = chat_format.known_only(chat_format.format_records(chat_format.records_of(turns).withColumnRenamed("conv_id", "id"), key="id"))
+    want = hashlib.sha256()
+    for part in ("user\n", 'a"\n' * 7_000_000, "\nassistant\nshort\n"):
+        want.update(part.encode())
+    got = {r.conv_id: r for r in chat_format.digests(done.withColumnRenamed("id", "conv_id")).collect()}
+    assert [got[c].n_turns for c in (0, 4, 5)] == [2, 3, 3] and all(r.loss_chars == 5 and r.formatted_chars > 21_000_000 for r in got.values())
+    assert got[0].turns_sha256 == want.hexdigest()
+
+
+def test_records_without_a_layout_raise_in_the_query(spark):
+    bad = spark.createDataFrame([(1, "not json")], "id long, record string")
+    with pytest.raises(Exception, match="no known layout"):
+        chat_format.known_only(chat_format.format_records(bad)).collect()
