@@ -349,3 +349,32 @@ def test_similarity_has_every_trajectory_on_the_left(spark, small):
                 want[i, j] = v
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1.1e-5 for k, v in want.items())
     assert len({i for i, _ in got if not i.endswith("7-w0")}) > 1
+
+
+def _calibrated(sequences, target, longest, rounds=40):
+    from statistics import median
+
+    costs = [sg.segment_costs(x, longest) for x in sequences]
+    at = lambda p: float(median(e - s + 1 for c in costs for s, e in sg.boundaries(c, p)))
+    low, high, tried = 0.0, 1.0, {0.0: at(0.0)}
+    for _ in range(40):
+        tried[high] = at(high)
+        if tried[high] >= target:
+            break
+        high *= 2
+    else:
+        rounds = 0
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        tried[mid] = at(mid)
+        low, high = (mid, high) if tried[mid] < target else (low, mid)
+    best = min(tried, key=lambda p: (abs(tried[p] - target), p))
+    return best, tried[best]
+
+
+@pytest.mark.parametrize("target, longest", [(2, 6), (3, 6), (4, 4)])
+def test_calibrated_penalty_is_that_of_plain_bisection(spark, target, longest):
+    rng = np.random.default_rng(3)
+    sequences = [rng.standard_normal((12, 4)) for _ in range(6)]
+    rows = spark.createDataFrame([(i, k, v.tolist()) for i, x in enumerate(sequences) for k, v in enumerate(x)], "trajectory_id long, step_index int, embedding array<double>")
+    assert sg.calibrate(rows, target=target, longest=longest) == _calibrated(sequences, target, longest)
