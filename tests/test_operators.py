@@ -378,3 +378,35 @@ def test_calibrated_penalty_is_that_of_plain_bisection(spark, target, longest):
     sequences = [rng.standard_normal((12, 4)) for _ in range(6)]
     rows = spark.createDataFrame([(i, k, v.tolist()) for i, x in enumerate(sequences) for k, v in enumerate(x)], "trajectory_id long, step_index int, embedding array<double>")
     assert sg.calibrate(rows, target=target, longest=longest) == _calibrated(sequences, target, longest)
+
+
+def _signed_laplacian(a):
+    d = np.abs(a).sum(axis=1)
+    return np.eye(len(a)) - a / np.sqrt(np.outer(d, d))
+
+
+def _neighbour_graph(rng, n):
+    x = rng.standard_normal((n, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = x @ x.T
+    a = np.zeros((n, n))
+    for i in range(n):
+        a[i, np.argsort(-c[i])[1:7]] = 1
+    return np.maximum(a, a.T) * np.maximum(c, 0.01)
+
+
+@pytest.mark.parametrize("copies, n", [(1, 400), (3, 60)])
+def test_eigenpairs_beyond_the_dense_limit_are_exact(spark, copies, n):
+    """Hundreds of nodes, and equal components whose eigenvalues come three times: 60 steps with one vector do not get them."""
+    m = np.kron(np.eye(copies), _signed_laplacian(_neighbour_graph(np.random.default_rng(8), n)))
+    i, j = np.nonzero(m - np.diag(np.diag(m)))
+    rows = spark.createDataFrame([(int(x), int(y), float(m[x, y])) for x, y in zip(i, j)], "i long, j long, value double")
+    _, values, vectors = gr.eigenpairs(rows, 16, dense_nodes=20)
+    assert values == pytest.approx(np.linalg.eigvalsh(m)[:16], abs=1e-9)
+    assert np.linalg.norm(m @ vectors - vectors * values, axis=0).max() < 1e-8
+
+
+def test_component_of_a_long_path(spark):
+    """A path of 300 nodes in steps of one: a hundred rounds were not enough."""
+    e = spark.range(299).selectExpr("id AS i", "id + 1 AS j")
+    assert {r.label for r in gr.component_labels(e).collect()} == {0}
