@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import numbered
+
 
 def by_step(trajectory: str = "trajectory_id", order: str = "step_index"):
     return Window.partitionBy(trajectory).orderBy(order)
@@ -63,5 +65,5 @@ def anchor(seq: Column, path: Column) -> Column:
 
 
 def shards(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """Round-robin shard of each manifest row in the given order (manifests are small: one ordered partition)."""
-    return rows.withColumn("shard", (F.row_number().over(Window.orderBy(*order)) - 1) % n)
+    """Round-robin shard of each manifest row in the given order, numbered range by range."""
+    return numbered(rows, *order).withColumn("shard", (F.col("place") % n).cast("int")).drop("place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,8 +57,10 @@ def mixed(rows: DataFrame, key: str, column: str) -> DataFrame:
 
 def bad_dimensions(index: DataFrame, key: str, vector: str) -> DataFrame:
     """Ids whose vector is empty or not of the first id's length, and ids that repeat."""
-    first = F.first(F.size(vector)).over(Window.partitionBy(F.lit(0)).orderBy(key))
-    return index.withColumn("n", F.size(vector)).withColumn("want", first).where("n = 0 or n <> want").select(key)
+    first = index.agg(F.min_by(F.size(vector), key).alias("want"))
+    twice = duplicates(index, key).select(key)
+    sized = index.select(key, F.size(vector).alias("n")).crossJoin(F.broadcast(first))  # one row
+    return sized.where("n = 0 or n <> want").select(key).unionByName(twice).distinct()
 
 
 def chained_digest(rows: DataFrame, key: str, *columns: str) -> DataFrame:

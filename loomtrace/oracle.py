@@ -14,10 +14,10 @@ def _pick(options: tuple[str, ...], index: str, n: str) -> str:
 
 
 _STEPS = """steps AS (
-  SELECT 'u' || user_id || '-w' || week AS trajectory_id, user_id AS sample_id, CASE WHEN week < 2 THEN 'baseline' ELSE 'candidate' END AS method,
-    (week % 2)::INTEGER AS repeat_id, (row_number() OVER (PARTITION BY user_id, week ORDER BY ts, event_id) - 1)::INTEGER AS step_index,
+  SELECT 'u' || user_id || '-w' || week AS trajectory_id, user_id AS sample_id, CASE WHEN (week % 4 + 4) % 4 < 2 THEN 'baseline' ELSE 'candidate' END AS method,
+    (2 * floor(week / 4) + (week % 2 + 2) % 2)::INTEGER AS repeat_id, (row_number() OVER (PARTITION BY user_id, week ORDER BY ts, event_id) - 1)::INTEGER AS step_index,
     event_type, (props->>'k')::INTEGER AS k, value AS reward, event_id
-  FROM (SELECT *, (date_diff('day', DATE '2024-01-01', ts::DATE) // 7)::INTEGER AS week FROM events) WHERE week BETWEEN 0 AND 3)"""
+  FROM (SELECT *, floor(date_diff('day', DATE '2024-01-01', ts::DATE) / 7)::INTEGER AS week FROM events))"""
 
 _EPISODES = """episodes AS (
   SELECT *, primary_score >= 0.999 AS success FROM (

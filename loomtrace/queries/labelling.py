@@ -290,7 +290,7 @@ def f05(spark, sf):
     return d.select("doc_id", F.size(tx.terms(F.col("text"))).cast("long").alias("n_terms"), tx.phrase_visible(F.lit("The of"), F.col("text")).alias("visible"))
 
 
-@query("f06_action_value", sql("shop", "SELECT trajectory_id, string_agg(coalesce(keywords, value), ' ' ORDER BY step_index) AS action_value FROM shop GROUP BY 1"))
+@query("f06_action_value", sql("shop", "SELECT trajectory_id, string_agg(coalesce(keywords, value), ' ' ORDER BY step_index) AS action_value FROM shop WHERE coalesce(keywords, value) IS NOT NULL GROUP BY 1"))
 def f06(spark, sf):
     raw = p02(spark, sf)
     v = F.try_parse_json("raw_action")

@@ -80,7 +80,7 @@ def w09(spark, sf):
 
 @query("w10_round_robin_shards", sql("episodes", "m AS (SELECT DISTINCT sample_id, repeat_id FROM episodes) SELECT sample_id, repeat_id, ((row_number() OVER (ORDER BY sample_id, repeat_id) - 1) % 10)::INTEGER AS shard FROM m"))
 def w10(spark, sf):
-    m = mf.expand(traces.episodes(spark, sf).select("sample_id"), (0, 1))
+    m = traces.episodes(spark, sf).select("sample_id", "repeat_id").distinct()
     return sq.shards(m, 10, "sample_id", "repeat_id")
 
 
@@ -165,7 +165,10 @@ def t10(spark, sf):
 
 @query("j01_paired_comparison", sql("episodes", f"{_PAIRS} SELECT sample_id, repeat_id, p1 AS base_primary_score, p2 AS cand_primary_score FROM pr"))
 def j01(spark, sf):
+    """Of the repeats that both methods have run; the last four weeks may hold the baseline alone."""
     e = traces.episodes(spark, sf)
+    run = e.groupBy("repeat_id").agg(F.count_distinct("method").alias("methods")).where("methods = 2")
+    e = e.join(run.select("repeat_id"), "repeat_id", "left_semi")
     va.require_empty(ev.unpaired(e), "keys of the two methods differ")
     return ev.paired(e).select("sample_id", "repeat_id", "base_primary_score", "cand_primary_score")
 

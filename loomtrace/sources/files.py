@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import validation as va
+from ..staging import new_path
 
 STEP = "struct<step_index:int,event_type:string,k:int,reward:double>"
 TRAJECTORY = f"trajectory_id string, sample_id long, method string, repeat_id int, primary_score double, steps array<{STEP}>"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/loomtrace-{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return new_path(spark, label)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = TRAJECTORY, *, unique: str | None = "trajectory_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Canonical trajectory tables from the driver tables.
 
-A trajectory is one user's week: weeks 0 to 3 since 2024-01-01 give every user two baseline and two candidate
-episodes (``repeat_id`` 0 and 1). Steps are numbered by (ts, event_id); all later operators order by ``step_index``, never by
+A trajectory is one user's week: of every four weeks, counted from 2024-01-01, the first two are baseline and the others
+candidate episodes, with two more ``repeat_id`` each time. Steps are numbered by (ts, event_id); all later operators order by ``step_index``, never by
 input order. Every table is a lazy DataFrame.
 """
 
@@ -37,11 +37,11 @@ def pick(options: tuple[str, ...], index: F.Column, n: F.Column) -> F.Column:
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trajectory_id, sample_id, method, repeat_id, step_index, event_type, k, reward, event_id."""
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    e = e.withColumn("week", F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int")).where("week between 0 and 3")
+    e = e.withColumn("week", F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int"))
     n = F.row_number().over(Window.partitionBy("user_id", "week").orderBy("ts", "event_id")) - 1
     return e.select(
-        F.concat(F.lit("u"), "user_id", F.lit("-w"), "week").alias("trajectory_id"), F.col("user_id").alias("sample_id"), F.when(F.col("week") < 2, "baseline").otherwise("candidate").alias("method"),
-        (F.col("week") % 2).alias("repeat_id"), n.alias("step_index"), "event_type", "k", F.col("value").alias("reward"), "event_id",
+        F.concat(F.lit("u"), "user_id", F.lit("-w"), "week").alias("trajectory_id"), F.col("user_id").alias("sample_id"), F.when(F.pmod("week", F.lit(4)) < 2, "baseline").otherwise("candidate").alias("method"),
+        (2 * F.floor(F.col("week") / 4) + F.pmod("week", F.lit(2))).cast("int").alias("repeat_id"), n.alias("step_index"), "event_type", "k", F.col("value").alias("reward"), "event_id",
     )
 
 
