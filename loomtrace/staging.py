@@ -65,10 +65,17 @@ def drop_staged(df: DataFrame) -> None:
         _made.discard(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove every staged table that this process has made. Only for callers that have written what they keep."""
-    while _made:
-        delete(spark, _made.pop())
+def made() -> frozenset[str]:
+    """The staged tables of this process that are there now."""
+    return frozenset(_made)
+
+
+def sweep(spark: SparkSession, keep: frozenset[str] = frozenset()) -> None:
+    """Remove the staged tables that this process has made, but for those to ``keep`` (what :func:`made` gave before). Only for
+    callers that have written what they need."""
+    for path in _made - keep:
+        delete(spark, path)
+        _made.discard(path)
 
 
 def _sweep_quietly() -> None:
