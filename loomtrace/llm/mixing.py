@@ -7,9 +7,14 @@ size is spread over many tasks, each of which leaves three undecided rows. Those
 last the landing of the few rows of each source is solved by trying all roundings. Larger documents are decided first,
 so that what is rounded at the end is small.
 
+Rows alike in key, source and size travel as one with their number, and share out what it gets, so one row repeated a million
+times is decided at once and lies in no overfull block.
+
 Defined cases: null text has size 0; a source of size 0 has target 0; null is a source of its own, the last; rows that
-repeat are documents of their own; an empty table gives an empty result. Randomness comes from hashes of the rows, so
-reruns agree. Columns other than key, source and text are not read, so their names cannot clash.
+repeat are documents of their own, also under null keys; ties in size go by hash; a very long text is one row like any other,
+never taken more than ``most`` times; an empty table gives an empty result. Randomness comes from hashes of the rows, so
+reruns agree. Columns other than key, source and text are not read, unless ``keep`` asks for them; a kept one named like a
+column of the result raises.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +84,10 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
-    """(source, source_size, rows, target): shares by weight of all words, stopped at ``most`` times the source's size, the
+    """(source, source_size, rows, target) of rows (source, size, n): shares by weight of all words, stopped at ``most`` times the source's size, the
     excess dealt out again by weight until no target is above. In closed form: sources in the order of the share at
     which they stop; the level is that of the first source that need not stop."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
     ranked = totals.withColumn("place", rank).withColumn("weight", weight).withColumn("stop", most * F.col("source_size") / F.col("weight"))
@@ -94,40 +99,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) ->
     return ranked.withColumn("l", F.coalesce(level, F.lit(0.0))).select("source", "source_size", "rows", F.least(F.col("weight") * F.col("l"), stop).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken) for every row; ``keep`` names further columns to carry."""
-    spark = docs.sparkSession
+#: A row that stands for more rows alike than this is spread over several tasks when they are told apart again.
+ALIKE = 4096
+
+
+def taken_copies(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, key: str = "doc_id", source: str = "source", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, source, size, own, n, source_size, target, copies): rows alike in key, source, size and kept columns as one, with
+    their number ``n`` and the copies that the mix takes of all of them. ``own`` holds the kept columns as keep0 and so on."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = shared.staged(docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), size.alias("size"), *keep), "sizes")
+    own = F.struct(F.lit(0).alias("none"), *[F.col(f"`{n}`").alias(f"keep{i}") for i, n in enumerate(keep)])
+    each = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), size.alias("size"), own.alias("own"))
+    sizes = shared.staged(each.groupBy("doc", "source", "size", "own").agg(F.count("*").alias("n")), "sizes")
     targets = shared.staged(source_targets(sizes, weights, most), "targets")
     n_sources, largest = targets.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
     right = targets.withColumnRenamed("source", "s")
     right = F.broadcast(right) if n_sources <= FEW_SOURCES else right
-    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0) * F.col("n")
     near = F.when(F.abs(ratio - F.round(ratio)) < EPS, F.round(ratio)).otherwise(ratio)
     rows = (
-        sizes.join(right, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("ratio", near)
-        .withColumn("base", F.floor("ratio")).withColumn("p", F.col("ratio") - F.floor("ratio")).withColumn("h", F.xxhash64("doc", "size", F.lit(seed))).drop("ratio")
+        sizes.join(right, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("ratio", near).withColumn("base", F.floor("ratio")).withColumn("p", F.col("ratio") - F.floor("ratio"))
+        .withColumn("h", F.xxhash64("doc", "source", "size", "own", F.lit(seed))).drop("ratio")
     )
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    plain = [f.name for f in rows.schema if f.name != "own"]
 
     def decide(last: bool):
-        def run(b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values(["size", "h", "doc"], ascending=[False, True, True], kind="stable")
-            rng = random.Random(int(b["h"].iloc[0]) ^ len(b))
-            size = b["size"].to_numpy(float)
-            p = flight(b["p"].to_numpy(float), size, rng, LANDING if last else 3)
-            return b.assign(p=landing(p, size) if last else p).drop(columns="block")
+        def run(part: pa.Table) -> pa.Table:
+            size, h, p = (part.column(c).to_numpy() for c in ("size", "h", "p"))
+            order = np.lexsort((h, -size))
+            rng = random.Random(int(h[order[0]]) ^ len(h))
+            decided = flight(p[order].astype(float), size[order].astype(float), rng, LANDING if last else 3)
+            decided = landing(decided, size[order].astype(float)) if last else decided
+            out = np.empty(len(h))
+            out[order] = decided
+            at = part.schema.get_field_index("p")
+            return part.set_column(at, "p", pa.array(out)).select([*plain, "own"]).select(names)
 
         return run
 
+    names = [f.name for f in rows.schema]
     done, turn = [rows.where("p <= 0 or p >= 1")], 0
     left = rows.where("p > 0 and p < 1")
     while True:
         last = largest <= BLOCK
         blocks = F.lit(1) if last else F.greatest(F.ceil(F.col("rows") * (3 / BLOCK) ** turn / BLOCK), F.lit(1))
         dealt = left.withColumn("block", F.pmod(F.xxhash64("h", F.lit(turn)), blocks).cast("long"))
-        after = shared.staged(dealt.groupBy("source", "block").applyInPandas(decide(last), fields), "decided")
+        after = shared.staged(dealt.groupBy("source", "block").applyInArrow(decide(last), fields), "decided")
         done.append(after.where("p <= 0 or p >= 1"))
         if last:
             break
@@ -135,8 +152,23 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    copies = (F.col("base") + F.col("p")).cast("long")
-    return out.select(F.col("doc").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
+    return out.select("doc", "source", "size", "own", "n", "source_size", "target", (F.col("base") + F.col("p")).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", keep: tuple[str, ...] = (), **how: object) -> DataFrame:
+    """(key, source, size, source_size, target, copies, taken, keep...) for every row; ``how`` as in :func:`taken_copies`.
+
+    Rows alike share out their copies evenly, so none of them is taken more often than the limit."""
+    if len({n.lower() for n in (key, "source", "size", "source_size", "target", "copies", "taken", *keep)}) < 7 + len(keep):
+        raise ValueError("keep repeats the name of a column of the result")
+    groups = taken_copies(docs, key=key, keep=keep, **how)
+    # Row k of n alike gets the whole copies that fall between k / n and (k + 1) / n of theirs.
+    many = groups.where("n > 1").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(ALIKE).cast("long"))))
+    many = many.repartition("doc", "source", "size", "own", "from").withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + ALIKE, F.col("n")) - 1)))
+    share = lambda k: F.floor((k * F.col("copies")) / F.col("n"))
+    rows = groups.where("n = 1").unionByName(many.withColumn("copies", share(F.col("k") + 1) - share(F.col("k"))).drop("from", "k"))
+    kept = [F.col(f"own.keep{i}").alias(n) for i, n in enumerate(keep)]
+    return rows.select(F.col("doc").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ second round of the same placement (without cuts, longest piece first), so only
 stay part-filled.
 
 Defined cases: null text counts as empty, and every document has at least the closing id, so none is lost; repeated
-rows are packed as documents of their own; other columns are not read, so their names cannot clash.
+rows and rows of null or repeated keys are packed as documents of their own, told apart by ``row``; a very long text fills
+windows of its own and is never cut off; equal fits go to the window opened first; an empty table gives an empty result; other
+columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Words that a worker remembers at most; beyond it the table starts anew.
-CACHE_ENTRIES = 600_000
+#: Words that a worker remembers at most, and the letters of the longest: beyond it the table starts anew, after a slice of
+#: texts long words are forgotten, so what is kept is bounded in bytes, too.
+CACHE_ENTRIES, LONGEST_WORD = 600_000, 64
 #: The vocabulary's pattern and word-end mark.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -61,6 +64,7 @@ class WordTokenizer:
         self.library.no_truncation()
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        self.long = False  # whether words are known that are to be forgotten
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)["model"]
         ids, letter = model["vocab"], byte_alphabet()
@@ -93,6 +97,7 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         known, piece, odd = self.known, self._piece, []
+        self.long = any(len(w) > LONGEST_WORD for w in words)
         for w in words:
             if w.isascii() or max(w) < BEYOND_LATIN and DOTTED_I not in w:
                 low = w.lower()
@@ -116,7 +121,11 @@ class WordTokenizer:
             known.clear()
         self._learn([w for w in set(chain.from_iterable(words)) if w not in known])
         get = known.__getitem__
-        return [b"".join(map(get, ws)) if ok else self._whole([t])[0] for t, ok, ws in zip(texts, plain, words)]
+        out = [b"".join(map(get, ws)) if ok else self._whole([t])[0] for t, ok, ws in zip(texts, plain, words)]
+        for w in [w for w in known if len(w) > LONGEST_WORD] if self.long else ():
+            del known[w]
+        self.long = False
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -158,13 +167,14 @@ class OpenWindows:
         return self.windows.pop(self.gaps.pop(0)[1])
 
 
-PIECE = "doc {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, row long"
 
 
 def pack(
     docs: DataFrame, vocabulary: str, *, window: int = 2048, end_id: int = 1, open_windows: int = 24, min_cut: int = 64, merge_partitions: int = 32, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``row``, which tells the pieces of
+    repeated rows of one document apart.
 
     Whole texts are tokenized once, in the scan's partitions; only rows of placed pieces leave the workers, and only
     those of windows left open are shuffled (``open_windows`` a partition at most)."""
@@ -175,7 +185,7 @@ def pack(
         shared.claim("packing", tokenizer.cache_clear)
         tok, task = tokenizer(vocabulary), TaskContext.get().partitionId()
         tail = end_id.to_bytes(4, "little")
-        space, serial = OpenWindows(window, open_windows), 0
+        space, serial, row = OpenWindows(window, open_windows), 0, (task << 36) - 1
         for b in batches:
             rows: list[tuple] = []
 
@@ -191,8 +201,9 @@ def pack(
             for at in range(0, len(texts), 1024):
                 for k, ids in zip(keys[at : at + 1024], tok.encode(texts[at : at + 1024])):
                     ids += tail
+                    row += 1
                     total = len(ids) // 4
-                    piece = lambda s, n: (k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), total)  # noqa: B023, E731
+                    piece = lambda s, n: (k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), total, row)  # noqa: B023, E731
                     start = 0
                     while total - start >= window:
                         write([piece(start, window)], True)
@@ -215,7 +226,7 @@ def pack(
             serial += 1
         yield pd.DataFrame(rows, columns=OUT)
 
-    OUT = ["doc", "start", "length", "ids_crc32", "doc_tokens", "task", "serial", "offset", "closed"]
+    OUT = ["doc", "start", "length", "ids_crc32", "doc_tokens", "row", "task", "serial", "offset", "closed"]
     schema = PIECE.format(kind=kind) + ", task int, serial long, offset long, closed boolean"
     t = F.coalesce(F.col(text), F.lit(""))
     first = shared.staged(docs.select(F.col(key).alias("k"), t.alias("t")).mapInPandas(place, schema), "placed")
@@ -235,7 +246,7 @@ def pack(
 
         for b in batches:
             out: list[tuple] = []
-            for p in b[OUT[:5]].itertuples(index=False, name=None):
+            for p in b[OUT[:6]].itertuples(index=False, name=None):
                 while not space.place(p[2], p):
                     out += rows(space.emit())
                 for full in space.pop_full():
@@ -248,12 +259,12 @@ def pack(
 
     group = F.floor(F.col("task") / merge_partitions)
     left = first.where("not closed")
-    merged = left.repartition(group, F.pmod(F.xxhash64("doc", "start"), F.lit(2)))
-    merged = merged.sortWithinPartitions(F.desc("length"), "doc", "start", "ids_crc32").mapInPandas(merge, schema)
+    merged = left.repartition(group, F.pmod(F.xxhash64("row", "start"), F.lit(2)))
+    merged = merged.sortWithinPartitions(F.desc("length"), "row", "start").mapInPandas(merge, schema)
     # A window is named by its stage (0 placed, 1 merged), task and number in the task.
     name = lambda stage: (F.lit(stage).cast("long") * F.lit(1 << 62) + F.col("task").cast("long") * F.lit(1 << 36) + F.col("serial")).alias("sequence_id")
     columns = [F.col("doc").alias(key), "start", "length", "ids_crc32", "doc_tokens"]
-    return first.where("closed").select(*columns, name(0), "offset").unionByName(merged.select(*columns, name(1), "offset"))
+    return first.where("closed").select(*columns, name(0), "offset", "row").unionByName(merged.select(*columns, name(1), "offset", "row"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,15 @@
-"""Helpers that the corpus operators share: table access, staging in the shared folder, text hygiene."""
+"""Helpers that the corpus operators share: table access, row identity, clashing names, text hygiene; staging is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What the names of staged tables begin with.
-STAGED = "staged-"
-#: Staged tables of this process that have not been removed.
-_made: set[str] = set()
+from ..staging import delete, digest, drop_staged, keep_until_exit, made, new_path, shared_dir, staged, sweep
+
+__all__ = ["claim", "clean_text", "delete", "digest", "drop_staged", "keep_until_exit", "made", "new_path", "one_of_each", "shared_dir", "staged", "sweep", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,51 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (local tests) a temporary folder is made and set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomtrace-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{STAGED}{label}-{uuid.uuid4().hex}"
-    _made.add(path)
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Remove the staged table that ``df`` reads (a result of :func:`staged` that nothing reads any more)."""
-    files = df.inputFiles()[:1]
-    for path in [p for p in _made for f in files if p.rsplit("/", 1)[1] in f]:
-        delete(df.sparkSession, path)
-        _made.discard(path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove every staged table that this process has made. Only for callers that have written what they keep."""
-    while _made:
-        delete(spark, _made.pop())
-
-
 #: What this Python worker remembers between tasks, by operator.
 _remembered: dict[str, Callable[[], None]] = {}
 
@@ -77,10 +29,17 @@ def claim(operator: str, forget: Callable[[], None] = lambda: None) -> None:
     _remembered[operator] = forget
 
 
-def clean_text(column: str = "text") -> F.Column:
+def clean_text(column: str = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def without(frame: DataFrame, names: list[str]) -> DataFrame:
+    """``frame`` without columns of these names, which an operator is about to add: its own columns replace them."""
+    own = {n.lower() for n in names}
+    return frame.select(*[F.col(f"`{c}`") for c in frame.columns if c.lower() not in own])
+
+
+def one_of_each(rows: DataFrame, uid: str, *columns: str) -> DataFrame:
+    """(uid, columns...): one row of each uid, of rows alike in all columns. Combined before the shuffle."""
+    return rows.groupBy(uid).agg(F.first(F.struct(*columns)).alias("row")).select(uid, *[F.col(f"row.{c}").alias(c) for c in columns])

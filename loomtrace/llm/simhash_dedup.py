@@ -10,8 +10,10 @@ inside a task links are reduced to a spanning forest, so a dense group of n fing
 for each head, not n squared.
 
 Defined cases: null text counts as empty; no word gives fingerprint zero; fewer words than a shingle give one
-shingle of the whole sequence; repeated rows link to each other; an empty table gives an empty result. Other columns
-are not read, so their names cannot clash.
+shingle of the whole sequence; a very long text is hashed whole, one bit count per 65,536 shingles; repeated rows and rows of
+a repeated or null key share a fingerprint if their texts do, and the smallest key that is not null names a component (null if
+all are); an empty table gives an empty result. Other columns are not read, unless ``keep`` asks for them; a kept one named
+like a column of the result raises.
 """
 
 from __future__ import annotations
@@ -20,13 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import component_labels
 from . import shared
-from .components import components
 
 HEAD_ROWS = 4096
+#: Rows of one head whose variants are made at once; a fuller head is split by four more bits.
+FULL_HEAD = 16_384
+#: A component's smallest key is sent to so many parts of the component, so a large one burdens no task.
+PARTS = 64
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
@@ -51,18 +58,19 @@ def fingerprint(text: bytes, words_per_shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(key, th, fp): fp is the fingerprint as a signed long; th, a hash of the text, tells rows of one key apart."""
-    kind = docs.schema[key].dataType.simpleString()
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, own, fp): fp is the fingerprint as a signed long; ``own`` holds the kept columns as keep0, keep1 and so on."""
+    own = F.struct(F.lit(0).alias("none"), *[F.col(f"`{n}`").alias(f"keep{i}") for i, n in enumerate(keep)])
+    rows = docs.select(F.col(key).alias("key"), own.alias("own"), shared.clean_text(text).cast("binary").alias("t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.claim("simhash")
         for b in batches:
-            fp = np.fromiter((fingerprint(t, words_per_shingle, seed) for t in b["t"]), np.uint64, len(b))
-            yield pd.DataFrame({key: b["k"], "th": b["th"], "fp": fp.view(np.int64)})
+            fp = np.fromiter((fingerprint(t.as_py(), words_per_shingle, seed) for t in b.column("t")), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("own"), pa.array(fp.view(np.int64))], ["key", "own", "fp"])
 
-    t = shared.clean_text(text)
-    return docs.select(F.col(key).alias("k"), F.hash(t).alias("th"), t.cast("binary").alias("t")).mapInPandas(run, f"{key} {kind}, th int, fp long")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"key {kinds['key']}, own {kinds['own']}, fp long")
 
 
 def _within_two(bits: int) -> np.ndarray:
@@ -98,10 +106,23 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def meet(head: np.ndarray, fp: np.ndarray, bits: int, radius: int = 4) -> tuple[list[int], list[int]]:
-    """Links between the distinct fingerprints of some heads that share a variant: a spanning forest of them."""
+def meet(head: np.ndarray, fp: np.ndarray, bits: int, radius: int = 4, full: int = FULL_HEAD) -> tuple[list[int], list[int]]:
+    """Links between the distinct fingerprints of some heads that share a variant: a spanning forest of them.
+
+    The variants of many rows are made apart for each value of the next four bits, so memory is bounded by ``full``
+    rows; rows of one variant always stay together."""
     low = 64 - bits
     flips = np.bitwise_count((fp >> np.uint64(low)) ^ head)
+    if len(fp) > full and low > 8:
+        next_low, found = np.uint64(low - 4), ([], [])
+        four = (fp >> next_low) & np.uint64(15)
+        for v in range(16):
+            near = flips + np.bitwise_count(four ^ np.uint64(v)) <= 2
+            if near.any():
+                a, b = meet((head[near] << np.uint64(4)) | np.uint64(v), fp[near], bits + 4, radius, full)
+                found[0].extend(a)
+                found[1].extend(b)
+        return _forest(np.array(found[0], np.uint64), np.array(found[1], np.uint64))
     masks = _within_two(low)
     base = fp ^ (((fp >> np.uint64(low)) ^ head) << np.uint64(low))  # the variant's head in place
     parts, owners = [], []
@@ -128,9 +149,9 @@ def meet(head: np.ndarray, fp: np.ndarray, bits: int, radius: int = 4) -> tuple[
     return _forest(*pairs)
 
 
-def near_links(prints: DataFrame, *, n: int) -> DataFrame:
+def near_links(prints: DataFrame, *, n: int, bits: int | None = None, full: int = FULL_HEAD) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints at four or fewer differing bits."""
-    bits = head_bits(n)
+    bits = bits or head_bits(n)
     low = 64 - bits
     masks = F.array(*[F.lit(int(m)) for m in _within_two(bits)])
     heads = prints.select("fp", F.explode(masks).alias("mask")).select(F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("mask")).alias("head"), "fp")
@@ -140,7 +161,7 @@ def near_links(prints: DataFrame, *, n: int) -> DataFrame:
         rows = 0
 
         def links(some: pd.DataFrame) -> pd.DataFrame:
-            a, b = meet(some["head"].to_numpy().view(np.uint64), some["fp"].to_numpy().view(np.uint64), bits)
+            a, b = meet(some["head"].to_numpy().view(np.uint64), some["fp"].to_numpy().view(np.uint64), bits, full=full)
             return pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
 
         for b in batches:
@@ -157,16 +178,28 @@ def near_links(prints: DataFrame, *, n: int) -> DataFrame:
     return heads.repartition("head").sortWithinPartitions("head", "fp").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint, component_id, group, th) for every row of ``docs``; ``group`` names the component whatever its
-    keys are, also where they are null or repeat."""
-    prints = shared.staged(fingerprints(docs, key=key, text=text), "prints")
-    nodes = shared.staged(prints.groupBy("fp").agg(F.min(key).alias("lead")), "nodes")
-    roots = components(near_links(nodes.select("fp"), n=nodes.count()))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("lead").alias("component_id"))
-    labels = shared.staged(named.join(low, "root").select("fp", "component_id", "root"), "labels")
-    return prints.join(labels, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("group"), "th")
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fingerprint, component_id, group, keep...) for every row of ``docs``; ``group`` names the component whatever its
+    keys are, also where they are null or repeat. ``keep`` must not name one of the first four."""
+    if len({n.lower() for n in (key, "fingerprint", "component_id", "group", *keep)}) < 4 + len(keep):
+        raise ValueError("keep repeats the name of a column of the result")
+    prints = shared.staged(fingerprints(docs, key=key, text=text, keep=keep), "prints")
+    nodes = shared.staged(prints.groupBy("fp").agg(F.min("key").alias("lead")), "nodes")
+    links = shared.staged(near_links(nodes.select("fp"), n=nodes.count()), "links")
+    roots = component_labels(links, "a", "b")
+    shared.drop_staged(links)
+    # Only fingerprints with links need their component's smallest key. It goes to PARTS parts of each component.
+    part = F.pmod(F.xxhash64("fp"), F.lit(PARTS))
+    linked = shared.staged(nodes.join(roots, nodes.fp == roots.node).select("fp", "lead", F.col("label").alias("root"), part.alias("part")), "linked")
+    low = linked.groupBy("root", "part").agg(F.min("lead").alias("low")).groupBy("root").agg(F.min("low").alias("component_id"))
+    low = low.select(F.col("root").alias("r"), "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("p"))
+    named = linked.join(low, (F.col("root") == F.col("r")) & (F.col("part") == F.col("p"))).select("fp", "component_id", "root")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("lead").alias("component_id"), F.col("fp").alias("root"))
+    labels = shared.staged(named.unionByName(alone), "labels")
+    shared.drop_staged(linked)
+    shared.drop_staged(nodes)
+    kept = [F.col(f"own.keep{i}").alias(n) for i, n in enumerate(keep)]
+    return prints.join(labels, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("group"), *kept)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

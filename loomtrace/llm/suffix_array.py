@@ -91,6 +91,8 @@ def maximal_repeats(contexts: list[bytes], least: int, depth: int = 640) -> Iter
     """(length, contexts, offsets) of the maximal repeats of at least ``least`` bytes within the contexts; an occurrence
     nearer to its context's end than the length is common to the context's end only."""
     text = np.frombuffer(b"".join(contexts), np.uint8)
+    if len(text) > MAX_BYTES:
+        raise ValueError(f"contexts of {len(text)} bytes do not fit one suffix array")
     lengths = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(lengths)
     order, ranks = suffix_ranks(text, least, depth)

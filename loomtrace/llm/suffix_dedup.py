@@ -11,10 +11,13 @@ Hot anchors, with more than ``SHARD_KINDS`` distinct contexts, are split by cont
 their place, each half is keyed by the bytes that all its windows hold in common, equal halves collapse, and so on until a
 key has few contexts or its contexts are one window. Nothing is dropped and no key gathers an unbounded group.
 
-Equality of contexts before the suffix arrays is that of two 64-bit hashes, lengths and places.
+Equality of contexts before the suffix arrays is that of two 64-bit hashes, lengths and places. Rows of one text, told by its
+SHA-256, go through all this once: from the window's length on each of them repeats the others whole.
 
-Defined cases: null text counts as empty; texts shorter than the window have no repeats; repeated rows repeat each other;
-matches never cross texts; an empty table gives an empty result. Columns other than key and text are carried along if asked for.
+Defined cases: null text counts as empty; texts shorter than the window have no repeats; repeated rows repeat each other, so
+they lose everything from the window's length on; ids play no part, so null and repeated ones do no harm; a very long text is read
+in stretches of ``STRETCH`` windows and never cut; matches never cross texts; an empty table gives an empty result. Columns
+other than key and text are not read, unless ``keep`` asks for them; a kept one named like a column of the result raises.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,27 +73,24 @@ def anchors(text: bytes, window: int) -> Iterator[tuple[list[int], list[int], li
         yield (pos[first] + at).tolist(), (first + at).tolist(), (last + at).tolist()
 
 
-def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    on = F.lit(True)
-    for n in names:
-        on = on & a[n].eqNullSafe(b[n])
-    return on
-
-
-def _packed(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc, th, z, keep...): texts compressed before they are shuffled; ``th`` tells rows of one key apart."""
+def _distinct(docs: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """(id, digest, times, size, z, own): every distinct text once, compressed, under an id of its own; ``own`` holds key and
+    kept columns of a text that stands in one row. Copies are combined before the shuffle."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc"), F.hash(t).alias("th"), t.cast("binary").alias("z"), *keep)
+    own = F.struct(F.col(key).alias("key"), *[F.col(f"`{n}`").alias(f"keep{i}") for i, n in enumerate(keep)])
+    rows = docs.select(F.sha2(t, 256).alias("digest"), F.octet_length(t).cast("long").alias("size"), t.cast("binary").alias("z"), own.alias("own"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            b["z"] = [squeeze(bytes(t)) for t in b["z"]]
-            yield b
+            z = pa.array([squeeze(t.as_buffer()) for t in b.column("z")], pa.binary())
+            yield b.set_column(b.schema.get_field_index("z"), "z", z)
 
-    return rows.mapInPandas(run, rows.schema)
+    packed = rows.mapInArrow(run, rows.schema)
+    once = packed.groupBy("digest").agg(F.first("size").alias("size"), F.count("*").alias("times"), F.first("z").alias("z"), F.first("own").alias("own"))
+    return shared.staged(once.withColumn("id", F.monotonically_increasing_id()), "texts")
 
 
 def _settle(spark: SparkSession) -> None:
@@ -105,14 +106,15 @@ def _tell_apart(rows: DataFrame, covered: list[DataFrame], limit: int) -> tuple[
     same = ["key", "lo", "hi", "ch"]
     rows = shared.staged(rows.withColumn("ch", F.xxhash64("ctx")), "halves")
     place = [F.first(c).alias(c) for c in ("ctx", "x", "y")]
-    kinds = shared.staged(rows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "a")).alias("rep"), *place), "kinds")
+    kinds = shared.staged(rows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "a")).alias("rep"), *place), "kinds")
     again = kinds.where("n > 1").select(*[F.col(c).alias("k_" + c) for c in same])
     on = F.lit(True)
     for c in same:
         on = on & (F.col(c) == F.col("k_" + c))
-    covered.append(shared.staged(rows.drop("ctx").join(again, on).select("doc", "th", (F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + F.col("window")).alias("end")), "covered"))
+    span = [(F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + F.col("window")).alias("end")]
+    covered.append(shared.staged(rows.drop("ctx").join(again, on).select("id", *span), "covered"))
     many = shared.staged(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("key", "k_key"), "many")
-    left = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "ctx", "x", "y", "kinds", "rep.doc", "rep.th", "rep.a")
+    left = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "ctx", "x", "y", "kinds", "rep.id", "rep.a")
     left = shared.staged(left, "left")
     shared.drop_staged(rows)
     shared.drop_staged(kinds)
@@ -127,42 +129,41 @@ def _half(hot: DataFrame, x: Column, y: Column, window: int) -> DataFrame:
     lo, hi = F.greatest(F.col("lo").cast("int"), "nx"), F.least(F.col("hi").cast("int"), "ny")
     return part.select(
         F.xxhash64("key", "nx", "ny", core).alias("key"), lo.cast("short").alias("lo"), hi.cast("short").alias("hi"),
-        F.substring(F.col("ctx"), lo - F.col("lo") + 1, hi - lo + window).alias("ctx"), "doc", "th", "a", F.col("nx").alias("x"), F.col("ny").alias("y"), F.lit(window).alias("window"),
+        F.substring(F.col("ctx"), lo - F.col("lo") + 1, hi - lo + window).alias("ctx"), "id", "a", F.col("nx").alias("x"), F.col("ny").alias("y"), F.lit(window).alias("window"),
     )
 
 
-def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", text: str = "text", shard_kinds: int = SHARD_KINDS) -> DataFrame:
-    """(doc, th, spans): the repeated bytes of each text that has any, as [start, end) pairs in no order, possibly
-    overlapping. ``th`` is the 32-bit hash of the text, null as empty."""
+def repeated_spans(texts: DataFrame, *, window: int = 200, shard_kinds: int = SHARD_KINDS) -> DataFrame:
+    """(id, spans): the repeated bytes of each of the distinct texts (id, z, size) that has any, as [start, end) pairs in no
+    order, possibly overlapping."""
     import xxhash
 
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc"), F.hash(t).alias("th"), t.cast("binary").alias("t")).where(F.octet_length("t") >= window)
+    if window <= GRAM or 2 * window * shard_kinds > MAX_BYTES:
+        raise ValueError(f"the window must exceed {GRAM} bytes, and a shard's contexts must fit {MAX_BYTES} bytes")
+    spark = texts.sparkSession
+    long_enough = texts.where(F.col("size") >= window).select("id", "z")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh64_intdigest
+        import zstandard
+
+        digest, spread = xxhash.xxh64_intdigest, zstandard.ZstdDecompressor().decompress
         shared.claim("suffix_dedup")
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 b = batch.iloc[at : at + 1024]
-                h, c, doc, th, a_, lo, hi = [], [], [], [], [], [], []
-                for d, x, body in zip(b["doc"], b["th"], b["t"]):
-                    body = bytes(body)
+                h, c, own, a_, lo, hi = [], [], [], [], [], []
+                for i_, z in zip(b["id"], b["z"]):
+                    body = spread(z)
                     for pos, first, last in anchors(body, window):
                         h += [digest(body[p : p + GRAM]) for p in pos]
                         c += [digest(body[i : j + window], p - i) for p, i, j in zip(pos, first, last)]
                         a_ += pos
                         lo += [i - p for p, i in zip(pos, first)]
                         hi += [j - p for p, j in zip(pos, last)]
-                        doc += [d] * len(pos)
-                        th += [x] * len(pos)
-                out = pd.DataFrame({"key": np.array(h, np.uint64).view(np.int64), "ch": np.array(c, np.uint64).view(np.int64), "th": th, "a": a_, "lo": lo, "hi": hi})
-                out["doc"] = pd.Series(doc, dtype=b["doc"].dtype)
-                yield out[["key", "ch", "doc", "th", "a", "lo", "hi"]]
+                        own += [i_] * len(pos)
+                yield pd.DataFrame({"key": np.array(h, np.uint64).view(np.int64), "ch": np.array(c, np.uint64).view(np.int64), "id": own, "a": a_, "lo": lo, "hi": hi})
 
-    found = shared.staged(rows.mapInPandas(find, f"key long, ch long, doc {kind}, th int, a int, lo short, hi short"), "anchors")
+    found = shared.staged(long_enough.mapInPandas(find, "key long, ch long, id long, a int, lo short, hi short"), "anchors")
     # Written first: as a table of its own it is dealt anew for the join, so the join can split a frequent key.
     twice = shared.staged(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k_key")), "twice")
     shared_anchors = shared.staged(found.join(twice, F.col("key") == F.col("k_key")).drop("k_key"), "candidates")
@@ -171,23 +172,22 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
 
     # Contexts are still told by their hashes here; no text has moved.
     same = ["key", "ch", "lo", "hi"]
-    kinds = shared.staged(shared_anchors.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "a")).alias("rep")), "kinds")
+    kinds = shared.staged(shared_anchors.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "a")).alias("rep")), "kinds")
     again = kinds.where("n > 1").select(*[F.col(c).alias("k_" + c) for c in same])
     on = F.lit(True)
     for c in same:
         on = on & (F.col(c) == F.col("k_" + c))
     span = [(F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + window).alias("end")]
-    covered = [shared.staged(shared_anchors.join(again, on).select("doc", "th", *span), "covered")]
+    covered = [shared.staged(shared_anchors.join(again, on).select("id", *span), "covered")]
     many = shared.staged(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumnRenamed("key", "k_key"), "many")
-    wanted = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "kinds", "rep.doc", "rep.th", "rep.a")
+    wanted = kinds.join(many, F.col("key") == F.col("k_key")).select("key", "lo", "hi", "kinds", "rep.id", "rep.a")
     wanted = shared.staged(wanted, "wanted")
     shared.drop_staged(shared_anchors)
     _settle(spark)
 
-    # Fetch those contexts from the texts.
-    asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "lo", "hi", "kinds", "a")).alias("asked"))
-    asked = asked.select(F.col("doc").alias("w_doc"), F.col("th").alias("w_th"), F.col("asked.key").alias("k"), F.col("asked.lo").alias("l"), F.col("asked.hi").alias("h"), F.col("asked.kinds").alias("n"), F.col("asked.a").alias("p"))
-    texts = _packed(docs.where(F.octet_length(t) >= window), key, text)
+    # Fetch those contexts from the texts; a text is there once, so a context is, too.
+    asked = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "lo", "hi", "kinds", "a")).alias("asked"))
+    asked = asked.select(F.col("id").alias("w_id"), *[F.col(f"asked.{c}").alias(n) for c, n in zip(("key", "lo", "hi", "kinds", "a"), "klhnp")])
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -196,15 +196,12 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
         for b in batches:
             for at in range(0, len(b), 256):
                 out = []
-                for d, x, z, k, l, h, n, p in b.iloc[at : at + 256][["doc", "th", "z", "k", "l", "h", "n", "p"]].itertuples(index=False, name=None):  # noqa: E741
+                for d, z, k, l, h, n, p in b.iloc[at : at + 256][["id", "z", "k", "l", "h", "n", "p"]].itertuples(index=False, name=None):  # noqa: E741
                     body = spread(z)
-                    out += [(k[i], l[i], h[i], body[p[i] + l[i] : p[i] + h[i] + window], n[i], d, x, p[i]) for i in range(len(k))]
-                out = pd.DataFrame(out, columns=["key", "lo", "hi", "ctx", "kinds", "doc", "th", "a"])
-                out["doc"] = out["doc"].astype(b["doc"].dtype)
-                yield out
+                    out += [(k[i], l[i], h[i], body[p[i] + l[i] : p[i] + h[i] + window], n[i], d, p[i]) for i in range(len(k))]
+                yield pd.DataFrame(out, columns=["key", "lo", "hi", "ctx", "kinds", "id", "a"])
 
-    schema = f"key long, lo short, hi short, ctx binary, kinds long, doc {kind}, th int, a int"
-    fetched = texts.join(asked, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))).drop("w_doc", "w_th").mapInPandas(fetch, schema)
+    fetched = long_enough.join(asked, F.col("id") == F.col("w_id")).drop("w_id").mapInPandas(fetch, "key long, lo short, hi short, ctx binary, kinds long, id long, a int")
     contexts = shared.staged(fetched, "contexts")
     shared.drop_staged(wanted)
     _settle(spark)
@@ -241,7 +238,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
                 part = body[x:y]
                 lengths = np.array([len(c) for c in part])
                 who, begin, end = [], [], []
-                for length, owner, offset in maximal_repeats(part, window):
+                for length, owner, offset in maximal_repeats(part, window, depth=max(640, 2 * window)):
                     room = lengths[owner] - offset
                     top = np.partition(room, -2)[-2:]
                     partner = np.where(room == top[1], top[0], top[1])  # the longest room among the others
@@ -258,7 +255,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
                     at = np.flatnonzero(fresh)
                     stop = (reach - who * (1 << 20))[np.r_[at[1:] - 1, len(who) - 1]]
                     rows = some.iloc[x + who[at]]
-                    yield pd.DataFrame({"doc": rows["doc"].to_numpy(), "th": rows["th"].to_numpy(), "start": start0[x + who[at]] + begin[at], "end": start0[x + who[at]] + stop})
+                    yield pd.DataFrame({"id": rows["id"].to_numpy(), "start": start0[x + who[at]] + begin[at], "end": start0[x + who[at]] + stop})
 
         for b in batches:
             kept.append(b)
@@ -272,18 +269,18 @@ def repeated_spans(docs: DataFrame, *, window: int = 200, key: str = "doc_id", t
         if kept and sum(map(len, kept)):
             yield from repeats(pd.concat(kept))
 
-    columns = ["key", "lo", "ctx", "doc", "th", "a"]
+    columns = ["key", "lo", "ctx", "id", "a"]
     every = shards[0].select(*columns)
     for s in shards[1:]:
         every = every.unionByName(s.select(*columns))
-    spread_out = every.repartition("key").sortWithinPartitions("key", "doc", "a")
-    covered.append(shared.staged(spread_out.mapInPandas(scan, f"doc {kind}, th int, start int, end int"), "covered"))
+    spread_out = every.repartition("key").sortWithinPartitions("key", "id", "a")
+    covered.append(shared.staged(spread_out.mapInPandas(scan, "id long, start int, end int"), "covered"))
     shared.drop_staged(contexts)
     _settle(spark)
     out = covered[0]
     for c in covered[1:]:
         out = out.unionByName(c)
-    return out.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return out.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,42 +291,57 @@ def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s[at], reach[np.r_[at[1:] - 1, len(s) - 1]]
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 200, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, window: int = 200, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), as_text: bool = False, shard_kinds: int = SHARD_KINDS
+) -> DataFrame:
     """(key, kept, n_bytes, n_removed, n_spans, keep...): the bytes of every row that no repeat covers. ``as_text`` gives
-    them as a string, without the bytes of characters that a cut has split."""
-    spans = repeated_spans(docs, window=window, key=key, text=text)
-    spans = spans.select(F.col("doc").alias("s_doc"), F.col("th").alias("s_th"), F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))
-    packed = _packed(docs, key, text, keep)
-    both = packed.join(spans, F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th")), "left").drop("s_doc", "s_th")
-    carried = {f.name: f.dataType.simpleString() for f in packed.schema if f.name in keep}
-    schema = ", ".join([f"doc {packed.schema['doc'].dataType.simpleString()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long", *(f"`{n}` {k}" for n, k in carried.items())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    them as a string, without the bytes of characters that a cut has split. ``keep`` must not name one of the first five."""
+    out_names = (key, "kept", "n_bytes", "n_removed", "n_spans")
+    if len({n.lower() for n in (*out_names, *keep)}) < 5 + len(keep):
+        raise ValueError("keep repeats the name of a column of the result")
+    texts = _distinct(docs, key, text, keep)
+    spans = repeated_spans(texts, window=window, shard_kinds=shard_kinds)
+    spans = spans.select(F.col("id").alias("s_id"), F.col("spans.start").alias("s"), F.col("spans.end").alias("e"))
+    alone = texts.where("times = 1").select("id", "z", "own").join(spans, F.col("id") == F.col("s_id"), "left").select("own", "z", "s", "e")
+    body = pa.string() if as_text else pa.binary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         spread = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.iloc[at : at + 1024]
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 kept, size, removed, runs = [], [], [], []
-                for z, s, e in zip(part["z"], part["s"], part["e"]):
-                    body = spread(z)
-                    size.append(len(body))
-                    if s is None:
-                        kept.append(body)
-                        removed.append(0)
-                        runs.append(0)
-                        continue
-                    x, y = _joined(np.asarray(s, np.int64), np.asarray(e, np.int64))
-                    edges = [0, *np.column_stack([x, y]).ravel().tolist(), len(body)]
-                    kept.append(b"".join(body[i:j] for i, j in zip(edges[::2], edges[1::2])))
-                    removed.append(len(body) - len(kept[-1]))
-                    runs.append(len(x))
-                if as_text:
-                    kept = [k.decode("utf-8", "ignore") for k in kept]
-                yield pd.DataFrame({"doc": part["doc"], "kept": kept, "n_bytes": size, "n_removed": removed, "n_spans": runs, **{n: part[n] for n in carried}})
-
-    return both.mapInPandas(run, schema).withColumnRenamed("doc", key)
+                for z, s, e in zip(part.column("z"), part.column("s"), part.column("e")):
+                    whole = left = spread(z.as_buffer())
+                    n = 0
+                    if s.is_valid:
+                        x, y = _joined(s.values.to_numpy().astype(np.int64), e.values.to_numpy().astype(np.int64))
+                        edges = [0, *np.column_stack([x, y]).ravel().tolist(), len(whole)]
+                        left, n = b"".join(whole[i:j] for i, j in zip(edges[::2], edges[1::2])), len(x)
+                    size.append(len(whole))
+                    removed.append(len(whole) - len(left))
+                    runs.append(n)
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                columns = [part.column("own"), pa.array(kept, body), *(pa.array(c, pa.int64()) for c in (size, removed, runs))]
+                yield pa.RecordBatch.from_arrays(columns, ["own", *out_names[1:]])
+
+    own_kind = alone.schema["own"].dataType.simpleString()
+    single = alone.mapInArrow(run, f"own {own_kind}, kept {body}, n_bytes long, n_removed long, n_spans long")
+    single = single.select(F.col("own.key").alias(key), *out_names[1:], *[F.col(f"own.keep{i}").alias(n) for i, n in enumerate(keep)])
+    # A text of several rows repeats as a whole from the window's length on; a shorter one has no repeats.
+    copies = texts.where("times > 1").select(F.col("digest").alias("c_digest"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    size = F.octet_length(t).cast("long")
+    whole = size >= window
+    rest = F.when(whole, "").otherwise(t)
+    rows = docs.select(
+        F.sha2(t, 256).alias("_digest"), F.col(key).alias(key), (rest if as_text else rest.cast("binary")).alias("kept"), size.alias("n_bytes"), F.when(whole, size).otherwise(0).alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(0).cast("long").alias("n_spans"), *[F.col(f"`{n}`") for n in keep],
+    )
+    several = rows.join(copies, F.col("_digest") == F.col("c_digest"), "left_semi").drop("_digest")
+    return single.unionByName(several)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtrace.llm import labelled, quality, registry, shared, toxicity
+from loomtrace.llm import labelled, mixing, quality, registry, shared, simhash_dedup, toxicity
+
+from .test_dedup_and_mixing import covered_by_brute_force, reach
 
 
 def test_forward_backward_equals_enumeration():
@@ -89,18 +92,65 @@ def test_held_out_accuracy(spark, name, label, modulus, remainder):
     assert np.mean([r.predicted == r[label] for r in rows]) > 0.9
 
 
+def _written(spark, docs, name):
+    path = shared.new_path(spark, f"test-{name}")
+    docs.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def test_pipeline_stages(spark, odd_docs, small):
-    docs = odd_docs.drop("score", "key")
-    sizes = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        path = shared.shared_dir(spark) + f"/test-stage-{name}-{id(docs)}"
-        stage(spark, docs, small).write.parquet(path)
-        docs = spark.read.parquet(path)
-        assert docs.columns == list(corpus_pipeline.COLUMNS)
-        sizes.append(docs.count())
-    assert sizes[1] <= sizes[0] and sizes[2] == sizes[1]
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small)
-    assert pieces.agg({"length": "sum"}).first()[0] >= docs.count()
+    """What every stage keeps, by content."""
+    columns = corpus_pipeline.COLUMNS
+    tuples = lambda d: Counter(tuple(r[c] for c in columns) for r in d.collect())
+    docs = _written(spark, odd_docs, "docs")
+    stages = dict(corpus_pipeline.STAGES)
+
+    clean = _written(spark, stages["toxicity"](spark, docs, small), "clean")
+    tagger = toxicity.train(docs, shared.table(spark, small, "labels"))
+    want = Counter()
+    for r in docs.collect():
+        if tagger.scores(tagger.marginals([toxicity.tokens(r.text or "")]))[0] < 0.3:
+            want[tuple(r[c] for c in columns)] += 1
+    assert clean.columns == list(columns) and tuples(clean) == want
+
+    alone = _written(spark, stages["simhash_near_dedup"](spark, clean, small), "alone")
+    rows = sorted(clean.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    prints = [simhash_dedup.fingerprint((r.text or "").encode()) for r in rows]
+    roots = reach(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4])
+    assert alone.columns == list(columns) and tuples(alone) == Counter(tuple(rows[i][c] for c in columns) for i in set(roots))
+
+    cut = _written(spark, stages["suffix_dedup"](spark, alone, small), "cut")
+    plain = [(r, (r.text or "").encode()) for r in alone.collect()]
+    want = Counter()
+    for (r, t), cover in zip(plain, covered_by_brute_force([t for _, t in plain], 200)):
+        left = bytes(b for k, b in enumerate(t) if k not in cover).decode("utf-8", "ignore")
+        want[r.doc_id, left, r.lang, r.source, len(left)] += 1
+    assert cut.columns == list(columns) and tuples(cut) == want
+
+    mixed = _written(spark, stages["mixing"](spark, cut, small), "mixed")
+    copies = mixing.taken_copies(cut.select(*columns, shared.digest(*columns).alias("uid")), keep=("uid",)).select("own.keep0", "copies").collect()
+    by_uid = {bytes(r.keep0): r.copies for r in copies}
+    want = Counter({tuple(r[c] for c in columns): by_uid[bytes(r.uid)] for r in cut.select(*columns, shared.digest(*columns).alias("uid")).collect()})
+    assert mixed.columns == list(columns) and tuples(mixed) == +want
+
+    pieces = stages["packing"](spark, mixed, small).toPandas()
+    assert Counter(pieces[pieces.start == 0].doc_id.fillna(-1)) == Counter(-1 if r.doc_id is None else r.doc_id for r in mixed.collect())
+
+
+def test_near_copies_of_colliding_and_repeated_rows(spark, small):
+    """Null ids, and rows alike in all columns: a document that is no copy stays, one of each group does."""
+    words = lambda i: " ".join(f"w{i * 31 + k}" for k in range(40))
+    rows = [(None, words(i), "en", "a", 1) for i in range(60)] + [(None, words(0), "en", "a", 1)] * 5 + [(3, words(1), "en", "b", 1)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, _written(spark, docs, "copies"), small).collect())
+    assert got == Counter({(3 if i == 1 else None, words(i)): 1 for i in range(60)})
+
+
+def test_pipeline_of_no_rows(spark, no_docs, small):
+    docs = _written(spark, no_docs, "none")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = _written(spark, stage(spark, docs, small), name)
+        assert docs.count() == 0
 
 
 def test_pipeline_runs(spark, small):

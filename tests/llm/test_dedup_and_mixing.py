@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomtrace.llm import components, mixing, simhash_dedup, suffix_array, suffix_dedup
+from loomtrace.llm import mixing, simhash_dedup, suffix_array, suffix_dedup
 
 
 def reach(n, pairs):
@@ -21,18 +21,8 @@ def reach(n, pairs):
     return [root(i) for i in range(n)]
 
 
-def test_components_of_chains_stars_and_pairs(spark):
-    rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    want = reach(300, edges)
-    assert got == {i: want[i] for e in edges if e[0] != e[1] for i in e}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-@pytest.mark.parametrize("bits", [6, 8, 12])
-def test_near_links_find_every_pair_within_four_bits(spark, monkeypatch, bits):
-    monkeypatch.setattr(simhash_dedup, "head_bits", lambda n: bits)
+@pytest.mark.parametrize("bits, full", [(6, 16_384), (8, 16), (12, 16_384)])
+def test_near_links_find_every_pair_within_four_bits(spark, bits, full):
     rng = np.random.default_rng(bits)
     base = rng.integers(0, 2**63, 25, dtype=np.uint64) * np.uint64(2)
     prints = set(base.tolist())
@@ -44,7 +34,7 @@ def test_near_links_find_every_pair_within_four_bits(spark, monkeypatch, bits):
             prints.add(x)
     prints |= {0, 1, 2**64 - 1}
     u = np.array(sorted(prints), np.uint64)
-    links = simhash_dedup.near_links(spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp long"), n=len(u)).toPandas()
+    links = simhash_dedup.near_links(spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp long"), n=len(u), bits=bits, full=full).toPandas()
     at = {int(x): i for i, x in enumerate(u.view(np.int64))}
     want = reach(len(u), [(i, j) for i in range(len(u)) for j in range(i) if bin(int(u[i] ^ u[j])).count("1") <= 4])
     assert reach(len(u), [(at[a], at[b]) for a, b in zip(links.a, links.b)]) == want
@@ -112,7 +102,7 @@ def test_intervals_form_the_prefix_tree():
 
 
 @pytest.mark.parametrize("kinds", [2, 512])
-def test_remove_repeats_equals_brute_force(spark, odd_docs, kinds, monkeypatch):
+def test_remove_repeats_equals_brute_force(spark, odd_docs, kinds):
     rng = random.Random(kinds)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7)))
     passage = [" ".join(word() for _ in range(60)) for _ in range(3)]
@@ -124,10 +114,10 @@ def test_remove_repeats_equals_brute_force(spark, odd_docs, kinds, monkeypatch):
                 cut = rng.choice([0, 0, 30, 100])
                 parts += [p[cut:], " ".join(word() for _ in range(rng.randint(0, 20)))]
         rows.append((i, " ".join(parts)))
+    rows += [(None, rows[1][1] + " one"), (None, rows[2][1])] + [(95, "".join(rng.choice("pqrst") for _ in range(300)))] * 6
     rows += [(90, "z" * 450), (91, "z" * 199), (92, ""), (93, None), (94, rows[0][1]), (94, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text").where("doc_id <> 8 or doc_id is null"))
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__kwdefaults__", suffix_dedup.repeated_spans.__kwdefaults__ | {"shard_kinds": kinds})
-    got = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect())
+    got = Counter((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs, shard_kinds=kinds).collect())
     plain = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     want = Counter()
     for (i, t), cover in zip(plain, covered_by_brute_force([t for _, t in plain], 200)):
@@ -157,6 +147,9 @@ def test_mixing_reaches_targets(spark, odd_docs, no_docs):
     assert abs(sum(t for _, t, _ in targets.values()) - total) < 1e-6 * total
     level = {t / w for size, t, w in targets.values() if t < 3 * size - 1e-6}
     assert max(level) - min(level) < 1e-6 and all(3 * size / w <= min(level) + 1e-6 for size, t, w in targets.values() if t >= 3 * size - 1e-6)
+    alike = spark.range(1_000_000).selectExpr("cast(null as long) AS doc_id", "'two words' AS text", "if(id < 900000, 'a', 'b') AS source")
+    told = {r.source: r for r in mixing.mix(alike).groupBy("source").agg({"taken": "sum", "copies": "max", "*": "count", "target": "max"}).collect()}
+    assert [told[s]["count(1)"] for s in "ab"] == [900_000, 100_000] and all(abs(r["sum(taken)"] - r["max(target)"]) <= 2 and r["max(copies)"] <= 3 for r in told.values())
     odd = mixing.mix(odd_docs).toPandas()
     assert len(odd) == odd_docs.count() and (odd.taken <= 3 * odd["size"]).all()
     assert mixing.mix(no_docs).count() == 0

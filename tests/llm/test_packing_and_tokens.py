@@ -64,7 +64,8 @@ def test_pack_odd_rows(spark, odd_docs, no_docs):
     for _, w in pieces.groupby("sequence_id"):
         w = w.sort_values("offset")
         assert w["length"].sum() <= 256 and w.offset.tolist() == [0, *w["length"].cumsum().tolist()[:-1]]
-    assert (pieces.doc_id == 4).sum() == 2
+    assert (pieces.doc_id == 4).sum() == 2 and pieces[pieces.doc_id == 4].row.nunique() == 2
+    assert pieces.row.nunique() == odd_docs.count()
     assert packing.pack(no_docs, WORDS).count() == 0
 
 
