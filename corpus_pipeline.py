@@ -1,7 +1,12 @@
 """A training-corpus pipeline of five operators: toxicity, near duplicates, repeated substrings, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), where ``docs`` is what the stage before it kept, read from Parquet, and
-returns the columns of documents (the last one the placed pieces). A text that loses repeated bytes keeps its row, even
+returns the columns of documents (the last one the placed pieces). Rows are told apart by 128 bits of SHA-256 over all columns
+of documents; rows alike in all of them are copies of one another, and stages that choose rows count them.
+
+Defined cases, for all stages: null text counts as empty; null and repeated ids do no harm, as ids identify nothing; whole
+texts are read, however long; ties go to the smaller id, then the smaller digest; an empty table stays empty; columns beyond
+those of documents are left out, whatever their names. A text that loses repeated bytes keeps its row, even
 if nothing is left of it; bytes of a character that a cut has split go with the cut.
 """
 
@@ -19,6 +24,10 @@ from loomtrace.llm import mixing, packing, shared, simhash_dedup, suffix_dedup,
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, shared.digest(*COLUMNS).alias("uid"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger does not call toxic. It learns from the labelled ones among them."""
     tagger = toxicity.train(docs, shared.table(spark, sf_dir, "labels"))
@@ -26,37 +35,48 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one that names it, or one of its rows if its doc_id repeats."""
-    shared.sweep(spark)
-    order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("lead")
-    lead = simhash_dedup.near_duplicates(docs).groupBy("group").agg(order).select(F.col("lead.doc_id").alias("lead_id"), F.col("lead.th").alias("lead_th"))
-    rows = docs.withColumn("th", F.hash(shared.clean_text()))
-    kept = rows.join(lead, F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("th") == F.col("lead_th")))
-    return kept.dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
+    """One document of each near-duplicate group: the one that names it, or one of its rows if its doc_id repeats.
+
+    The rows to drop are few beside those to keep, so they are what is joined: a broadcast while small, else one shuffle."""
+    rows = _identified(docs)
+    found = shared.staged(simhash_dedup.near_duplicates(rows, keep=("uid",)), "groups")
+    lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("lead")
+    leads = found.groupBy("group").agg(lead, F.count("*").alias("n")).where("n > 1").select("group", F.col("lead.uid").alias("lead"))
+    leads = shared.staged(leads, "leads")
+    copies = shared.staged(found.join(leads, "group").select("uid", (F.col("uid") == F.col("lead")).alias("first")), "copies")
+    leading = copies.where("first").groupBy("uid").agg(F.count("*").alias("n"))
+    alike = leading.where("n > 1").select("uid")
+    gone = copies.where("not first").select("uid").distinct().unionByName(alike)
+    kept = rows.join(gone, "uid", "left_anti").select(*COLUMNS)
+    return kept.unionByName(shared.one_of_each(rows.join(alike, "uid", "left_semi"), "uid", *COLUMNS).select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated passages."""
-    shared.sweep(spark)
     kept = suffix_dedup.remove_repeats(docs, keep=("lang", "source"), as_text=True)
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. Rows alike in every column are taken as often as all of them together."""
-    shared.sweep(spark)
-    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("th"))
-    taken = mixing.mix(rows, keep=("th",)).groupBy("doc_id", "th").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "copies")
-    kept = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("th") == F.col("t_th"))).dropDuplicates(["doc_id", "th"])
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    rows = _identified(docs)
+    taken = mixing.taken_copies(rows, keep=("uid",)).where("copies > 0").select(F.col("own.keep0").alias("uid"), "n", "copies")
+    taken = shared.staged(taken, "taken")
+    alike = taken.where("n > 1").select("uid", "copies")
+    single = rows.join(taken.where("n = 1").select("uid", "copies"), "uid")
+    several = shared.one_of_each(rows.join(alike.select("uid"), "uid", "left_semi"), "uid", *COLUMNS).join(alike, "uid")
+    # A row taken often is repeated in two steps, so that no task writes all of it.
+    steps = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(mixing.ALIKE).cast("long"))
+    several = several.withColumn("from", F.explode(steps)).repartition("uid", "from")
+    several = several.withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + mixing.ALIKE, F.col("copies")) - 1)))
+    single = single.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return single.select(*COLUMNS).unionByName(several.select(*COLUMNS))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of token windows; the last stage."""
     import public_tokenizers
 
-    shared.sweep(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -77,10 +97,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = shared.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{k}-{name}")
+        before = shared.made()
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        shared.sweep(spark, before)
         if k:
             shared.delete(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
-    shared.sweep(spark)
+    shared.keep_until_exit(base, spark)
     return docs
