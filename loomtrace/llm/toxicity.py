@@ -2,33 +2,37 @@
 
 Labelled tokens come from labelled documents: a word of a toxic document counts as toxic if one of its features (the word
 or a prefix) is far more frequent in toxic than in other documents of the sample. Features are hashed into a weight table of fixed
-size; the field has two states and is fitted by gradient ascent on the exact likelihood. Scoring runs
+size; the field has two states and is fitted by gradient ascent on the exact likelihood of all tokens of the sample, a block of
+chunks at a time. Scoring runs
 forward and backward over whole texts: each step is a 2 x 2 map of the state odds, so blocks of steps are multiplied
 first and the odds at their borders found in order, which keeps the recursion exact and vectorised. Marginals
 aggregate to a document score by a logistic function of the largest and the summed marginals; tokens above one half give the offending offsets.
 
-Defined cases: null or wordless text scores as a text without toxic tokens; without labels of both classes every score
-is the share of label 1; repeated rows get equal scores; labels of null or other values are left out.
+Defined cases: null or wordless text scores as a text without toxic tokens; a very long text is scored whole; without labels
+of both classes every score is the share of label 1 (0.5 without any); repeated rows get equal scores; labels of null or other
+values are left out; an empty table gives an empty result; a column of the input that has the name of a new one is replaced by it.
+Offsets are characters of the text as it stands.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import labelled, shared
 
 #: The bounded sample: rows of each class, and bytes of the longest text that is learned from.
-PER_CLASS, LONGEST = 2000, 65_536
+PER_CLASS, LONGEST = 2500, 65_536
 SLOTS = 1 << 20
 CHUNK = 64
+#: Chunks of a block of the fit, and passes over all blocks.
+BLOCK, EPOCHS = 1024, 6
 #: How likely chance may make a feature look telling, and the least share of toxic texts that have it.
 CHANCE, SHARE = 1e-3, 0.01
 WORDS = re.compile(r"[^\W\d_]+")
@@ -36,8 +40,8 @@ CACHE_ENTRIES = 300_000
 
 
 def features(word: str) -> list[int]:
-    """Slots of a word's features: itself and its prefixes of three to six letters."""
-    return [zlib.crc32(n.encode()) % SLOTS for n in names(word)]
+    """Slots of the features of a word, in lower case: itself and its prefixes of three to six letters."""
+    return [zlib.crc32(n.encode()) % SLOTS for n in names(word.lower())]
 
 
 def names(word: str) -> list[str]:
@@ -134,7 +138,7 @@ class SpanTagger:
 
 
 def tokens(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return WORDS.findall(text)
 
 
 NO_FEATURE = np.uint32(0xFFFFFFFF)
@@ -143,9 +147,9 @@ NO_FEATURE = np.uint32(0xFFFFFFFF)
 class Sample:
     """The texts of a training sample as word numbers; words keep the hashes of themselves and of their features."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: Iterable[str]):
         index: dict[str, int] = {}
-        self.docs = [np.fromiter((index.setdefault(w, len(index)) for w in tokens(t)), np.int32) for t in texts]
+        self.docs = [np.fromiter((index.setdefault(w.lower(), len(index)) for w in tokens(t)), np.int32) for t in texts]
         self.hashes = np.fromiter((zlib.crc32(w.encode()) for w in index), np.uint32, len(index))
         self.features = np.full((len(index), 5), NO_FEATURE, np.uint32)
         for i, w in enumerate(index):
@@ -183,48 +187,31 @@ class Sample:
         return np.isin(self.features, telling).any(axis=1)
 
 
-def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clean_chunks: int = 2000) -> SpanTagger:
-    """Fit the field and the document scale on a bounded sample."""
-    none = SpanTagger(np.zeros(SLOTS, np.float32), np.ones((2, 2)), 0.0, (0.0,) * 4, constant=share)
-    if len(set(y.tolist())) < 2:
-        return none
-    sample = Sample(texts)
-    alone = sample.distinct()
-    y = y[alone]
-    if len(set(y.tolist())) < 2:
-        return none
-    toxic = sample.toxic_words(alone, y)
-    rows, tags, wanted = [], [], []
-    for i, label in zip(alone, y):
-        ids = sample.docs[i]
-        hit = toxic[ids]
-        for at in range(0, len(ids), CHUNK):
-            rows.append(ids[at : at + CHUNK])
-            tags.append(hit[at : at + CHUNK] & bool(label))
-            # Chunks with such a word are all learned from, tagged in toxic documents, not tagged in clean ones.
-            wanted.append(bool(hit[at : at + CHUNK].any()))
-    order = np.random.default_rng(17).permutation(len(rows))
-    plain = [i for i in order if not wanted[i]][:clean_chunks]
-    use = sorted([i for i in order if wanted[i]][: 3 * clean_chunks] + plain)
-    used = np.unique(np.concatenate([rows[i] for i in use])) if use else np.zeros(0, np.int64)
-    x, t, mask = (np.zeros((len(use), CHUNK), k) for k in (np.int32, bool, bool))
-    for r, i in enumerate(use):
-        n = len(rows[i])
-        x[r, :n], t[r, :n], mask[r, :n] = np.searchsorted(used, rows[i]) + 1, tags[i], True
-    del rows, tags
-    some = sample.features[used]
-    owner, column = np.nonzero(some != NO_FEATURE)
-    flat = (some[owner, column] % SLOTS).astype(np.int64)
-    owner, word_slots = owner + 1, len(used) + 1
-    slots, local = np.unique(flat, return_inverse=True)
-    weight, trans, start = np.zeros(len(slots)), np.zeros((2, 2)), -3.0
-    sq_w, sq_t, sq_s = np.full(len(slots), 1e-8), np.full((2, 2), 1e-8), 1e-8
-    pair_seen = np.array([[(mask[:, 1:] & (t[:, :-1] == a) & (t[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    for _ in range(rounds):
-        emission = np.bincount(owner, weights=weight[local], minlength=word_slots)
+class Block:
+    """Chunks of tagged words, with the features of the words in them."""
+
+    def __init__(self, rows: list[np.ndarray], tags: list[np.ndarray], sample: Sample):
+        n = len(rows)
+        ids, self.t, self.mask = np.zeros((n, CHUNK), np.int32), np.zeros((n, CHUNK), bool), np.zeros((n, CHUNK), bool)
+        for r, (row, tag) in enumerate(zip(rows, tags)):
+            ids[r, : len(row)], self.t[r, : len(row)], self.mask[r, : len(row)] = row, tag, True
+        used, place = np.unique(ids[self.mask], return_inverse=True)
+        self.x = np.zeros((n, CHUNK), np.int32)  # 0 stands for no word
+        self.x[self.mask] = place + 1
+        some = sample.features[used]
+        self.owner, column = np.nonzero(some != NO_FEATURE)
+        self.slots, self.local = np.unique((some[self.owner, column] % SLOTS).astype(np.int64), return_inverse=True)
+        self.owner, self.words = self.owner + 1, len(used) + 1
+        self.pairs = np.array([[(self.mask[:, 1:] & (self.t[:, :-1] == a) & (self.t[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+
+    def gradient(self, weight: np.ndarray, trans: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the log likelihood by the weights of this block's slots, the log transition factors and the start, by exact
+        forward and backward passes over all chunks side by side."""
+        x, mask = self.x, self.mask
+        emission = np.bincount(self.owner, weights=weight[self.slots][self.local], minlength=self.words)
         e = np.exp(np.clip(emission[x], -30, 30))
         T = np.exp(trans)
-        f0, f1 = np.ones(x.shape), np.empty(x.shape)
+        f1 = np.empty(x.shape)
         f1[:, 0] = e[:, 0] * np.exp(start)
         for k in range(1, CHUNK):  # odds of the states, going forward
             r = f1[:, k - 1]
@@ -235,21 +222,50 @@ def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clea
             b1[:, k] = np.where(mask[:, k + 1], (T[1, 0] + T[1, 1] * v) / (T[0, 0] + T[0, 1] * v), 1.0)
         odds = f1 * b1
         m = np.where(mask, odds / (1 + odds), 0.0)
-        gap = np.where(mask, t - m, 0.0)
-        per_word = np.bincount(x.ravel(), weights=gap.ravel(), minlength=word_slots)
-        g = np.bincount(local, weights=per_word[owner], minlength=len(slots)) - 0.05 * weight
-        right = np.stack([np.ones_like(b1[:, 1:]), e[:, 1:] * b1[:, 1:]])
-        left = np.stack([f0[:, :-1], f1[:, :-1]])
+        per_word = np.bincount(x.ravel(), weights=np.where(mask, self.t - m, 0.0).ravel(), minlength=self.words)
+        right = (np.ones_like(b1[:, 1:]), e[:, 1:] * b1[:, 1:])
+        left = (np.ones_like(f1[:, :-1]), f1[:, :-1])
         joint = np.array([[T[a, b] * left[a] * right[b] for b in (0, 1)] for a in (0, 1)])
         joint /= joint.sum(axis=(0, 1))
-        gt = pair_seen - np.where(mask[:, 1:], joint, 0.0).sum(axis=(2, 3)) - 0.1 * trans
-        gs = (t[:, 0] - m[:, 0]).sum()
-        sq_w, sq_t, sq_s = sq_w + g * g, sq_t + gt * gt, sq_s + gs * gs
-        weight, trans, start = weight + 0.6 * g / np.sqrt(sq_w), trans + 0.3 * gt / np.sqrt(sq_t), start + 0.3 * gs / np.sqrt(sq_s)
-    table = np.zeros(SLOTS, np.float32)
-    table[slots] = weight
+        expected = np.where(mask[:, 1:], joint, 0.0).sum(axis=(2, 3))
+        return np.bincount(self.local, weights=per_word[self.owner], minlength=len(self.slots)), self.pairs - expected, float((self.t[:, 0] - m[:, 0]).sum())
+
+
+def fit(texts: Iterable[str], y: list[int] | np.ndarray, share: float) -> SpanTagger:
+    """Fit the field and the document scale on a bounded sample. ``y`` may grow while ``texts`` are read."""
+    none = SpanTagger(np.zeros(SLOTS, np.float32), np.ones((2, 2)), 0.0, (0.0,) * 4, constant=share)
+    sample = Sample(texts)
+    y = np.asarray(y, np.int64)
+    if labelled.one_class(y):
+        return none
+    alone = sample.distinct()
+    y = y[alone]
+    if labelled.one_class(y):
+        return none
+    toxic = sample.toxic_words(alone, y)
+    rows, tags = [], []
+    for i, label in zip(alone, y):
+        ids = sample.docs[i]
+        hit = toxic[ids] & bool(label)
+        rows += [ids[at : at + CHUNK] for at in range(0, len(ids), CHUNK)]
+        tags += [hit[at : at + CHUNK] for at in range(0, len(ids), CHUNK)]
+    order = np.random.default_rng(17).permutation(len(rows)).tolist()
+    blocks = [Block([rows[i] for i in order[at : at + BLOCK]], [tags[i] for i in order[at : at + BLOCK]], sample) for at in range(0, len(order), BLOCK)]
+    del rows, tags
+    weight, trans, start = np.zeros(SLOTS), np.zeros((2, 2)), -3.0
+    sq_w, sq_t, sq_s = np.full(SLOTS, 1e-8), np.full((2, 2), 1e-8), 1e-8
+    for _ in range(max(EPOCHS, 30 // max(1, len(blocks)))):
+        for block in blocks:
+            g, gt, gs = block.gradient(weight, trans, start)
+            at = block.slots
+            g, gt = g - 0.05 / len(blocks) * weight[at], gt - 0.1 / len(blocks) * trans
+            sq_w[at] += g * g
+            sq_t, sq_s = sq_t + gt * gt, sq_s + gs * gs
+            weight[at] += 0.6 * g / np.sqrt(sq_w[at])
+            trans, start = trans + 0.3 * gt / np.sqrt(sq_t), start + 0.3 * gs / np.sqrt(sq_s)
+    del blocks
+    table = weight.astype(np.float32)
     tagger = SpanTagger(table, np.exp(trans), float(start), (0.0,) * 4)
-    del x, t, mask
     emission = np.where(sample.features != NO_FEATURE, table[sample.features % SLOTS], 0).sum(axis=1, dtype=float)
     s = np.empty((len(alone), 3))
     for k, i in enumerate(alone):
@@ -269,49 +285,39 @@ def fit(texts: list[str], y: np.ndarray, share: float, *, rounds: int = 30, clea
 
 
 def spans(text: str, m: np.ndarray) -> list[dict[str, int]]:
-    """Offsets of runs of neighbouring tokens whose marginal is above one half (in the lower-cased text)."""
+    """Offsets of runs of neighbouring tokens whose marginal is above one half, in characters of the text."""
     out: list[dict[str, int]] = []
-    for k, match in enumerate(WORDS.finditer(text.lower())):
+    before = -2
+    for k, match in enumerate(WORDS.finditer(text)):
         if m[k] > 0.5:
-            if out and out[-1]["k"] == k - 1:
-                out[-1] |= {"end": match.end(), "k": k}
+            if before == k - 1:
+                out[-1]["end"] = match.end()
             else:
-                out.append({"start": match.start(), "end": match.end(), "k": k})
-    return [{"start": s["start"], "end": s["end"]} for s in out]
+                out.append({"start": match.start(), "end": match.end()})
+            before = k
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> SpanTagger:
-    rows, share = labelled.sample(docs, labels, "toxic", modulus=4, remainder=2, per_class=per_class, longest=LONGEST, key=key, text=text)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(), share)
+    return labelled.fitted(docs, labels, "toxic", fit, modulus=4, remainder=2, per_class=per_class, longest=LONGEST, key=key, text=text)
 
 
 def score(docs: DataFrame, tagger: SpanTagger, *, text: str = "text", threshold: float = 0.3, prefix: str = "") -> DataFrame:
     """All columns of ``docs`` with score, predicted and spans behind them (named with ``prefix``). One pass, no shuffle."""
-    out = f"{prefix}score double, {prefix}predicted int, {prefix}spans array<struct<start:int,end:int>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), out])
-    held = docs.sparkSession.sparkContext.broadcast(tagger)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagger = held.value
-        shared.claim("toxicity", tagger.known.clear)
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500].copy()
-                texts = [t or "" for t in part[text]]
-                found = tagger.marginals([tokens(t) for t in texts])
-                s = tagger.scores(found)
-                part[f"{prefix}score"] = s
-                part[f"{prefix}predicted"] = (s >= threshold).astype("int32")
-                part[f"{prefix}spans"] = [spans(t, m) if len(m) and m.max() > 0.5 else [] for t, m in zip(texts, found)]
-                yield part
-
-    return docs.mapInPandas(run, schema)
+
+    def run(tagger: SpanTagger, texts: list[str]) -> list:
+        found = tagger.marginals([tokens(t) for t in texts])
+        s = tagger.scores(found)
+        return [s, (s >= threshold).astype("int32"), [spans(t, m) if len(m) and m.max() > 0.5 else [] for t, m in zip(texts, found)]]
+
+    names = {f"{prefix}score": "double", f"{prefix}predicted": "int", f"{prefix}spans": "array<struct<start:int,end:int>>"}
+    return labelled.scored(docs, names, tagger, run, operator="toxicity", forget=lambda m: m.known.clear(), text=text, rows=500)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     tagger = train(docs, shared.table(spark, sf_dir, "labels"))
-    return score(docs, tagger).select("doc_id", labelled.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return score(docs, tagger).select("doc_id", labelled.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted", "spans")
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}

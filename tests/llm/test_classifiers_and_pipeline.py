@@ -55,6 +55,10 @@ def test_tagger_learns_words_and_offsets():
     for t, m in zip(texts[500:520], marginals):
         for s in toxicity.spans(t, m):
             assert all(w.startswith(("grobbel", "wumpf")) for w in t[s["start"] : s["end"]].split())
+    odd = "\u0130\u0130 \u00df Grobbel GROBBEL plain"  # lower-casing all of it would move the offsets
+    assert toxicity.spans(odd, np.array([0.1, 0.1, 0.9, 0.9, 0.1])) == [{"start": 5, "end": 20}] and odd[5:20] == "Grobbel GROBBEL"
+    m = tagger.marginals([toxicity.tokens(odd)])[0]
+    assert m[2] > 0.5 and m[3] > 0.5
     assert toxicity.fit(["a"], np.array([1]), 0.4).scores([np.zeros(0)]).tolist() == [0.4]
 
 
@@ -67,6 +71,36 @@ def test_votes_learn_shapes():
     assert 0 <= model.score([""])[0] <= 1
 
 
+def test_votes_learn_words():
+    """Texts of equal shapes that differ in their words alone."""
+    rng = np.random.default_rng(7)
+    kinds = [["alpha", "gamma", "delta", "kappa"], ["omega", "sigma", "theta", "lambd"]]
+    y = rng.integers(0, 2, 400)
+    texts = [" ".join(rng.choice(kinds[k] + ["other", "plain"], rng.integers(20, 60))) for k in y]
+    model = quality.fit(texts[:250], y[:250], float(y.mean()))
+    assert ((model.score(texts[250:]) >= 0.5) == y[250:]).mean() > 0.97
+
+
+def test_votes_equal_brute_force():
+    texts, y = made(200, 5, ["grobbel", "wumpf"])
+    texts[20:60] = [texts[20]] * 40  # more ties than neighbours
+    model = quality.fit(texts, y, 0.4)
+    project = model.project(texts)
+    for text, got in zip([*texts[:30], "", "x" * 500], model.score([*texts[:30], "", "x" * 500])):
+        v = model.project([text])[0]
+        cosines = [round(float(v @ w), 9) for w in model.vectors]
+        near = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[: quality.NEIGHBOURS]
+        weight = [np.exp(10 * (cosines[i] - 1)) * (0.4 / y.mean() if y[i] else 0.6 / (1 - y.mean())) for i in near]
+        assert abs(got - sum(w * y[i] for w, i in zip(weight, near)) / sum(weight)) < 1e-6
+    assert np.allclose(np.linalg.norm(project, axis=1), 1)
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", {"x": [1]}, "mine")], "doc_id long, text string, tags map<string,array<int>>, Score string")
+    got = quality.score(docs, quality.fit(["a"], [1], 0.25))
+    assert got.columns == ["doc_id", "text", "tags", "score", "predicted"] and got.first().score == 0.25 and got.first().tags == {"x": [1]}
+
+
 def test_held_out_rule(spark):
     d = spark.range(200).select("id", labelled.held_out(F.col("id"), 4, 2).alias("h"))
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in d.collect())
