@@ -3,20 +3,25 @@
 For one pre-token the table ``last[i]`` holds the final token of the encoding of its first ``i`` bytes and
 ``count[i]`` the number of tokens. A token ``t`` ends the encoding of a prefix exactly if the token before it and
 ``t`` stand side by side unmerged, so ``count[i] = count[i - len(t)] + 1`` for the one suffix token that is
-compatible with ``last[i - len(t)]``. Prefix counts answer "how many tokens", "where does a budget of n tokens end"
-and "is it over the limit" without encoding the text again.
-
-Defined cases: null text counts as empty (0 tokens); special strings are one token each, as the library's default;
-repeated rows give repeated rows; other columns of the input are not read, so their names cannot clash.
+compatible with ``last[i - len(t)]``; an automaton over the vocabulary gives the suffix tokens of all prefixes in one pass. Texts
+are sums over blank-separated chunks, whose totals are remembered. The exact count after every ``STEP`` characters is stored with
+each text, so "how many tokens has this prefix", "where does a budget of n tokens end" and "is it over the limit" are answered by
+a search in the stored counts and the tables of the characters up to the next of them, without encoding the text again.
+
+Defined cases: null text counts as empty (0 tokens); special strings are one token each, as the library's default; a very long
+text or word takes time in proportion to its length, and words beyond ``LONGEST_CHUNK`` letters are not remembered; rows that
+repeat, also under one key or none, give rows of their own; an empty table gives an empty result; other columns of the input are
+not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
-from os.path import commonprefix
+from itertools import accumulate, chain, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +32,16 @@ from . import shared
 #: The split pattern of the public byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("'re", "'ve", "'ll")
-#: Pre-tokens and token pairs that a worker remembers at most; beyond it the table starts anew.
-CACHE_ENTRIES = 500_000
+#: Chunks, pre-tokens and token pairs that a worker remembers at most, beyond which a table starts anew, and the letters of the
+#: longest that it remembers.
+CACHE_ENTRIES, LONGEST_CHUNK = 500_000, 48
+#: Characters between two stored counts.
+STEP = 1024
 NEVER = 1 << 60
+#: A blank inside a run of white space: such a run is cut elsewhere than at its blanks.
+INNER_BLANK = re.compile(r"\s (?:\s|$)")
+#: Stands between pre-tokens that are looked at together; no byte does.
+APART = "\u0100"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -44,31 +56,39 @@ class PrefixCounter:
     """Prefix token counts for a byte-level BPE vocabulary file in the ``tokenizers`` JSON format."""
 
     def __init__(self, vocabulary: str):
+        import ahocorasick
         import regex
 
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in byte_alphabet().items()}
         raw = lambda s: bytes(back[c] for c in s)
-        self.tokens = {raw(t) for t in spec["model"]["vocab"] if all(c in back for c in t)}
-        self.rank: dict[tuple[bytes, bytes], int] = {}
+        ids: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        self.rank: dict[tuple[int, int], int] = {}
+        #: How each token is made: the rank of its merge and its two halves; single bytes are not.
+        self.made: list[tuple[int, int, int] | None] = [None] * 256
         for i, m in enumerate(spec["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank[raw(a), raw(b)] = i
-        #: How each token is made: the rank of its merge and its two halves.
-        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
-        for (a, b), i in self.rank.items():
-            self.made.setdefault(a + b, (i, a, b))
-        self.longest = max(map(len, self.tokens))
+            a, b = map(raw, m if isinstance(m, list) else m.split(" "))
+            pair = ids[a], ids[b]
+            self.rank[pair] = i
+            if a + b not in ids:
+                ids[a + b] = len(self.made)
+                self.made.append((i, *pair))
+        #: Tokens as Latin-1 strings, with length and number.
+        self.suffixes = ahocorasick.Automaton()
+        for t, i in ids.items():
+            self.suffixes.add_word(t.decode("latin-1"), (len(t), i))
+        self.suffixes.make_automaton()
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.special_heads = tuple(specials)
         self.split = regex.compile(SPLIT)
         self.blank = regex.compile(r"\s*")
-        self._beside: dict[tuple[bytes, bytes], bool] = {}
+        self._beside: dict[int, bool] = {}
         self._totals: dict[str, int] = {}
+        self._chunks: dict[str, int] = {}
 
-    def _stand_beside(self, left: bytes, right: bytes) -> bool:
+    def _stand_beside(self, left: int, right: int) -> bool:
         """Whether ``left`` and ``right`` stay apart: going back through the merges that made the tokens at their
         border, no merge across it comes before those that take its two sides away. Equal merges go left to right."""
         x, y, x_gone, y_gone = left, right, NEVER, NEVER
@@ -77,7 +97,7 @@ class PrefixCounter:
             m = rank.get((x, y))
             if m is not None and m < x_gone and m <= y_gone:
                 return False
-            x_made, y_made = made.get(x), made.get(y)
+            x_made, y_made = made[x], made[y]
             if x_made is not None and (y_made is None or x_made[0] > y_made[0]):
                 x_gone, x = x_made[0], x_made[2]
             elif y_made is not None:
@@ -85,41 +105,47 @@ class PrefixCounter:
             else:
                 return True
 
-    def _extend(self, piece: bytes, shared: int, count: list[int], last: list[bytes]) -> None:
-        """Fill the tables of ``piece`` beyond its first ``shared`` bytes."""
-        n, tokens, beside, longest = len(piece), self.tokens, self._beside, self.longest
-        del count[shared + 1 :], last[shared + 1 :]
-        for end in range(shared + 1, n + 1):
-            for start in range(max(0, end - longest), end):
-                t = piece[start:end]
-                if t in tokens:
-                    if start:
-                        pair = (last[start], t)
-                        fits = beside.get(pair)
-                        if fits is None:
-                            fits = beside[pair] = self._stand_beside(*pair)
-                    else:
-                        fits = True
-                    if fits:
-                        count.append(count[start] + 1)
-                        last.append(t)
-                        break
+    def _tables(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Token counts of every byte prefix of each pre-token, index 0 to its length."""
+        beside, stand = self._beside, self._stand_beside
+        pieces_left = iter(pieces)
+        base = size = 0
+        count: list[int] = []
+        last: list[int] = []
+        # One pass of the automaton over all of them; at each end it names the longest token first.
+        for end, (n, t) in self.suffixes.iter(APART.join(p.decode("latin-1") for p in pieces)):
+            at = end - base + 1
+            if at > size:  # the next pre-token
+                if size:
+                    yield count
+                    base += size + 1
+                while not (size := len(next(pieces_left))):
+                    yield [0]
+                    base += 1
+                count, last, at = [0], [0], end - base + 1
+            if at == len(count):
+                start = at - n
+                if start:
+                    pair = last[start] << 20 | t
+                    fits = beside.get(pair)
+                    if fits is None:
+                        fits = beside[pair] = stand(last[start], t)
+                    if not fits:
+                        continue
+                count.append(count[start] + 1)
+                last.append(t)
+        if size:
+            yield count
+        for _ in pieces_left:
+            yield [0]
 
     def piece_counts(self, piece: bytes) -> list[int]:
-        """Token counts of every byte prefix of one pre-token, index 0 to ``len(piece)``."""
-        count, last = [0], [b""]
-        self._extend(piece, 0, count, last)
-        return count
+        return next(self._tables([piece]))
 
     def learn(self, pieces: list[str]) -> None:
-        """Totals of new pre-tokens; in sorted order each goes on from the prefix that it shares with the one before."""
-        count, last, before, totals = [0], [b""], b"", self._totals
-        for piece in sorted(pieces):
-            data = piece.encode()
-            shared = len(commonprefix((before, data)))
-            self._extend(data, shared, count, last)
-            totals[piece] = count[-1]
-            before = data
+        """Totals of new pre-tokens."""
+        for piece, counts in zip(pieces, self._tables([p.encode() for p in pieces])):
+            self._totals[piece] = counts[-1]
 
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         if self.special is None or not any(s in text for s in self.special_heads):
@@ -129,23 +155,63 @@ class PrefixCounter:
             if part:
                 yield part, bool(k % 2)
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of whole texts: the entries of their longest prefixes."""
-        specials, plain = [0] * len(texts), []
-        for i, text in enumerate(texts):
-            parts = []
-            for part, special in self._segments(text):
-                if special:
-                    specials[i] += 1
-                else:
-                    parts += self.split.findall(part)
-            plain.append(parts)
-        known = self._totals
-        for table in (known, self._beside):
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        """Totals of chunks, each behind the blank that comes before it."""
+        split, totals = self.split.findall, self._totals
+        parts = [split(" " + c) for c in chunks]
+        self.learn([p for p in set(chain.from_iterable(parts)) if p not in totals])
+        known = totals.__getitem__
+        self._chunks.update((c, sum(map(known, ps))) for c, ps in zip(chunks, parts))
+
+    def _plain(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        parts = self.split.findall(text)
+        self.learn([p for p in set(parts) if p not in self._totals])
+        return sum(map(self._totals.__getitem__, parts))
+
+    def _forget(self) -> None:
+        for table in (self._totals, self._beside, self._chunks):
             if len(table) > CACHE_ENTRIES:
                 table.clear()
-        self.learn([p for p in set(chain.from_iterable(plain)) if p not in known])
-        return [n + sum(map(known.__getitem__, parts)) for n, parts in zip(specials, plain)]
+        for table in (self._totals, self._chunks):
+            for w in [w for w in table if len(w) > LONGEST_CHUNK] if self.long else ():
+                del table[w]
+        self.long = False
+
+    long = False
+
+    def tables(self, texts: list[str]) -> Iterator[PrefixTable]:
+        """The stored counts of whole texts."""
+        self._forget()
+        simple = [not INNER_BLANK.search(t) and not (self.special and any(s in t for s in self.special_heads)) for t in texts]
+        chunks = [t.split(" ") if ok else [] for t, ok in zip(texts, simple)]
+        new = [c for c in set(chain.from_iterable(cs[1:] for cs in chunks)) if c not in self._chunks]
+        self.long = any(len(c) > LONGEST_CHUNK for cs in chunks for c in cs) or not all(simple)
+        self._learn_chunks(new)
+        known = self._chunks.__getitem__
+        for text, ok, cs in zip(texts, simple, chunks):
+            if not ok:
+                yield PrefixTable(self, text, *self._runs(text))
+                continue
+            counts = list(accumulate(map(known, cs[1:]), initial=self._plain(cs[0])))
+            ends = list(accumulate(map((1).__add__, map(len, cs[1:])), initial=len(cs[0])))
+            yield PrefixTable(self, text, ends, counts)
+
+    def _runs(self, text: str) -> tuple[list[int], list[int]]:
+        """(ends, counts) after every pre-token and special string."""
+        ends, counts, at, total = [0], [0], 0, 0
+        for part, special in self._segments(text):
+            pieces = [part] if special else self.split.findall(part)
+            if not special:
+                self.learn([p for p in set(pieces) if p not in self._totals])
+            for p in pieces:
+                at, total = at + len(p), total + (1 if special else self._totals[p])
+                ends.append(at)
+                counts.append(total)
+        return ends, counts
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [t.total for t in self.tables(texts)]
 
     def count(self, text: str) -> int:
         return self.counts([text])[0]
@@ -200,17 +266,65 @@ class PrefixCounter:
             base += ends[-1]
         return out
 
-    def cut(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix up to and in the first pre-token that passes the budget, within the budget."""
-        at, spent = 0, 0
-        for part, special in self._segments(text):
-            for piece in [part] if special else self.split.findall(part):
-                n = 1 if special else self._totals.get(piece) or self.piece_counts(piece.encode())[-1]
-                if spent + n > budget:
-                    inside = [0] if special else [0, *self._chars(piece)]
-                    return at + max(i for i, k in enumerate(inside) if spent + k <= budget)
-                at, spent = at + len(piece), spent + n
-        return at
+
+class PrefixTable:
+    """Exact token counts at the ends of a text's chunks, from which that of any prefix follows."""
+
+    def __init__(self, counter: PrefixCounter, text: str, ends: list[int], counts: list[int]):
+        self.counter, self.text, self.ends, self.counts = counter, text, ends, counts
+
+    @property
+    def total(self) -> int:
+        return self.counts[-1]
+
+    def _clean(self, k: int) -> int:
+        """The last end up to number ``k`` at which no white space run and no special string can go on."""
+        text, heads = self.text, self.counter.special_heads
+        while k >= 0:
+            end = self.ends[k]
+            if end and not text[end - 1].isspace() and text[end : end + 1] in ("", " ") and not text[end + 1 : end + 2].isspace() and not any(s in text[end - len(s) : end + len(s)] for s in heads):
+                return k
+            k -= 1
+        return -1
+
+    def _start(self, n: int) -> tuple[int, int]:
+        """(characters, tokens) up to the last clean end before character ``n``."""
+        k = self._clean(bisect_right(self.ends, n) - 1)
+        return (self.ends[k], self.counts[k]) if k >= 0 else (0, 0)
+
+    def at(self, n: int) -> int:
+        """Tokens of the first ``n`` characters: those up to a clean end, and of the few characters from there."""
+        begin, base = self._start(n)
+        piece, special = self.text[begin:n], self.counter.special
+        return base + (self.counter._plain(piece) if not special or not special.search(piece) else self.counter.prefix_counts(piece)[-1])
+
+    def stored(self, step: int = STEP) -> list[int]:
+        """Counts after every ``step`` characters, up to the text's length; a long chunk is gone through once."""
+        out: list[int] = []
+        places = [(n, *self._start(n)) for n in range(step, len(self.text) + 1, step)]
+        for (begin, base), some in groupby(places, key=lambda p: p[1:]):
+            ns = [p[0] for p in some]
+            if len(ns) == 1:
+                out.append(self.at(ns[0]))
+            else:
+                inside = self.counter.prefix_counts(self.text[begin : ns[-1]])
+                out += [base + inside[n - begin] for n in ns]
+        return out
+
+    def cut(self, budget: int) -> int:
+        """Characters of a longest prefix within the budget: up to the first chunk that passes it, and in that chunk."""
+        if self.total <= budget:
+            return len(self.text)
+        k = bisect_right(self.counts, budget)
+        first = self.ends[k - 1] if k else 0
+        begin, base = self._start(first)
+        inside = self.counter.prefix_counts(self.text[begin : self.ends[k]])
+        return max((n for n in range(first, self.ends[k]) if base + inside[n - begin] <= budget), default=first)
+
+
+def kept_within(stored: list[int], total: int, length: int, budget: int, step: int = STEP) -> int:
+    """Characters that stored counts show to be within a budget, without the text: a multiple of ``step``, or all."""
+    return length if total <= budget else step * bisect_right(stored, budget)
 
 
 @lru_cache(maxsize=2)
@@ -219,23 +333,26 @@ def counter(vocabulary: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, *, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its key, UTF-8 bytes, exact tokens, whether over ``limit``, and the characters that
-    the budget of ``limit`` tokens keeps. One pass over the scan's partitions, no shuffle; a worker keeps counts of
-    at most ``CACHE_ENTRIES`` pre-tokens."""
+    """One row per row of ``docs``: its key, UTF-8 bytes, exact tokens, whether over ``limit``, the characters that the budget of
+    ``limit`` tokens keeps, and ``prefix_tokens``, the exact counts after every ``STEP`` characters. One pass over the scan's
+    partitions, no shuffle; a worker keeps counts of at most ``CACHE_ENTRIES`` chunks."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shared.claim("token_counts", counter.cache_clear)
         c = counter(vocabulary)
         for b in batches:
-            texts = b["t"].tolist()
-            n = [k for at in range(0, len(texts), 1000) for k in c.counts(texts[at : at + 1000])]
-            cut = [c.cut(t, limit) if k > limit else len(t) for t, k in zip(texts, n)]
-            yield pd.DataFrame({key: b["k"], "n_bytes": b["n"], "n_tokens": n, "over_limit": [k > limit for k in n], "kept_chars": cut})
+            texts, n, cut, stored = b["t"].tolist(), [], [], []
+            for at in range(0, len(texts), 1000):
+                for t in c.tables(texts[at : at + 1000]):
+                    n.append(t.total)
+                    cut.append(t.cut(limit))
+                    stored.append(t.stored())
+            yield pd.DataFrame({key: b["k"], "n_bytes": b["n"], "n_tokens": n, "over_limit": [k > limit for k in n], "kept_chars": cut, "prefix_tokens": stored})
 
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(key).alias("k"), t.alias("t"), F.octet_length(t).cast("long").alias("n")).mapInPandas(
-        run, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long"
+        run, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long, prefix_tokens array<int>"
     )
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -19,20 +20,39 @@ def texts(n, seed):
 
 def test_counts_and_every_prefix_equal_the_library():
     library, counter = Tokenizer.from_file(BYTES), token_counts.PrefixCounter(BYTES)
-    for t in texts(700, 3):
+    some = texts(700, 3)
+    for t, table in zip(some, counter.tables(some)):
         want = [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
-        assert counter.count(t) == want[-1]
+        assert table.total == want[-1]
         assert counter.prefix_counts(t) == want
+        assert [table.at(k) for k in range(len(t) + 1)] == want
+        assert table.stored(3) == want[3::3]
+
+
+def test_stored_counts_of_long_texts_equal_the_library(spark):
+    library, counter = Tokenizer.from_file(BYTES), token_counts.PrefixCounter(BYTES)
+    rng = random.Random(11)
+    some = [" ".join(rng.choice(["the", "word,", "x\ny", "", "unbelievably", "z" * 90, "don't", "12.5", "\n", "ß" * 5]) for _ in range(900)) for _ in range(5)] + ["y" * 3000]
+    for t, table in zip(some, counter.tables(some)):
+        assert table.stored() == [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(1024, len(t) + 1, 1024)]
+    begun = time.time()
+    for t in ("ab" * 150_000, " " * 200_000, "a" * 100_000 + " b"):
+        table = next(counter.tables([t]))
+        assert table.total == len(library.encode(t, add_special_tokens=False).ids) and table.stored()[-1] <= table.total and table.cut(1024) < len(t)
+    assert time.time() - begun < 60
+    assert not [w for w in counter._totals if len(w) > token_counts.LONGEST_CHUNK] or counter.long
 
 
 def test_cut_is_within_budget():
     counter = token_counts.PrefixCounter(BYTES)
     t = "The quick brown fox jumps over the lazy dog and unbelievably keeps running onwards. " * 3
-    counts = counter.prefix_counts(t)
+    counts, table = counter.prefix_counts(t), next(counter.tables([t]))
     for budget in (0, 1, 5, 17, 1000):
-        cut = counter.cut(t, budget)
+        cut = table.cut(budget)
         assert counts[cut] <= budget
         assert cut == len(t) or max(counts[cut + 1 : cut + 20], default=budget + 1) > budget
+        kept = token_counts.kept_within(table.stored(16), counts[-1], len(t), budget, 16)
+        assert counts[kept] <= budget and (kept == len(t) or counts[min(kept + 16, len(t))] > budget)
 
 
 def test_token_counts_on_odd_rows(spark, odd_docs, no_docs):
@@ -41,6 +61,8 @@ def test_token_counts_on_odd_rows(spark, odd_docs, no_docs):
     want = sorted((r.doc_id or -1, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect())
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    text = {r.doc_id: r.text or "" for r in odd_docs.collect()}
+    assert all(r.prefix_tokens == [len(library.encode(text[r.doc_id][:k], add_special_tokens=False).ids) for k in range(1024, len(text[r.doc_id]) + 1, 1024)] for r in got if r.doc_id != 8)
     assert token_counts.token_counts(no_docs, BYTES).count() == 0
 
 
