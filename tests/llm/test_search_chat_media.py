@@ -55,6 +55,7 @@ def test_chat_round_trip_and_loss_mask(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<!|x", "a<!!|<|", "", None, "<", "|", "line\nline", '{"json": [1]}', "\\u0000 \t", "😀" * 3]
     rows = [(c, t, ["system", "user", "assistant"][(c + t) % 3], odd[(c * 3 + t) % len(odd)], "i", "r") for c in range(25) for t in range(1 + c % 6)]
     rows += [(100, 0, "human", "x", None, None), (100, 1, "gpt", "y", None, None), (101, 0, "user", "q", None, None), (101, 1, "assistant", "a<|im_end|>", None, None), (102, None, None, None, None, None), (None, 0, "user", "no id", None, None), (103, 5, "assistant", "tie", None, None), (103, 5, "assistant", "tie", None, None)]
+    rows += [(110 + i, 0, r, "t", None, None) for i, r in enumerate(("a\nb", "\n", "<n|", "<nn|\n<\n|", "<!n|<|n", "<n", "|\n<n<n||", "<!|\r\n"))]
     turns = spark.createDataFrame(rows, CHATS)
     done = chat_format.format_records(chat_format.records_of(turns).withColumnRenamed("conv_id", "id"), key="id").collect()
     back = chat_format.digests(spark.createDataFrame(done).withColumnRenamed("id", "conv_id")).collect()
@@ -76,10 +77,15 @@ def test_fingerprints_select_each_layout_and_unknown_records_are_kept(spark):
         "messages": {"id": "1", "messages": [{"role": "user", "content": "c"}]}, "messages in body": {"id": "1", "body": {"messages": [{"content": "c", "role": "user"}]}}, "from and value": {"id": "1", "conversations": [{"from": "human", "value": "v"}]},
         None: {"id": "1", "weird": [[{"a": 1}], []]},
     }
+    partly = {"messages?": [{"id": "1", "messages": []}, {"messages": [{"role": "user", "content": "c", "name": "n"}], "id": "1"}], "prompt?": [{"prompt": "p", "response": "r", "extra": {"k": [1]}}]}
     rows = [(i, json.dumps(r)) for i, r in enumerate(records.values())] + [(50, "not json"), (51, None)]
     got = {r.id: r for r in chat_format.format_records(spark.createDataFrame(rows, "id long, record string")).collect()}
     assert [got[i].layout for i in range(len(records))] == list(records)
     assert got[50].layout is None and got[51].layout is None and got[50].formatted == ""
+    more = spark.createDataFrame([(layout, json.dumps(r)) for layout, rs in partly.items() for r in rs], "id string, record string")
+    done = chat_format.format_records(more).collect()
+    assert all(r.layout == r.id for r in done) and sorted(r.formatted.count(chat_format.START) for r in done) == [0, 1, 2]
+    assert {r.id for r in chat_format.unread(chat_format.format_records(spark.createDataFrame(rows, "id long, record string"))).collect()} == {len(records) - 1, 50, 51}
 
 
 def test_field_paths_of_nested_records(spark):
