@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import tarfile
 import zlib
 from urllib.parse import urlparse
@@ -12,15 +13,11 @@ from loomtrace.llm import chat_format, media, shared, topk_search
 
 
 def brute(rows, every, k):
-    q = {}
-    for i, v in rows:
-        if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(256 * x)) for x in v]
-            q[i] = min(q.get(i, w), w)
+    fit = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, a in q.items():
+    for n, (i, a) in enumerate(fit):
         if i % every == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in q.items() if j != i and len(a) == len(b))
+            s = sorted((-sum(x * y for x, y in zip(a, b)), j) for m, (j, b) in enumerate(fit) if m != n and len(a) == len(b))
             out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s[:k])]
     return sorted(out)
 
@@ -33,15 +30,44 @@ def table(spark, rows):
 def test_top_k_equals_brute_force(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", shard_rows)
     monkeypatch.setattr(topk_search, "LEAF_ROWS", 4)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 7)
+    monkeypatch.setattr(topk_search, "ROOT_ROWS", 3)
     rng = np.random.default_rng(5)
     v = rng.standard_normal((180, 6)).round(2)
     v[20:60] = v[20]  # ties and one common vector
+    v[150:160] *= 1000
     rows = [(int(i), [float(np.float32(x)) for x in v[i]], None, None) for i in range(180)]
-    rows += [(200, None, None, None), (201, [1.0, None, 2.0, 0.0, 0.0, 0.0], None, None), (202, [float("nan")] * 6, None, None), (203, [], None, None), (None, [1.0] * 6, None, None), (10, [0.5] * 6, None, None), (210, [1.0, 2.0], None, None)]
+    rows += [(200, None, None, None), (201, [1.0, None, 2.0, 0.0, 0.0, 0.0], None, None), (202, [float("nan")] * 6, None, None), (203, [], None, None), (None, [1.0] * 6, None, None), (10, [0.5] * 6, None, None), (210, [1.0, 2.0], None, None), (220, [], None, None)]
+    rows += [(30, rows[30][1], None, None)] * 3 + [(11, [1e6, 2.5e5, -7e5, 3.0, 0.25, 1.0], None, None), (250, [3e5] * 6, None, None), (12, [-1e-20, 1e-20, -0.0, 0.5, -3.0, 2.0], None, None)]
     got = topk_search.top_k(table(spark, rows), k=5, every=10)
     assert sorted(tuple(r) for r in got.collect()) == brute([r[:2] for r in rows], 10, 5)
 
 
+def test_huge_components_are_exact_or_raise(spark):
+    big = [float(np.float32(x)) for x in (3e6, 7e6, -2e6, 1.0)]
+    rows = [(0, big, None, None), (1, [big[0] + 1, *big[1:]], None, None), (2, [1.0, 2.0, 3.0, 4.0], None, None), (3, big, None, None)]
+    got = topk_search.top_k(table(spark, rows)).collect()
+    assert sorted(tuple(r) for r in got) == brute([r[:2] for r in rows], 50, 5)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk_search.top_k(table(spark, [(0, [1e20], None, None), (1, [1e20], None, None)])).collect()
+
+
+def test_branch_and_bound_cuts_subtrees():
+    """Well separated groups: few leaves are read, and none that holds a better row is missed."""
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.standard_normal((2000, 8)) + 100 * np.eye(8)[rng.integers(0, 8, 2000)])
+    tree = topk_search.BallTree(np.arange(2000), np.arange(2000), x)
+    read, of = [], topk_search.dot
+    try:
+        topk_search.dot = lambda a, b, exact: read.append(a.shape[0] * b.shape[0]) or of(a, b, exact)
+        score, _ = tree.search(np.arange(50), x[:50], 5, np.full(50, -np.inf))
+    finally:
+        topk_search.dot = of
+    full = x[:50] @ x.T
+    full[np.arange(50), np.arange(50)] = -np.inf
+    assert (score == -np.sort(-full, axis=1)[:, :5]).all() and sum(read) < 0.4 * full.size
+
+
 def test_top_k_of_few_and_no_rows(spark):
     assert topk_search.top_k(table(spark, [])).count() == 0
     got = topk_search.top_k(table(spark, [(0, [1.0], None, None), (1, [2.0], None, None)])).collect()
