@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from .evaluation import guarded_saving
+from ..staging import drop_staged, numbered, staged
+from .evaluation import guarded_saving, resample_counts
 
 
 def bundle_metrics(pairs: DataFrame) -> DataFrame:
@@ -72,23 +73,62 @@ def _dominates(a: str, b: str, objectives: tuple[str, ...]) -> Column:
     return every & some
 
 
-def first_front(items: DataFrame, objectives: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
-    """Items that no other (of their group) dominates."""
-    on = _dominates("o", "i", objectives)
-    for c in within:
-        on = on & (F.col(f"o.{c}") == F.col(f"i.{c}"))
-    return items.alias("i").join(items.alias("o"), on, "left_anti")
+def undominated(x: np.ndarray) -> np.ndarray:
+    """Rows of distinct objectives that no other row dominates. Whoever dominates a row has a greater sum, so rows are
+    held against the front found so far, in the order of their sums."""
+    front = np.zeros((0, x.shape[1]))
+    for row in x[np.argsort(-x.sum(axis=1), kind="stable")]:
+        if not (front >= row).all(axis=1).any():
+            front = np.vstack([front, row])
+    return front
+
+
+def skyline(items: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
+    """Distinct objective vectors that none dominates: fronts of partitions, merged eight to one, so a task holds front members only."""
+    flat = items.select(*[F.col(o).cast("double").alias(o) for o in objectives]).dropna().distinct()
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((0, len(objectives)))
+        for b in batches:
+            held = undominated(np.vstack([held, b.to_numpy(float)]))
+        yield pd.DataFrame(held, columns=list(objectives))
 
-def fronts(items: DataFrame, objectives: tuple[str, ...], key: str = "item_id", most: int = 100) -> DataFrame:
-    """Items with their front rank, peeled front by front (report tables: tens of rows)."""
-    left, out, rank = items.persist(), None, 1
-    while rank <= most and not left.isEmpty():
-        front = first_front(left, objectives)
-        ranked = front.withColumn("front", F.lit(rank))
-        out = ranked if out is None else out.unionByName(ranked)
-        left, rank = left.join(front.select(key), key, "left_anti").persist(), rank + 1
-    return out if out is not None else items.withColumn("front", F.lit(0)).limit(0)
+    while True:
+        flat = flat.repartition(parts).mapInPandas(local, flat.schema)
+        if parts == 1:
+            return flat
+        parts = -(-parts // 8)
+
+
+def first_front(items: DataFrame, objectives: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
+    """Items that no other (of their group) dominates; one that lacks an objective is dominated by none."""
+    if within:
+        on = _dominates("o", "i", objectives)
+        for c in within:
+            on = on & (F.col(f"o.{c}") == F.col(f"i.{c}"))
+        return items.alias("i").join(items.alias("o"), on, "left_anti")
+    best = skyline(items, objectives)
+    on, lacking = F.lit(True), F.lit(False)
+    named = best.select(*[F.col(o).alias(f"_best_{i}") for i, o in enumerate(objectives)])
+    for i, o in enumerate(objectives):
+        on, lacking = on & (F.col(o).cast("double") == F.col(f"_best_{i}")), lacking | F.col(o).isNull()
+    return items.join(named, on, "left_semi").unionByName(items.where(lacking))
+
+
+def fronts(items: DataFrame, objectives: tuple[str, ...], key: str = "item_id") -> DataFrame:
+    """Items with their front rank, peeled front by front until none is left; each step is a table in the shared folder."""
+    left, out, rank = staged(items, "items"), [], 1
+    while not left.isEmpty():
+        front = staged(first_front(left, objectives).withColumn("front", F.lit(rank)), "front")
+        out.append(front)
+        rest = staged(left.join(front.select(key), key, "left_anti"), "items")
+        drop_staged(left)
+        left, rank = rest, rank + 1
+    ranked = items.withColumn("front", F.lit(0)).limit(0)
+    for front in out:
+        ranked = ranked.unionByName(front)
+    return ranked
 
 
 def bootstrap_pareto(pairs: DataFrame, *, samples: int, seed: int, least_exposure: int = 1) -> DataFrame:
@@ -96,19 +136,9 @@ def bootstrap_pareto(pairs: DataFrame, *, samples: int, seed: int, least_exposur
 
     Draws are a table (b, place, task): the resamples are then grouped sums and an anti-join per sample, in parallel."""
     spark = pairs.sparkSession
-    tasks = pairs.select("sample_id").distinct().withColumn("task", F.row_number().over(_by_sample()) - 1)
+    tasks = numbered(pairs.select("sample_id").distinct(), "sample_id", name="task")
     n = tasks.count()
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for b in part["id"]:
-                rng = np.random.default_rng(seed)
-                rng.bit_generator.advance(0)
-                for _ in range(int(b)):
-                    rng.integers(0, n, size=n)
-                yield pd.DataFrame({"b": int(b), "task": rng.integers(0, n, size=n)})
-
-    draws = spark.range(0, samples, 1, 8).mapInPandas(draw, "b long, task long").groupBy("b", "task").agg(F.count("*").alias("times"))
+    draws = resample_counts(spark, n, samples, seed)
     rows = pairs.join(tasks, "sample_id").join(draws, "task")
     b, c, t = F.col("base_success").cast("int"), F.col("cand_success").cast("int"), F.col("times")
     mean = lambda x: F.sum(x * t) / F.sum(t)
@@ -120,12 +150,6 @@ def bootstrap_pareto(pairs: DataFrame, *, samples: int, seed: int, least_exposur
     return j.select("bundle", "exposure", "performance", "gain", F.round("saving", 6).alias("saving"), F.round(F.coalesce(F.col("on_front") / F.col("present"), F.lit(0.0)), 6).alias("front_probability"))
 
 
-def _by_sample():
-    from pyspark.sql import Window
-
-    return Window.orderBy("sample_id")
-
-
 def structural_scores(rows: DataFrame, cluster: str) -> DataFrame:
     """One row: outcome purity, event purity and compactness of a partition, weighed by cluster size."""
     o, e = purity(rows, cluster, "outcome"), purity(rows, cluster, "event_type")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import numbered
+
 KEY = ("sample_id", "repeat_id")
 
 
@@ -68,38 +71,63 @@ def pearson(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def bootstrap_means(tasks: DataFrame, value: str = "value", *, samples: int = 1000, seed: int = 42, batch: int = 512, order: str = "sample_id", draws: str = "batched") -> DataFrame:
-    """(b, mean): task-resampled means, drawn as numpy's PCG64 draws them. ``draws`` keeps three published orders apart:
-    ``batched`` integers in batches, ``once`` one matrix of integers, ``choice`` one matrix of choices.
+#: Task values are held as one array up to so many; beyond it the draws meet them in a join.
+HELD = 1_000_000
+
+
+def _block_states(n: int, samples: int, seed: int, batch: int) -> list[tuple[int, int, bytes]]:
+    """(first sample, samples, state of the generator before them) of each block: every draw is made once here, so no block has to
+    repeat those before it."""
+    rng, out = np.random.default_rng(seed), []
+    for first in range(0, samples, batch):
+        size = min(batch, samples - first)
+        out.append((first, size, pickle.dumps(rng.bit_generator.state)))
+        for _ in range(size if first + batch < samples else 0):
+            rng.integers(0, n, size=n)
+    return out
+
+
+def _resampled(spark: SparkSession, n: int, samples: int, seed: int, batch: int, use: Callable[[int, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``use(b, draws)`` for every sample b, its draws of n tasks as numpy's PCG64 gives them row by row, in blocks."""
+    blocks = spark.createDataFrame(_block_states(n, samples, seed, batch), "first long, size long, state binary")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for first, size, state in part.itertuples(index=False, name=None):
+                rng = np.random.default_rng()
+                rng.bit_generator.state = pickle.loads(bytes(state))
+                for b in range(first, first + size):
+                    yield use(b, rng.integers(0, n, size=n))
+
+    return blocks.repartition(max(1, min(200, -(-samples // batch)))).mapInPandas(run, schema)
+
+
+def resample_counts(spark: SparkSession, n: int, samples: int, seed: int, batch: int = 64) -> DataFrame:
+    """(b, task, times): how often each sample draws each of n tasks."""
+
+    def use(b: int, draws: np.ndarray) -> pd.DataFrame:
+        task, times = np.unique(draws, return_counts=True)
+        return pd.DataFrame({"b": b, "task": task, "times": times})
+
+    return _resampled(spark, n, samples, seed, batch, use, "b long, task long, times long")
+
 
-    The draw indices are blocks of rows for the executors; task means travel once, as one array (a task table is small: it is checked)."""
+def bootstrap_means(tasks: DataFrame, value: str = "value", *, samples: int = 1000, seed: int = 42, batch: int = 512, order: str = "sample_id", held: int = HELD) -> DataFrame:
+    """(b, mean): task-resampled means, drawn as numpy's PCG64 draws them, whether the draws come in batches, as one matrix or as
+    choices: those streams are one and the same.
+
+    Task means travel once, as one array, if they are at most ``held``; of more the draws are counted and joined with them."""
     spark = tasks.sparkSession
     n = tasks.count()
     if n == 0:
         raise ValueError("no tasks to resample")
-    if n > 1_000_000:
-        raise ValueError("bootstrap means are held as one array of at most a million tasks")
+    if n > held:
+        placed = numbered(tasks.select(order, F.col(value).cast("double").alias("v")), order, name="task")
+        drawn = resample_counts(spark, n, samples, seed).join(placed, "task")
+        return drawn.groupBy("b").agg((F.sum(F.col("v") * F.col("times")) / n).alias("mean"))
     values = np.array([r[0] for r in tasks.orderBy(order).select(F.col(value).cast("double")).collect()])
-    held = spark.sparkContext.broadcast(values)
-    blocks = spark.range(0, -(-samples // batch), 1, numPartitions=max(1, min(8, -(-samples // batch))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = held.value
-        for part in batches:
-            for k in part["id"]:
-                rng = np.random.default_rng(seed)
-                first, size = int(k) * batch, min(batch, samples - int(k) * batch)
-                if draws == "batched":
-                    for done in range(int(k)):
-                        rng.integers(0, len(v), size=(min(batch, samples - done * batch), len(v)))
-                    index = rng.integers(0, len(v), size=(size, len(v)))
-                elif draws == "once":
-                    index = rng.integers(0, len(v), size=(samples, len(v)))[first : first + size]
-                else:
-                    index = rng.choice(len(v), size=(samples, len(v)), replace=True)[first : first + size]
-                yield pd.DataFrame({"b": np.arange(first, first + size), "mean": v[index].mean(axis=1)})
-
-    return blocks.mapInPandas(run, "b long, mean double")
+    shared = spark.sparkContext.broadcast(values)
+    return _resampled(spark, n, samples, seed, batch, lambda b, draws: pd.DataFrame({"b": [b], "mean": [shared.value[draws].mean()]}), "b long, mean double")
 
 
 def interval(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -97,19 +97,23 @@ def goal_events(goal: Column) -> Column:
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
+#: Where an observation names its goal, anywhere and as a line of its own.
+GOAL, GOAL_LINE = r"(?i)your task is to:\s*(.+?)(?:\n|$)", r"(?im)^your task is to:\s*(.+?)\s*$"
+
+
 def observed_goal(observation: Column) -> Column:
     """Goal behind "your task is to:", normalised; empty if there is none."""
-    return tx.normalise(F.regexp_extract(observation, r"(?i)your task is to:\s*(.+?)(?:\n|$)", 1))
+    return tx.normalise(F.regexp_extract(observation, GOAL, 1))
 
 
 def observed_goal_or(observation: Column, task_goal: Column) -> Column:
     """The same with its case kept; the task's goal where nothing is observed."""
-    return F.coalesce(F.nullif(F.trim(F.regexp_extract(observation, r"(?i)your task is to:\s*(.+?)(?:\n|$)", 1)), F.lit("")), task_goal)
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(observation, GOAL, 1)), F.lit("")), task_goal)
 
 
 def line_goal(observation: Column) -> Column:
     """Goal of a line that begins with the words, case kept."""
-    return F.trim(F.regexp_extract(observation, r"(?im)^your task is to:\s*(.+?)\s*$", 1))
+    return F.trim(F.regexp_extract(observation, GOAL_LINE, 1))
 
 
 def reward_band(score: Column) -> Column:

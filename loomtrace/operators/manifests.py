@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 import random
+from array import array
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Exact parity with shuffles on the driver is kept up to so many ids; beyond it an order by hash takes their place.
-DRIVER_IDS = 1_000_000
-
+from ..staging import numbered, staged
 
 def _order(ids: DataFrame, seed: int, column: str) -> DataFrame:
-    """ids with ``place``, their position from 0 in a seeded order."""
+    """ids with ``place``, their position from 0 in the order that Python's seeded shuffle of the sorted ids gives, at any number.
+
+    The shuffle moves positions alone, in one task (8 bytes each), and is joined with the ids' own positions."""
     spark = ids.sparkSession
-    if ids.count() <= DRIVER_IDS:
-        found = sorted(r[0] for r in ids.select(column).collect())
-        random.Random(seed).shuffle(found)
-        return spark.createDataFrame([(x, i) for i, x in enumerate(found)], f"{column} {ids.schema[column].dataType.simpleString()}, place long")
-    return ids.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(column, F.lit(seed)), column)) - 1)
+    sorted_ids = numbered(ids.select(column), column, name="_index")
+    n = sorted_ids.count()
+
+    def shuffled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            at = array("q", range(n))
+            random.Random(seed).shuffle(at)
+            for k in range(0, n, 65_536):
+                yield pd.DataFrame({"_index": at[k : k + 65_536], "place": range(k, min(k + 65_536, n))})
+
+    places = spark.range(0, 1, 1, 1).mapInPandas(shuffled, "_index long, place long")
+    return sorted_ids.join(staged(places, "places"), "_index").select(column, "place")
 
 
 def partition(ids: DataFrame, sizes: dict[str, int], *, seed: int, column: str = "sample_id") -> DataFrame:

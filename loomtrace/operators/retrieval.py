@@ -4,29 +4,59 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as vx
+from .validation import require_empty
 
-#: Indexes up to so many bytes of vectors travel to every task; larger ones are dealt out and the queries travel.
-BROADCAST_BYTES = 64 << 20
+#: One task holds so many queries, and index vectors of so many bytes.
+QUERY_ROWS, INDEX_BYTES = 2048, 32 << 20
 
 
 def search(queries: DataFrame, index: DataFrame, k: int, *, penalties: DataFrame | None = None) -> DataFrame:
     """(query_id, skill_id, rank, score, cosine): top k by cosine less penalty, then cosine, then id. ``score`` ranks; the match keeps its plain cosine.
 
-    queries: query_id, vector; index: skill_id, vector. The smaller side by checked size is broadcast; top k is kept per partition first."""
-    q, x = queries.select("query_id", F.col("vector").alias("q")), index
+    queries: query_id, vector; index: skill_id, vector. Blocks of both form a grid of matrix products, each of which keeps its own top
+    k. A negative penalty and one of an unknown id raise."""
+    x = index.select("skill_id", F.col("vector").cast("array<double>").alias("v"))
     if penalties is not None:
-        x = x.join(penalties, "skill_id", "left")
-    x = x.select("skill_id", F.col("vector").alias("x"), (F.coalesce("penalty", F.lit(0.0)) if penalties is not None else F.lit(0.0)).alias("penalty"))
-    size = index.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0]
-    j = q.crossJoin(F.broadcast(x)) if size <= BROADCAST_BYTES else x.repartition("skill_id").crossJoin(q)
-    j = j.select("query_id", "skill_id", vx.cosine(F.col("q"), F.col("x"), float("-inf")).alias("cosine"), "penalty").withColumn("score", F.round(F.col("cosine") - F.col("penalty"), 12))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.round("cosine", 12)), "skill_id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "skill_id", "rank", "score", "cosine")
+        known = penalties.join(index.select("skill_id", F.lit(True).alias("known")).distinct(), "skill_id", "left")
+        require_empty(known.where(F.col("known").isNull() | (F.col("penalty") < 0)), "penalties of unknown ids, or negative ones")
+        x = x.join(penalties.select("skill_id", "penalty"), "skill_id", "left")
+    else:
+        x = x.withColumn("penalty", F.lit(0.0))
+    size, n = index.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0))).first()[0], queries.count()
+    parts, blocks = max(1, -(-size // INDEX_BYTES)), max(1, -(-n // QUERY_ROWS))
+    deal = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m))
+    cell = lambda part, block: (part * blocks + block).alias("cell")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    kinds = {"q": queries.schema["query_id"].dataType, "s": index.schema["skill_id"].dataType}
+    none = lambda kind: F.lit(None).cast(kind)
+    left = queries.withColumn("o", every(parts)).select(cell(F.col("o"), deal("query_id", blocks)), F.col("query_id").alias("q"), none(kinds["s"]).alias("s"), F.col("vector").cast("array<double>").alias("v"), F.lit(0.0).alias("penalty"))
+    right = x.withColumn("o", every(blocks)).select(cell(deal("skill_id", parts), F.col("o")), none(kinds["q"]).alias("q"), F.col("skill_id").alias("s"), "v", F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+    q_kind, s_kind = (kinds[c].simpleString() for c in "qs")
+
+    def near(part: pa.Table) -> pa.Table:
+        is_query = pc.is_valid(part.column("q"))
+        q, x = part.filter(is_query), part.filter(pc.invert(is_query))
+        empty = pa.table({"q": q.column("q").slice(0, 0), "s": x.column("s").slice(0, 0), "cosine": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        if not len(q) or not len(x):
+            return empty
+        x = x.take(pc.sort_indices(x, [("s", "ascending")]))
+        a, b = (np.stack([np.asarray(v) for v in t.column("v").to_pylist()]) for t in (q, x))
+        norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+        cosine = np.divide(a @ b.T, norms, out=np.full(norms.shape, -np.inf), where=norms > 0)
+        score = np.round(cosine - x.column("penalty").to_numpy()[None, :], 12)
+        top = np.array([np.lexsort((-np.round(c, 12), -s))[:k] for c, s in zip(cosine, score)])  # stable: rows stand by id
+        who = np.repeat(np.arange(len(q)), top.shape[1])
+        return pa.table({"q": q.column("q").take(pa.array(who)), "s": x.column("s").take(pa.array(top.ravel())), "cosine": cosine[who, top.ravel()], "score": score[who, top.ravel()]})
+
+    found = left.unionByName(right).groupBy("cell").applyInArrow(near, f"q {q_kind}, s {s_kind}, cosine double, score double")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), F.desc(F.round("cosine", 12)), "s")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("s").alias("skill_id"), "rank", "score", "cosine")
 
 
 def thresholded(found: DataFrame, least: float) -> DataFrame:

@@ -327,7 +327,7 @@ def q01(spark, sf):
 def q02(spark, sf):
     d = ev.paired(traces.episodes(spark, sf)).groupBy("sample_id").agg(F.avg(F.col("cand_primary_score") - F.col("base_primary_score")).alias("value"))
     named = lambda n, **k: ev.interval(ev.bootstrap_means(d, samples=1000, **k)).withColumn("variant", F.lit(n))
-    return named("choice", seed=20260715, draws="choice").unionByName(named("integers", seed=42, draws="once"))
+    return named("choice", seed=20260715).unionByName(named("integers", seed=42))
 
 
 @query("q03_bootstrap_pareto")
@@ -365,14 +365,14 @@ def q07(spark, sf):
     """Candidate minus baseline, second repeat minus first, with a task bootstrap."""
     d = ev.paired(traces.episodes(spark, sf)).withColumn("d", F.col("cand_primary_score") - F.col("base_primary_score"))
     did = d.groupBy("sample_id").agg((F.avg(F.when(F.col("repeat_id") == 1, F.col("d"))) - F.avg(F.when(F.col("repeat_id") == 0, F.col("d")))).alias("value")).where("value is not null")
-    return ev.interval(ev.bootstrap_means(did, samples=1000, seed=42, draws="once")).crossJoin(did.agg(F.round(F.avg("value"), 6).alias("estimate")))  # one row each
+    return ev.interval(ev.bootstrap_means(did, samples=1000, seed=42)).crossJoin(did.agg(F.round(F.avg("value"), 6).alias("estimate")))  # one row each
 
 
 @query("q08_noninferiority_gate")
 def q08(spark, sf):
     """Gate: mean difference at least 0 and one-sided lower bound at least -0.03."""
     d = ev.paired(traces.episodes(spark, sf)).groupBy("sample_id").agg(F.avg(F.col("cand_success").cast("int") - F.col("base_success").cast("int")).alias("value"))
-    i = ev.interval(ev.bootstrap_means(d, samples=1000, seed=42, draws="once")).crossJoin(d.agg(F.avg("value").alias("mean_delta")))  # one row each
+    i = ev.interval(ev.bootstrap_means(d, samples=1000, seed=42)).crossJoin(d.agg(F.avg("value").alias("mean_delta")))  # one row each
     return i.select(F.round("mean_delta", 6).alias("mean_delta"), F.round("one_sided_low", 6).alias("lower_bound"), ((F.col("mean_delta") >= 0) & (F.col("one_sided_low") >= -0.03)).alias("passes"))
 
 

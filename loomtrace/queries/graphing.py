@@ -92,7 +92,8 @@ def g07(spark, sf):
 
 
 def _spectrum(spark, sf):
-    return gr.eigenpairs(gr.laplacian(gr.edge_algebra(*_graph(spark, sf))), 16)
+    graph = _graph(spark, sf)
+    return gr.eigenpairs(gr.laplacian(gr.edge_algebra(*graph)), 16, nodes=graph[0].select("segment_id"))
 
 
 @query("g08_spectral_representation")
@@ -113,13 +114,9 @@ def g09(spark, sf):
 
 @query("g10_semantic_clusters")
 def g10(spark, sf):
-    """K-means on the vectors themselves with a borrowed K: a driver-size sample of nodes, checked."""
-    n = traces.nodes(spark, sf)
-    if n.count() > gr.BLOCK_NODES:
-        raise ValueError("semantic clusters are fitted on at most a block of nodes")
-    got = n.select("segment_id", vx.unit(F.col("embedding")).alias("v")).orderBy("segment_id").toPandas()
-    labels = gr.k_means(np.stack(got["v"].to_numpy()), 5, starts=3)
-    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(got["segment_id"], labels)], "segment_id long, cluster int")
+    """K-means on the vectors themselves with a borrowed K."""
+    n = traces.nodes(spark, sf).select("segment_id", vx.unit(F.col("embedding")).alias("v"))
+    return gr.k_means_table(n, 5, key="segment_id", vector="v", starts=3)
 
 
 @query("g11_exclusive_clusters", sql("nodes", "l AS (SELECT segment_id, CASE WHEN event_type IN (0, 1) THEN 'event:' || event_type ELSE 'spectral:' || (segment_id % 4) END AS name FROM nodes), m AS (SELECT name, min(segment_id) AS first FROM l GROUP BY 1) SELECT segment_id, (dense_rank() OVER (ORDER BY first) - 1)::INTEGER AS cluster FROM l JOIN m USING (name)"))

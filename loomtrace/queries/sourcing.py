@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import traces
+from ..operators import runs as rn
 from ..operators import sequences as sq
 from ..oracle import sql
 from ..sources import files as fs
@@ -214,21 +215,34 @@ def s21(spark, sf):
 # ---- run state
 
 
+_RESULT = "trajectory_id string, shard int, primary_score double, error string"
+
+
 @query("st02_checkpoint_resume", sql("episodes", "SELECT count(*) FILTER (steps % 3 = 0) AS completed, count(*) FILTER (steps % 3 <> 0) AS pending FROM episodes"))
 def st02(spark, sf):
+    """A checkpoint with a line that an interruption cut, and errors, which complete nothing."""
     path = fs.scratch(spark, "checkpoint")
-    e = traces.episodes(spark, sf)
-    done = e.where("steps % 3 = 0").select("trajectory_id")
-    done.unionByName(done).write.parquet(path)  # a retry wrote its rows twice
-    completed = spark.read.parquet(path).dropDuplicates(["trajectory_id"])
-    pending = e.select("trajectory_id").join(completed, "trajectory_id", "left_anti")
-    return completed.agg(F.count("*").alias("completed")).crossJoin(pending.agg(F.count("*").alias("pending")))  # one row each
+    e = traces.episodes(spark, sf).select("trajectory_id", F.lit(0).alias("shard"), F.col("primary_score"), "steps")
+    rn.append(e.where("steps % 3 = 0").select("trajectory_id", "shard", "primary_score", F.lit(None).cast("string").alias("error")), path)
+    broken = spark.range(1).select(F.lit('{"trajectory_id": "u0-w').alias("value"))
+    broken.write.mode("append").option("lineSep", " ").text(path)
+    done = rn.completed(spark, path, _RESULT, ("trajectory_id",))
+    left = rn.pending(e.select("trajectory_id"), done, ("trajectory_id",))
+    return done.agg(F.count("*").alias("completed")).crossJoin(left.agg(F.count("*").alias("pending")))  # one row each
 
 
-@query("st03_shard_runner", sql("episodes", "m AS (SELECT *, ((row_number() OVER (ORDER BY trajectory_id) - 1) % 4)::INTEGER AS shard FROM episodes) SELECT shard, count(*) AS selected, count(*) FILTER (steps % 3 <> 0) AS pending, count(*) FILTER (steps % 3 <> 0 AND invalid_actions > 5) AS errors FROM m GROUP BY 1"))
+@query("st03_shard_runner", sql("episodes", "m AS (SELECT *, ((row_number() OVER (ORDER BY trajectory_id) - 1) % 4)::INTEGER AS shard FROM episodes) SELECT shard, count(*) AS selected, count(*) FILTER (steps % 3 = 0) AS skipped, count(*) FILTER (steps % 3 <> 0 AND invalid_actions <= 5) AS completed, count(*) FILTER (steps % 3 <> 0 AND invalid_actions > 5) AS failed FROM m GROUP BY 1"))
 def st03(spark, sf):
-    m = sq.shards(traces.episodes(spark, sf).select("trajectory_id", "steps", "invalid_actions"), 4, "trajectory_id")
-    return m.groupBy("shard").agg(F.count("*").alias("selected"), F.count_if(F.col("steps") % 3 != 0).alias("pending"), F.count_if((F.col("steps") % 3 != 0) & (F.col("invalid_actions") > 5)).alias("errors"))
+    """Four shards of which some episodes are done and some fail."""
+
+    def execute(row):
+        if row["invalid_actions"] > 5:
+            raise ConnectionError("the episode was interrupted")
+        return {"trajectory_id": row["trajectory_id"], "shard": row["shard"], "primary_score": row["primary_score"]}
+
+    e = traces.episodes(spark, sf).select("trajectory_id", "steps", "invalid_actions", "primary_score")
+    _, _, summary = rn.run_shards(e, e.where("steps % 3 = 0"), execute, key=("trajectory_id",), of=4)
+    return summary
 
 
 # ---- extension surface

@@ -16,6 +16,7 @@ from loomtrace.operators import manifests as mf
 from loomtrace.operators import mining as mi
 from loomtrace.operators import policies as po
 from loomtrace.operators import retrieval as rt
+from loomtrace.operators import runs as rn
 from loomtrace.operators import segmentation as sg
 from loomtrace.operators import sequences as sq
 from loomtrace.operators import validation as va
@@ -136,7 +137,8 @@ def two_blocks(spark):
 
 def test_eigenpairs_and_partition_of_two_blocks(spark):
     lap = gr.laplacian(two_blocks(spark))
-    ids, m = gr._blocks(lap)
+    ids = np.array(sorted({r.i for r in lap.select("i").collect()}))
+    m = gr._dense(lap, ids)
     for dense in (4000, 1):
         _, values, vectors = gr.eigenpairs(lap, 4, dense_nodes=dense)
         assert np.abs(m @ vectors - vectors * values).max() < 1e-8
@@ -410,3 +412,119 @@ def test_component_of_a_long_path(spark):
     """A path of 300 nodes in steps of one: a hundred rounds were not enough."""
     e = spark.range(299).selectExpr("id AS i", "id + 1 AS j")
     assert {r.label for r in gr.component_labels(e).collect()} == {0}
+
+
+def test_nodes_without_edges_keep_their_diagonal(spark):
+    lap = gr.laplacian(two_blocks(spark))
+    nodes = lap.select("i").distinct().unionByName(spark.createDataFrame([(98,), (99,)], "i long"))
+    for dense in (100, 4):
+        ids, values, vectors = gr.eigenpairs(lap, len(nodes.collect()), nodes=nodes, dense_nodes=dense)
+        assert {98, 99} < set(ids.tolist())
+        m = np.eye(len(ids))
+        for r in lap.collect():
+            m[list(ids).index(r.i), list(ids).index(r.j)] = r.value
+        assert values == pytest.approx(np.linalg.eigvalsh(m)[: len(values)], abs=1e-8)
+
+
+def test_k_means_of_a_table_is_that_of_its_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0.0, 4.0, 9.0)])
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    found = {r.id: r.cluster for r in gr.k_means_table(rows, 3, key="id", vector="v", starts=4).collect()}
+    here = gr.k_means(x, 3, starts=4)
+    assert [found[i] for i in range(120)] == here.tolist() == [0] * 40 + [1] * 40 + [2] * 40
+
+
+def test_fronts_of_a_long_chain_and_of_many_items(spark):
+    chain = spark.range(12).selectExpr("id AS item_id", "cast(id AS double) AS x", "cast(id AS double) AS y")
+    assert {r.item_id: r.front for r in dp.fronts(chain, ("x", "y")).collect()} == {i: 12 - i for i in range(12)}
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    items = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(900, None, 1.0, 1.0)], "item_id long, a double, b double, c double")
+    want = {i for i, v in enumerate(x) if not ((x >= v).all(axis=1) & (x > v).any(axis=1)).any()} | {900}
+    assert {r.item_id for r in dp.first_front(items, ("a", "b", "c")).collect()} == want
+
+
+def test_seeded_order_is_that_of_the_shuffle(spark):
+    import random
+
+    ids = [f"s{i * 7 % 50}" for i in range(50)]
+    want = sorted(ids)
+    random.Random(9).shuffle(want)
+    got = sorted((r.place, r.sample_id) for r in mf._order(spark.createDataFrame([(i,) for i in ids], "sample_id string"), 9, "sample_id").collect())
+    assert [i for _, i in got] == want
+
+
+def test_bootstrap_beyond_the_held_tasks_draws_the_same(spark):
+    t = spark.createDataFrame([(i, float(i * i % 7)) for i in range(20)], "sample_id long, value double")
+    few, many = ({r.b: r["mean"] for r in ev.bootstrap_means(t, samples=70, batch=16, held=n).collect()} for n in (100, 5))
+    assert few.keys() == many.keys() and all(abs(few[b] - many[b]) < 1e-12 for b in few)
+    rng = np.random.default_rng(3)
+    draws = [np.bincount(rng.integers(0, 20, size=20), minlength=20) for _ in range(70)]
+    got = {(r.b, r.task): r.times for r in ev.resample_counts(spark, 20, 70, 3, batch=16).collect()}
+    assert got == {(b, k): n for b, d in enumerate(draws) for k, n in enumerate(d.tolist()) if n}
+
+
+def test_splits_of_many_sequences_are_those_of_a_plain_recursion():
+    rng = np.random.default_rng(6)
+    tables = [sg.segment_costs(rng.standard_normal((n, 3)).round(1), 4) for n in (1, 2, 5, 9, 14, 14)]
+    for penalty in (0.0, 0.2, 0.7, 3.0):
+        for c, got in zip(tables, sg.split_all(tables, penalty)):
+            memo = {0: (0.0, [])}
+            for end in range(1, len(c)):
+                memo[end] = min(((memo[end - n][0] + c[end, n] + penalty, memo[end - n][1] + [(end - n, end - 1)]) for n in range(1, min(4, end) + 1)), key=lambda r: r[0])
+            assert sum(c[b + 1, b - a + 1] + penalty for a, b in got) == pytest.approx(memo[len(c) - 1][0], abs=1e-9)
+            assert [a for a, _ in got] == [0, *[b + 1 for _, b in got[:-1]]] and got[-1][1] == len(c) - 2
+
+
+def test_penalties_of_unknown_ids_or_below_zero_raise(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    x = spark.createDataFrame([("a", [1.0, 0.0])], "skill_id string, vector array<double>")
+    for bad in (("z", 0.1), ("a", -0.1)):
+        with pytest.raises(ValueError):
+            rt.search(q, x, 1, penalties=spark.createDataFrame([bad], "skill_id string, penalty double"))
+
+
+RESULT, KEY = "sample_id long, shard int, primary_score double, error string", ("sample_id",)
+
+
+def test_checkpoint_recovers_and_refuses(spark, tmp_path):
+    path = tmp_path / "results"
+    path.mkdir()
+    first = '{"sample_id": 1000, "shard": 0, "primary_score": 0.5, "error": null}\n'
+    (path / "a.json").write_text(first + '{"sample_id": 10')
+    wanted = spark.createDataFrame([(1000,), (1001,)], "sample_id long")
+    done = rn.completed(spark, str(path), RESULT, KEY)
+    assert [r.sample_id for r in rn.pending(wanted, done, KEY).collect()] == [1001]
+    (path / "b.json").write_text(first)
+    with pytest.raises(ValueError, match="twice"):
+        rn.completed(spark, str(path), RESULT, KEY)
+    (path / "b.json").write_text('{"sample_id": 7, "shard": 0, "primary_score": null, "error": "x"}\n')
+    with pytest.raises(ValueError, match="no result"):
+        rn.completed(spark, str(path), RESULT, KEY)
+    (path / "b.json").write_text("broken\n" + first)
+    with pytest.raises(Exception):  # noqa: B017 - Spark's own error
+        rn.completed(spark, str(path), RESULT, KEY)
+
+
+def test_runner_resumes_only_what_failed(spark, tmp_path):
+    manifest = spark.range(6).withColumnRenamed("id", "sample_id")
+    give = lambda row: {"sample_id": row["sample_id"], "shard": row["shard"], "primary_score": 1.0}
+
+    def interrupted(row):
+        if row["sample_id"] == 3:
+            raise ConnectionError("simulated")
+        return give(row) | ({"shard": 9} if row["sample_id"] == 4 else {})
+
+    none = rn.completed(spark, None, RESULT, KEY)
+    dry = rn.run_shards(manifest, none, interrupted, key=KEY, of=1, dry_run=True)[2].first()
+    assert (dry.selected, dry.skipped, dry.completed, dry.failed) == (6, 0, 0, 0)
+    results, errors, summary = rn.run_shards(manifest, none, interrupted, key=KEY, of=1)
+    assert tuple(summary.first()) == (0, 6, 0, 4, 2)
+    assert {r.sample_id: r.error.split(":")[0] for r in errors.collect()} == {3: "ConnectionError", 4: "ValueError"}
+    rn.append(results, str(tmp_path / "log"))
+    done = rn.completed(spark, str(tmp_path / "log"), RESULT, KEY)
+    again, errors, summary = rn.run_shards(manifest, done, give, key=KEY, of=1)
+    assert tuple(summary.first()) == (0, 6, 4, 2, 0) and sorted(r.sample_id for r in again.collect()) == [3, 4] and errors.count() == 0
+    with pytest.raises(ValueError):
+        rn.run_shards(manifest, done, give, key=KEY, of=1, most=0)
