@@ -7,8 +7,9 @@ Spark's own writer commits the shards (one row is one file, and the last zero by
 they may lie in any store. Readers use the list and ranges: the header range of each image fills width, height and
 bits; payload features read the rest.
 
-Defined cases: null text counts as empty (64 zero bytes); a text longer than a shard gets a shard of its own;
-repeated rows point at one image; an empty table writes no shard and reads as no rows. Other columns are not read.
+Defined cases: null text counts as empty (64 zero bytes); a very long text, longer than a shard, gets a shard of its own;
+repeated rows and equal texts under differing or null keys point at one image of their shard; an empty table writes no shard and
+reads as no rows. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import os
 import struct
 import tarfile
 import zlib
@@ -130,20 +130,35 @@ def write_shards(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     tars.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
 
+#: Schemes whose files executors open by themselves; ``read_rows`` takes further ones that pyarrow has access to.
+MOUNTED = ("", "file")
+
+
 class Ranges:
-    """Byte ranges of one shard: of a mounted file by offset, else of the content that Spark has read."""
+    """Byte ranges of one shard: of a file by offset, or of the content that Spark has read."""
 
     def __init__(self, path: str, content: bytes | None):
         self.content, self.file = content, None
-        if content is None:
-            self.file = os.open(unquote(urlparse(path).path), os.O_RDONLY)
+        if content is None and urlparse(path).scheme in MOUNTED:
+            self.file = open(unquote(urlparse(path).path), "rb", buffering=0)
+        elif content is None:
+            from pyarrow import fs
+
+            system, at = fs.FileSystem.from_uri(path)
+            self.file = system.open_input_file(at)
 
     def read(self, offset: int, n: int) -> bytes:
-        return self.content[offset : offset + n] if self.file is None else os.pread(self.file, n, offset)
+        if self.file is None:
+            return self.content[offset : offset + n]
+        self.file.seek(offset)
+        out = b""
+        while len(out) < n and (more := self.file.read(n - len(out))):
+            out += more
+        return out
 
     def close(self) -> None:
         if self.file is not None:
-            os.close(self.file)
+            self.file.close()
 
 
 def feature(payload: bytes) -> str:
@@ -160,10 +175,13 @@ ROWS = "key string, shard string, digest string, offset long, length long, n_byt
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
 
 
-def read_rows(spark: SparkSession, path: str, *, payload: bool = False) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, *, payload: bool = False, ranged: tuple[str, ...] = MOUNTED) -> DataFrame:
     """One row per stored row: where its image lies and, from the image's header range alone, width, height and bits. With
-    ``payload``, the stored bytes are read back too: lengths, digests and features of payload and image."""
-    mounted = urlparse(path).scheme in ("", "file")
+    ``payload``, the stored bytes are read back too: lengths, digests and features of payload and image.
+
+    Ranges are read under the schemes ``ranged``: mounted folders, and stores that pyarrow on the executors has access to
+    ("s3", "gs", "hdfs"), if the caller says so. Shards under any other scheme come whole through Spark's reader."""
+    mounted = urlparse(path).scheme in ranged
     columns = ["path"] if mounted else ["path", "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -137,6 +137,33 @@ def test_media_round_trip(spark, odd_docs, no_docs):
     assert media.read_rows(spark, empty, payload=True).count() == 0
 
 
+def test_media_query_equals_plain_computation(spark, small):
+    texts = {r.doc_id: (r.text or "").encode() for r in shared.table(spark, small, "documents").select("doc_id", "text").collect()}
+    rows = media.op3_media_columns(spark, small).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        body = texts[r.doc_id] + bytes(-len(texts[r.doc_id]) % 64)
+        body = body or bytes(64)
+        lines = b"".join(b"\0" + body[i : i + 64] for i in range(0, len(body), 64))
+        n = [body.count(k) for k in range(256)]
+        mean = sum(k * c for k, c in enumerate(n)) / len(body)
+        deviation = math.sqrt(sum(c * (k - mean) ** 2 for k, c in enumerate(n)) / len(body))
+        entropy = -sum(c / len(body) * math.log2(c / len(body)) for c in n if c)
+        got = dict(part.split("=") for part in r.feature.split(";"))
+        assert all(abs(float(got[k]) - v) < 1e-4 for k, v in (("mean", mean), ("deviation", deviation), ("entropy", entropy), ("blank", (n[32] + n[0]) / len(body))))
+        assert int(got["levels"]) == sum(map(bool, n))
+        assert r.media_bytes == 57 + len(zlib.compress(lines, 1)) and (r.n_bytes, r.payload_bytes) == (len(texts[r.doc_id]), len(body))
+        assert r.payload_sha256 == hashlib.sha256(body).hexdigest() and r.tail_crc32 == zlib.crc32(body[-64:])
+
+
+def test_ranges_are_the_content(tmp_path):
+    (tmp_path / "a b.tar").write_bytes(bytes(range(256)))
+    for path, content in ((f"file://{tmp_path}/a%20b.tar", None), ("x", bytes(range(256)))):
+        r = media.Ranges(path, content)
+        assert r.read(10, 5) == bytes(range(10, 15)) and r.read(250, 100) == bytes(range(250, 256))
+        r.close()
+
+
 def test_damaged_image_is_noticed():
     image = bytearray(media.to_png(media.payload_of(b"some text" * 20)))
     image[60] ^= 1
