@@ -36,6 +36,8 @@ NEXT_PAGE = {
     "attribute_inspection": "item_detail", "detail_backtracking": "item", "search_backtracking": "search", "purchase_decision": "terminal",
 }
 SHOP_EVENTS = ("query_formulation", "query_refinement", "candidate_selection", "result_navigation", "option_selection", "attribute_inspection", "detail_backtracking", "search_backtracking", "purchase_decision", "other_click")
+#: Kinds of clickable values that the state machine asks for.
+PRODUCT_LINK, OPTION = "product_link", "option"
 COUNTS, PRICE_SIGNALS = ("zero", "one", "multiple"), ("unknown", "within_limit", "over_limit")
 SIGNALS = (
     "query_broad", "query_constrained", "query_unavailable", "candidate_weak", "candidate_category", "candidate_constrained", "option_required", "option_other", "option_complete",
@@ -132,20 +134,26 @@ def price_signal(text: Column, limit: Column) -> Column:
 def classify_shop(rows: DataFrame, trajectory: str = "trajectory_id") -> DataFrame:
     """Adds ``shop_event``: the page-state machine over a trajectory's ordered steps, as a fold with state (page, searched).
 
-    Steps without clickable types (as here) select a candidate or an option by exclusion."""
-    step = F.struct("step_index", "tool", "keywords", "value")
+    A column ``clickable_types`` (map of clickable values to their kinds), if there, tells candidates and options by
+    ``PRODUCT_LINK`` and ``OPTION``; steps without clickable types select them by exclusion."""
+    types = F.col("clickable_types") if "clickable_types" in rows.columns else F.lit(None).cast("map<string,string>")
+    kinds = F.array_sort(F.transform(F.map_entries(types), lambda e: F.struct(F.lower(e["key"]).alias("clickable"), F.lower(e["value"]).alias("kind"))))
+    step = F.struct("step_index", "tool", "keywords", "value", F.coalesce(kinds, F.array().cast("array<struct<clickable:string,kind:string>>")).alias("kinds"))
     seq = rows.groupBy(trajectory).agg(F.array_sort(F.collect_list(step)).alias("seq"))
     state = F.struct(F.lit("search").alias("page"), F.lit(False).alias("searched"), F.array().cast("array<string>").alias("out"))
     asin = r"^[A-Za-z0-9]{8,16}$"
 
     def fold(s: Column, x: Column) -> Column:
         v, page = F.trim(F.lower(x["value"])), s["page"]
-        is_asin = F.trim(x["value"]).rlike(asin)
+        is_asin, untyped = F.trim(x["value"]).rlike(asin), F.size(x["kinds"]) == 0
+        kind = F.coalesce(F.get(F.filter(x["kinds"], lambda c: c["clickable"] == v), F.lit(0))["kind"], F.lit(""))
+        candidate = (page == "results") & (untyped | (kind == PRODUCT_LINK))
+        option = (page == "item") & F.when(untyped, ~is_asin).otherwise(kind == OPTION)
         click = (
             F.when(v == "buy now", "purchase_decision").when(v == "back to search", "search_backtracking")
             .when((page == "results") & v.isin("next >", "< prev"), "result_navigation").when((page == "item_detail") & (v == "< prev"), "detail_backtracking")
-            .when((page == "item") & v.isin(*DETAILS), "attribute_inspection").when((page == "results"), "candidate_selection")
-            .when((page == "unknown") & is_asin, "candidate_selection").when((page == "item") & ~v.isin(*DETAILS) & ~is_asin, "option_selection").otherwise("other_click")
+            .when((page == "item") & v.isin(*DETAILS), "attribute_inspection").when(candidate | ((page == "unknown") & is_asin), "candidate_selection")
+            .when(option, "option_selection").otherwise("other_click")
         )
         event = (
             F.when((x["tool"] == "search_action") & x["keywords"].isNotNull(), F.when(s["searched"], "query_refinement").otherwise("query_formulation"))

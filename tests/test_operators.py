@@ -528,3 +528,13 @@ def test_runner_resumes_only_what_failed(spark, tmp_path):
     assert tuple(summary.first()) == (0, 6, 4, 2, 0) and sorted(r.sample_id for r in again.collect()) == [3, 4] and errors.count() == 0
     with pytest.raises(ValueError):
         rn.run_shards(manifest, done, give, key=KEY, of=1, most=0)
+
+
+def test_clickable_types_come_before_exclusion(spark):
+    rows = [
+        ("t", 0, "search_action", "ring", None, None), ("t", 1, "click_action", None, "Filter", {"B012345678": "product_link", "Filter": "other"}), ("t", 2, "click_action", None, "b012345678", {"B012345678": "product_link"}),
+        ("t", 3, "click_action", None, "Wish list", {"red": "option"}), ("t", 4, "click_action", None, "RED", {"red": "option"}), ("t", 5, "click_action", None, "a thing", None), ("t", 6, "click_action", None, "Buy Now", None),
+    ]
+    steps = spark.createDataFrame(rows, "trajectory_id string, step_index int, tool string, keywords string, value string, clickable_types map<string,string>")
+    want = ["query_formulation", "other_click", "candidate_selection", "other_click", "option_selection", "option_selection", "purchase_decision"]
+    assert [r.shop_event for r in lb.classify_shop(steps).orderBy("step_index").collect()] == want
