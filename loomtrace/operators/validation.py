@@ -55,6 +55,21 @@ def mixed(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(column).alias("values")).where("values > 1")
 
 
+def wrong_set(rows: DataFrame, key: tuple[str, ...], column: str, wanted: tuple[str, ...]) -> DataFrame:
+    """Keys whose values of a column are not exactly the wanted ones."""
+    found = rows.groupBy(*key).agg(F.count_distinct(column).alias("n"), F.count_distinct(F.when(F.col(column).isin(*wanted), F.col(column))).alias("of_them"))
+    return found.where((F.col("n") != len(wanted)) | (F.col("of_them") != len(wanted))).select(*key)
+
+
+def contract_breaks(old: DataFrame, new: DataFrame, key: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """(key, field, old, new): fields of a run's contract in which the run that extends it differs; nulls are values."""
+    theirs = new.select(*key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("_new"))
+    mine = old.select(*key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("_old"))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_old.{f}").alias("old"), F.col(f"_new.{f}").alias("new")) for f in fields])
+    flat = mine.join(theirs, list(key)).select(*key, F.inline(each))
+    return flat.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
 def bad_dimensions(index: DataFrame, key: str, vector: str) -> DataFrame:
     """Ids whose vector is empty or not of the first id's length, and ids that repeat."""
     first = index.agg(F.min_by(F.size(vector), key).alias("want"))

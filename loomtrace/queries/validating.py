@@ -91,10 +91,15 @@ def v11(spark, sf):
     return va.violations(c, {"least above most": F.col("least") <= F.col("most"), "ratio range": F.col("ratio").between(0, 1)}).select("name", "rule")
 
 
-@query("v12_training_provenance", sql("episodes", "SELECT sample_id FROM episodes GROUP BY 1 HAVING count(DISTINCT method) <> 2"))
+@query("v12_training_provenance", sql("episodes", "p AS (SELECT *, CASE WHEN sample_id % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM episodes), r AS (SELECT 'outside the train split' AS rule, trajectory_id FROM p WHERE split <> 'train' AND steps % 13 = 0 UNION ALL SELECT 'methods of the version', any_value(trajectory_id ORDER BY trajectory_id) FROM p GROUP BY sample_id, repeat_id HAVING count(DISTINCT method) <> 2) SELECT rule, count(*) AS n FROM r GROUP BY 1"))
 def v12(spark, sf):
-    g = traces.episodes(spark, sf).groupBy("sample_id").agg(F.count_distinct("method").alias("n"))
-    return g.where("n <> 2").select("sample_id")
+    """A training pool (here: episodes of the train split, and some that slipped in) may hold the train split alone; a version's
+    repeat must hold exactly its two methods."""
+    e = traces.episodes(spark, sf).withColumn("split", F.when(F.col("sample_id") % 10 < 8, "train").otherwise("test"))
+    pool = e.where("split = 'train' or steps % 13 = 0")
+    outside = va.violations(pool, {"outside the train split": F.col("split") == "train"}).select("rule")
+    methods = va.wrong_set(e, ("sample_id", "repeat_id"), "method", ("baseline", "candidate")).select(F.lit("methods of the version").alias("rule"))
+    return outside.unionByName(methods).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("v13_disjoint_parts", sql("episodes", "p AS (SELECT sample_id, 'a' AS part FROM episodes WHERE sample_id % 2 = 0 UNION SELECT sample_id, 'b' FROM episodes WHERE sample_id % 3 = 0) SELECT sample_id, count(*) AS parts FROM p GROUP BY 1 HAVING count(*) > 1"))
@@ -103,9 +108,12 @@ def v13(spark, sf):
     return va.shared_ids(e.where("sample_id % 2 = 0").withColumn("part", F.lit("a")).unionByName(e.where("sample_id % 3 = 0").withColumn("part", F.lit("b"))), "sample_id", "part")
 
 
-@query("v14_contract_equality", sql("episodes", "SELECT sample_id, count(DISTINCT steps) AS \"values\" FROM episodes GROUP BY 1 HAVING count(DISTINCT steps) > 1"))
+@query("v14_contract_equality", sql("episodes", "b AS (SELECT sample_id, repeat_id, steps, max_k, success FROM episodes WHERE method = 'baseline'), c AS (SELECT sample_id, repeat_id, steps, max_k, success FROM episodes WHERE method = 'candidate'), j AS (SELECT b.steps <> c.steps AS s, b.max_k <> c.max_k AS k, b.success <> c.success AS u FROM b JOIN c USING (sample_id, repeat_id)), r AS (SELECT 'steps' AS field FROM j WHERE s UNION ALL SELECT 'max_k' FROM j WHERE k UNION ALL SELECT 'success' FROM j WHERE u) SELECT field, count(*) AS n FROM r GROUP BY 1"))
 def v14(spark, sf):
-    return va.mixed(traces.episodes(spark, sf), "sample_id", "steps")
+    """Fields in which an extending run differs from the run that it extends, key by key."""
+    e = traces.episodes(spark, sf).select("sample_id", "repeat_id", "method", "steps", "max_k", "success")
+    run = lambda m: e.where(F.col("method") == m).drop("method")
+    return va.contract_breaks(run("baseline"), run("candidate"), ("sample_id", "repeat_id"), ("steps", "max_k", "success")).groupBy("field").agg(F.count("*").alias("n"))
 
 
 @query("v15_context_within_selection", sql("steps", "SELECT trajectory_id FROM steps GROUP BY 1 HAVING bool_or(k % 5 = 0) AND NOT bool_or(k % 10 = 0)"))
