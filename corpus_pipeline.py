@@ -24,6 +24,17 @@ from loomtrace.llm import mixing, packing, shared, simhash_dedup, suffix_dedup,
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Identities that are broadcast at most (16 bytes each); more of them are joined by a shuffle.
+FEW = 1_000_000
+
+
+def _small(uids: DataFrame) -> DataFrame:
+    """Staged identities, broadcast if they are few: a join that is planned as a shuffle has shuffled all texts before adaptive
+    execution sees how few they are."""
+    uids = shared.staged(uids, "uids")
+    return F.broadcast(uids) if uids.limit(FEW + 1).count() <= FEW else uids
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS, shared.digest(*COLUMNS).alias("uid"))
 
@@ -45,8 +56,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     leads = shared.staged(leads, "leads")
     copies = shared.staged(found.join(leads, "group").select("uid", (F.col("uid") == F.col("lead")).alias("first")), "copies")
     leading = copies.where("first").groupBy("uid").agg(F.count("*").alias("n"))
-    alike = leading.where("n > 1").select("uid")
-    gone = copies.where("not first").select("uid").distinct().unionByName(alike)
+    alike = _small(leading.where("n > 1").select("uid"))
+    gone = _small(copies.where("not first").select("uid").distinct().unionByName(alike))
     kept = rows.join(gone, "uid", "left_anti").select(*COLUMNS)
     return kept.unionByName(shared.one_of_each(rows.join(alike, "uid", "left_semi"), "uid", *COLUMNS).select(*COLUMNS))
 
@@ -62,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _identified(docs)
     taken = mixing.taken_copies(rows, keep=("uid",)).where("copies > 0").select(F.col("own.keep0").alias("uid"), "n", "copies")
     taken = shared.staged(taken, "taken")
-    alike = taken.where("n > 1").select("uid", "copies")
+    alike = _small(taken.where("n > 1").select("uid", "copies"))
     single = rows.join(taken.where("n = 1").select("uid", "copies"), "uid")
     several = shared.one_of_each(rows.join(alike.select("uid"), "uid", "left_semi"), "uid", *COLUMNS).join(alike, "uid")
     # A row taken often is repeated in two steps, so that no task writes all of it.
