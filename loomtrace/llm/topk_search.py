@@ -140,17 +140,17 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def quantised(frame: DataFrame, *, key: str, vector: str, scale: int = 256) -> DataFrame:
-    """(row, id, length, v, norm): floor(scale * x) of every component as double; no null or non-finite vectors. ``row`` names a
+def quantised(frame: DataFrame, *, key: str, vector: str, scale: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, id, length, v, norm, keep...): floor(scale * x) of every component as double; no null or non-finite vectors. ``row`` names a
     row; an empty vector gets one component 0 beside its length 0, so that every vector has some."""
     x = F.col(vector).cast("array<double>")
     fit = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     scaled = lambda c: c * F.lit(float(scale))
     # floor() gives a long, which may be too small; doubles of that size are whole.
     v = F.transform(x, lambda c: F.when(F.abs(scaled(c)) < EXACT, F.floor(scaled(c)).cast("double")).otherwise(scaled(c)))
-    rows = frame.where(F.col(key).isNotNull() & fit).select(F.col(key).cast("long").alias("id"), F.size(x).alias("length"), F.when(F.size(x) > 0, v).otherwise(F.array(F.lit(0.0))).alias("v"))
+    rows = frame.where(F.col(key).isNotNull() & fit).select(F.col(key).cast("long").alias("id"), F.size(x).alias("length"), F.when(F.size(x) > 0, v).otherwise(F.array(F.lit(0.0))).alias("v"), *keep)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    return shared.staged(rows.select(F.monotonically_increasing_id().alias("row"), "id", "length", "v", norm.alias("norm")), "vectors")
+    return shared.staged(rows.select(F.monotonically_increasing_id().alias("row"), "id", "length", "v", norm.alias("norm"), *keep), "vectors")
 
 
 def _in_groups(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
