@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,7 +181,12 @@ def pack(
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+        """Rows of pieces; keys are never numbers of another kind, so null ones beside large ones stay what they are."""
+        columns = zip(*rows) if rows else [()] * len(OUT)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (key_type, *KINDS))], OUT)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.claim("packing", tokenizer.cache_clear)
         tok, task = tokenizer(vocabulary), TaskContext.get().partitionId()
         tail = end_id.to_bytes(4, "little")
@@ -197,7 +202,8 @@ def pack(
                     offset += p[2]
                 serial += 1
 
-            keys, texts = b["k"].tolist(), b["t"].tolist()
+            key_type = b.column("k").type
+            keys, texts = b.column("k").to_pylist(), b.column("t").to_pylist()
             for at in range(0, len(texts), 1024):
                 for k, ids in zip(keys[at : at + 1024], tok.encode(texts[at : at + 1024])):
                     ids += tail
@@ -216,7 +222,7 @@ def pack(
                         write(space.emit(), True)
                     for full in space.pop_full():
                         write(full, True)
-            yield pd.DataFrame(rows, columns=OUT)
+            yield table(rows, key_type)
         rows = []
         while space.gaps:
             pieces, offset = space.emit(), 0
@@ -224,14 +230,16 @@ def pack(
                 rows.append((*p, task, serial, offset, False))
                 offset += p[2]
             serial += 1
-        yield pd.DataFrame(rows, columns=OUT)
+        if rows:
+            yield table(rows, key_type)
 
     OUT = ["doc", "start", "length", "ids_crc32", "doc_tokens", "row", "task", "serial", "offset", "closed"]
+    KINDS = (pa.int64(),) * 5 + (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
     schema = PIECE.format(kind=kind) + ", task int, serial long, offset long, closed boolean"
     t = F.coalesce(F.col(text), F.lit(""))
-    first = shared.staged(docs.select(F.col(key).alias("k"), t.alias("t")).mapInPandas(place, schema), "placed")
+    first = shared.staged(docs.select(F.col(key).alias("k"), t.alias("t")).mapInArrow(place, schema), "placed")
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         space, serial = OpenWindows(window, 4 * open_windows), 0
 
@@ -246,21 +254,23 @@ def pack(
 
         for b in batches:
             out: list[tuple] = []
-            for p in b[OUT[:6]].itertuples(index=False, name=None):
+            key_type = b.column("doc").type
+            for p in zip(*(b.column(c).to_pylist() for c in OUT[:6])):
                 while not space.place(p[2], p):
                     out += rows(space.emit())
                 for full in space.pop_full():
                     out += rows(full)
-            yield pd.DataFrame(out, columns=OUT)
+            yield table(out, key_type)
         out = []
         while space.gaps:
             out += rows(space.emit())
-        yield pd.DataFrame(out, columns=OUT)
+        if out:
+            yield table(out, key_type)
 
     group = F.floor(F.col("task") / merge_partitions)
     left = first.where("not closed")
     merged = left.repartition(group, F.pmod(F.xxhash64("row", "start"), F.lit(2)))
-    merged = merged.sortWithinPartitions(F.desc("length"), "row", "start").mapInPandas(merge, schema)
+    merged = merged.sortWithinPartitions(F.desc("length"), "row", "start").mapInArrow(merge, schema)
     # A window is named by its stage (0 placed, 1 merged), task and number in the task.
     name = lambda stage: (F.lit(stage).cast("long") * F.lit(1 << 62) + F.col("task").cast("long") * F.lit(1 << 36) + F.col("serial")).alias("sequence_id")
     columns = [F.col("doc").alias(key), "start", "length", "ids_crc32", "doc_tokens"]

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,21 +338,24 @@ def token_counts(docs: DataFrame, vocabulary: str, *, limit: int = 1024, key: st
     partitions, no shuffle; a worker keeps counts of at most ``CACHE_ENTRIES`` chunks."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.claim("token_counts", counter.cache_clear)
         c = counter(vocabulary)
         for b in batches:
-            texts, n, cut, stored = b["t"].tolist(), [], [], []
+            texts, n, cut, stored = b.column("t").to_pylist(), [], [], []
             for at in range(0, len(texts), 1000):
                 for t in c.tables(texts[at : at + 1000]):
                     n.append(t.total)
                     cut.append(t.cut(limit))
                     stored.append(t.stored())
-            yield pd.DataFrame({key: b["k"], "n_bytes": b["n"], "n_tokens": n, "over_limit": [k > limit for k in n], "kept_chars": cut, "prefix_tokens": stored})
+            over = pa.array([k > limit for k in n], pa.bool_())
+            # The key's column goes through as it is: null ids beside large ones stay what they are.
+            columns = [b.column("k"), b.column("n"), pa.array(n, pa.int64()), over, pa.array(cut, pa.int64()), pa.array(stored, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "n_bytes", "n_tokens", "over_limit", "kept_chars", "prefix_tokens"])
 
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("k"), t.alias("t"), F.octet_length(t).cast("long").alias("n")).mapInPandas(
-        run, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long, prefix_tokens array<int>"
+    return docs.select(F.col(key).alias("k"), t.alias("t"), F.octet_length(t).cast("long").alias("n")).mapInArrow(
+        run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, kept_chars long, prefix_tokens array<int>"
     )
 
 

@@ -103,3 +103,15 @@ def test_best_fit_prefers_the_fullest_that_has_room(length):
         assert w.place(n, n)
     assert w.place(length, length) == (length <= 3)
     assert w.fullest() == (0 if length == 1 else 1)
+
+
+def test_large_ids_beside_null_ones_stay(spark):
+    rows = [(2**53 + 1, "some words here"), (None, "no id at all"), (2**53 + 3, "w " * 5000), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted(str(r[0]) for r in rows)
+    assert sorted(str(r.doc_id) for r in token_counts.token_counts(docs, BYTES).collect()) == want
+    pieces = packing.pack(docs, WORDS).collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.start == 0) == want
+    assert {r.doc_id for r in pieces if r.start > 0} == {2**53 + 3}
+    named = docs.selectExpr("cast(doc_id as string) as doc_id", "text")
+    assert sorted(str(r.doc_id) for r in packing.pack(named, WORDS).collect() if r.start == 0) == want
