@@ -110,7 +110,8 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc, rank, score): OR query over distinct terms; idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6."""
+    """(query_id, doc, rank, score): OR query over distinct terms; idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Parts are rounded
+    to nine digits and summed as decimals. ``textindex`` has the stemmed and pruned form."""
     p, lengths, df = postings(docs, key, text)
     stats = lengths.agg(F.avg("dl").alias("mean"))
     n = docs.agg(F.count("*").alias("n_docs"))
@@ -119,7 +120,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, key: str = "doc_id", te
     weighed = q.join(df, "term").crossJoin(n).select("query_id", "term", idf.alias("idf"))  # one row
     hits = p.join(weighed, "term").join(lengths, key).crossJoin(stats)  # one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    s = hits.groupBy("query_id", F.col(key).alias("doc")).agg(F.round(F.sum(part), 6).alias("score"))
+    s = hits.groupBy("query_id", F.col(key).alias("doc")).agg(F.round(F.sum(F.round(part, 9).cast("decimal(24,9)")), 6).cast("double").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -15,6 +15,7 @@ from ..operators import policies as po
 from ..operators import retrieval as rt
 from ..operators import segmentation as sg
 from ..operators import sequences as sq
+from ..operators import textindex as ti
 from ..oracle import sql
 from .evaluating import _bundled
 from .sequencing import _decisions, _partitions
@@ -381,38 +382,52 @@ _BM = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+'
 _BM_ALL = _BM.replace(" WHERE item_id < 10", "")
 
 
-def _bm25(spark, sf, k, which="true"):
-    q = traces.read(spark, sf, "benchmark").where(which).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def _bm25(spark, sf, k):
+    q = traces.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return rt.bm25(traces.read(spark, sf, "documents"), q, k)
 
 
 def _ranking(found):
-    return found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return found.select("query_id", "doc", F.col("rank").cast("long").alias("rank"), "score")
 
 
 def _first_of_group(found):
     return rt.distinct_first(found, F.col("doc") % 20, 10).select("query_id", "doc", F.col("place").cast("long").alias("place"))
 
 
-@query("r08_full_text_ranking", sql("", f"{_BM} SELECT query_id, doc, rank, round(score, 4) AS score FROM k WHERE rank <= 10"))
+_BM_SUM = _BM_ALL.replace("round(sum(greatest(", "round(sum(round(greatest(").replace("/ (SELECT avg(dl) FROM l)))), 6) AS score", "/ (SELECT avg(dl) FROM l))), 9)::DECIMAL(24,9)), 6)::DOUBLE AS score")
+_STEMS = rf"""w AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(coalesce(text, '')), '{ti.MARKED}', '{ti.PLAIN}'), '{ti.TOKEN}')) AS term FROM documents), u AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{ti.QUERY_TOKEN}')) AS term FROM benchmark),
+  vocabulary AS (SELECT term FROM w UNION SELECT term FROM u), {ti.stem_sql("vocabulary", "stems")}, p AS (SELECT doc_id, stem, count(*) AS tf FROM w JOIN stems USING (term) GROUP BY 1, 2)"""
+_BM_STEMS = f"""{_STEMS}, l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), d AS (SELECT stem, count(*) AS df FROM p GROUP BY 1), q AS (SELECT DISTINCT item_id AS query_id, stem FROM u JOIN stems USING (term)),
+  s AS (SELECT query_id, p.doc_id AS doc, round(sum(round(greatest(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM l)))), 9)::DECIMAL(24,9)), 6)::DOUBLE AS score FROM q JOIN d USING (stem) JOIN p USING (stem) JOIN l USING (doc_id) GROUP BY 1, 2),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s)"""
+_DISTINCT = ", g AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc % 20 ORDER BY rank) AS n FROM k WHERE rank <= 100) SELECT query_id, doc, place FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM g WHERE n = 1) WHERE place <= 10"
+
+
+def _indexed(spark, sf, k):
+    q = traces.read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return ti.rank(ti.index_of(traces.read(spark, sf, "documents")), q, k)
+
+
+@query("r08_full_text_ranking", sql("", f"{_BM_STEMS} SELECT query_id, doc, rank, score FROM k WHERE rank <= 10"))
 def r08(spark, sf):
-    """The first ten queries, as in its SQL; ``r08_full_text_ranking_all`` ranks for every query."""
-    return _ranking(_bm25(spark, sf, 10, "item_id < 10"))
+    """Every benchmark query against a stemmed index, of which only blocks that can matter are read."""
+    return _ranking(_indexed(spark, sf, 10))
 
 
-@query("r08_full_text_ranking_all")
+@query("r08_full_text_ranking_all", sql("", f"{_BM_SUM} SELECT query_id, doc, rank, score FROM k WHERE rank <= 10"))
 def r08_all(spark, sf):
-    """Without SQL: sums in another order may move a score's last shown digit; the tests compare within a tolerance."""
+    """The same without an index and without stems."""
     return _ranking(_bm25(spark, sf, 10))
 
 
-@query("t03_distinct_results", sql("", f"{_BM}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc % 20 ORDER BY rank) AS n FROM k WHERE rank <= 100) SELECT query_id, doc, place FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM g WHERE n = 1) WHERE place <= 10"))
+@query("t03_distinct_results", sql("", _BM_STEMS + _DISTINCT))
 def t03(spark, sf):
-    """The first ten queries, as in its SQL; ``t03_distinct_results_all`` takes every query."""
-    return _first_of_group(_bm25(spark, sf, 100, "item_id < 10"))
+    """Every benchmark query: of the best 100 rows of the stemmed index the first ten distinct groups."""
+    return _first_of_group(_indexed(spark, sf, 100))
 
 
-@query("t03_distinct_results_all", sql("", f"{_BM_ALL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc % 20 ORDER BY rank) AS n FROM k WHERE rank <= 100) SELECT query_id, doc, place FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM g WHERE n = 1) WHERE place <= 10"))
+@query("t03_distinct_results_all", sql("", _BM_SUM + _DISTINCT))
 def t03_all(spark, sf):
     return _first_of_group(_bm25(spark, sf, 100))
 
