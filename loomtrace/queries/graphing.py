@@ -156,16 +156,31 @@ def g13(spark, sf):
     return mi.sequence_weights(_mined(spark, sf)[0]).select("trajectory_id", "feature", F.round("weight", 6).alias("weight"))
 
 
-@query("g14_sequence_similarity", sql("segments", f"{_SEQF}, u AS (SELECT trajectory_id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY trajectory_id)) AS u FROM w WHERE weight <> 0), s AS (SELECT a.trajectory_id AS i, b.trajectory_id AS j, sum(a.u * b.u) AS v FROM u a JOIN u b USING (feature) WHERE a.trajectory_id <> b.trajectory_id AND a.trajectory_id LIKE '%7-w0' GROUP BY 1, 2) SELECT i, j, round(v, 5) AS value FROM s WHERE v >= 1e-12"))
+_CLASSES = f"""{_SEQF}, z AS (SELECT trajectory_id, feature, n, weight / sqrt(sum(weight * weight) OVER (PARTITION BY trajectory_id)) AS u FROM (SELECT w.*, n.n FROM w JOIN n USING (trajectory_id, feature)) WHERE weight <> 0),
+  v AS (SELECT trajectory_id, list(feature || ':' || n ORDER BY feature) AS name FROM z GROUP BY 1), r AS (SELECT name, min(trajectory_id) AS class_id, count(*) AS members FROM v GROUP BY 1),
+  e AS (SELECT class_id, feature, u FROM r JOIN z ON trajectory_id = class_id), s AS (SELECT a.class_id AS i, b.class_id AS j, sum(a.u * b.u) AS value FROM e a JOIN e b USING (feature) WHERE a.class_id <> b.class_id GROUP BY 1, 2 HAVING sum(a.u * b.u) >= 0.8)"""
+
+
+def _classes(spark, sf):
+    membership, classes = mi.sequence_classes(mi.sequence_weights(_mined(spark, sf)[0]))
+    return membership, classes, mi.similar_classes(classes, 0.8)
+
+
+@query("g14_sequence_similarity", sql("segments", f"{_CLASSES} SELECT i, j, round(value, 5) AS value FROM s WHERE i < j"))
 def g14(spark, sf):
-    """The left sides that its SQL shows; ``g14_sequence_similarity_all`` has those of every trajectory."""
-    return mi.similarity(mi.sequence_weights(_mined(spark, sf)[0])).where("i like '%7-w0'").select("i", "j", F.round("value", 5).alias("value"))
+    """Pairs of classes of equal trajectories with a cosine of 0.8 or more; ``g14_sequence_classes`` has the members."""
+    return _classes(spark, sf)[2].select("i", "j", F.round("value", 5).alias("value"))
+
+
+@query("g14_sequence_classes", sql("segments", f"{_CLASSES}, o AS (SELECT i AS class_id, sum(members) AS others FROM s JOIN r ON r.class_id = j GROUP BY 1) SELECT trajectory_id, class_id, members, (members - 1 + coalesce(others, 0))::BIGINT AS links FROM v JOIN r USING (name) LEFT JOIN o USING (class_id)"))
+def g14_classes(spark, sf):
+    return mi.linked(*_classes(spark, sf))
 
 
-@query("g14_sequence_similarity_all")
+@query("g14_sequence_similarity_all", sql("segments", f"{_CLASSES} SELECT a.trajectory_id, round(sum(a.u * b.u), 5) AS strength FROM z a JOIN z b ON a.feature = b.feature AND a.trajectory_id <> b.trajectory_id GROUP BY 1 UNION ALL SELECT trajectory_id, 0.0 FROM (SELECT trajectory_id, max(k) AS k FROM (SELECT trajectory_id, count(*) OVER (PARTITION BY feature) AS k FROM z) GROUP BY 1) WHERE k = 1"))
 def g14_all(spark, sf):
-    """Every pair with a common weighed feature, a row for each direction."""
-    return mi.similarity(mi.sequence_weights(_mined(spark, sf)[0])).select("i", "j", F.round("value", 5).alias("value"))
+    """The row sums of the whole adjacency, of every trajectory."""
+    return mi.strengths(mi.sequence_weights(_mined(spark, sf)[0])).select("trajectory_id", F.round("strength", 5).alias("strength"))
 
 
 def _successful(spark, sf):

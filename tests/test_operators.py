@@ -1,6 +1,7 @@
 """Operators on hand-made rows whose results are known."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -336,21 +337,44 @@ def test_ranking_covers_every_benchmark_query(spark, small):
     assert max(items) >= 10 and {r[0] for r in got} == items == {r["query_id"] for r in gq.t03_all(spark, small).select("query_id").collect()}
 
 
-def test_similarity_has_every_trajectory_on_the_left(spark, small):
-    from loomtrace.queries import graphing as gq
-
-    got = {(r["i"], r["j"]): r["value"] for r in gq.g14_all(spark, small).collect()}
+def _cosines(weights):
     rows = {}
-    for t, f, w in mi.sequence_weights(gq._mined(spark, small)[0]).collect():
-        rows.setdefault(t, {})[f] = w
+    for t, f, w in weights:
+        if w:
+            rows.setdefault(t, {})[f] = w
     norm = {t: math.sqrt(sum(w * w for w in x.values())) for t, x in rows.items()}
-    want = {}
-    for i, x in rows.items():
-        for j, y in rows.items():
-            if i != j and norm[i] and norm[j] and (v := sum(w * y.get(f, 0.0) for f, w in x.items()) / norm[i] / norm[j]) >= 1e-12:
-                want[i, j] = v
-    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1.1e-5 for k, v in want.items())
-    assert len({i for i, _ in got if not i.endswith("7-w0")}) > 1
+    return rows, {(i, j): sum(w * y.get(f, 0.0) for f, w in x.items()) / norm[i] / norm[j] for i, x in rows.items() for j, y in rows.items() if i != j}
+
+
+@pytest.mark.parametrize("least, block", [(0.8, 1024), (0.3, 16), (1e-12, 7)])
+def test_similar_classes_lose_no_link(spark, monkeypatch, least, block):
+    monkeypatch.setattr(mi, "PAIR_ROWS", block)
+    rng = random.Random(block)
+    seqs = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))] for _ in range(90)]
+    seqs += seqs[:30] + [["a", "b"]] * 40  # copies, and a third of the rows alike
+    s = spark.createDataFrame([(f"t{k:03}", q) for k, q in enumerate(seqs)], "trajectory_id string, seq array<string>")
+    weights = mi.sequence_weights(s)
+    rows, cosine = _cosines(weights.collect())
+    membership, classes = mi.sequence_classes(weights)
+    pairs = mi.similar_classes(classes, least)
+    of = {r.trajectory_id: r.class_id for r in membership.collect()}
+    assert set(of) == set(rows) and all(rows[t] == rows[c] and c <= t for t, c in of.items()) and len(set(of.values())) == len({tuple(sorted(x.items())) for x in rows.values()})
+    got = {(r.i, r.j): r.value for r in pairs.collect()}
+    want = {(i, j): v for (i, j), v in cosine.items() if i < j and of[i] == i and of[j] == j and v >= least}
+    assert pairs.count() == len(got) and got.keys() == want.keys() and len(got) > 10
+    assert all(got[p] == pytest.approx(want[p]) for p in got)
+    links = {r.trajectory_id: r.links for r in mi.linked(membership, classes, pairs).collect()}
+    assert links == {t: sum((of[t] == of[o] or cosine[t, o] >= least) for o in of if o != t) for t in of}
+    strong = {r.trajectory_id: r.strength for r in mi.strengths(weights).collect()}
+    assert strong == pytest.approx({t: sum(v for (i, _), v in cosine.items() if i == t) for t in of})
+
+
+def test_no_sequences_have_no_pairs(spark):
+    none = spark.createDataFrame([], "trajectory_id string, feature string, weight double")
+    membership, classes = mi.sequence_classes(none)
+    assert membership.count() == classes.count() == mi.similar_classes(classes, 0.5).count() == mi.strengths(none).count() == 0
+    with pytest.raises(ValueError):
+        mi.similar_classes(classes, 0.0)
 
 
 def _calibrated(sequences, target, longest, rounds=40):
