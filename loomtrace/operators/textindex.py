@@ -108,11 +108,14 @@ def query_terms(queries: DataFrame, *, query: str = "query") -> DataFrame:
 
 
 def postings_of(docs: DataFrame, *, key: str, text: str, batch: int = 0) -> DataFrame:
-    """(row, doc, dl, term, tf) of every row with any term. ``row`` numbers rows: 20 bits of batch, 15 of partition, 28 within it."""
+    """(row, doc, dl, term, tf) of every row with any term. ``row`` numbers rows: 20 bits of batch, 15 of partition, 28 within it.
+
+    Texts are dealt by row, once; a row's terms are counted where it lies."""
     at = F.monotonically_increasing_id()
     part, within = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
     row = F.when((part < 1 << 15) & (within < 1 << 28), F.lit(batch << 43) + F.shiftleft(part, 28) + within).otherwise(F.raise_error(F.lit("too many rows in one batch")).cast("long"))
-    words = docs.select(row.alias("row"), F.col(key).alias("doc"), tokens(F.col(text)).alias("words"))
+    dealt = docs.select(row.alias("row"), F.col(key).alias("doc"), F.col(text).alias("text")).repartition("row")
+    words = dealt.select("row", "doc", tokens(F.col("text")).alias("words"))
     one = words.select("row", "doc", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
     return stemmed(one, "term").groupBy("row", "doc", "dl", "term").agg(F.count("*").alias("tf"))
 
@@ -164,13 +167,13 @@ class TextIndex:
     rows: int
 
 
-def _weighed(postings: DataFrame) -> tuple[DataFrame, float]:
-    """Postings with impacts and blocks, and the mean length of rows that have any term."""
+def _weighed(postings: DataFrame) -> DataFrame:
+    """Postings with impacts and blocks; the mean length is that of rows with any term."""
     lengths = postings.groupBy("row").agg(F.first("dl").alias("dl"))
     mean = lengths.agg(F.avg("dl")).first()[0] or 1.0
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     step = F.least(F.floor(F.col("impact") * STEPS / (K1 + 1)), F.lit(STEPS - 1)).cast("int")
-    return postings.select("row", "doc", "term", impact.alias("impact")).withColumn("block", step), mean
+    return postings.select("row", "doc", "term", impact.alias("impact")).withColumn("block", step)
 
 
 def _blocks(impacts: DataFrame) -> DataFrame:
@@ -180,7 +183,7 @@ def _blocks(impacts: DataFrame) -> DataFrame:
 def optimise(spark: SparkSession, index: str) -> None:
     """Write the impacts of all batches, near each other by term. May be repeated at any time, as after further batches."""
     rows = spark.read.parquet(f"{index}/sources").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    impacts, _ = _weighed(spark.read.parquet(f"{index}/postings"))
+    impacts = _weighed(spark.read.parquet(f"{index}/postings"))
     impacts.repartitionByRange("term", "block", "row").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{index}/impacts")
     _blocks(spark.read.parquet(f"{index}/impacts")).withColumn("total", F.lit(rows)).write.mode("overwrite").parquet(f"{index}/blocks")
 
@@ -193,10 +196,8 @@ def opened(spark: SparkSession, index: str) -> TextIndex:
 
 
 def index_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> TextIndex:
-    """An index of a table, staged for as long as the process lasts."""
-    postings = staged(postings_of(docs, key=key, text=text), "postings")
-    impacts, _ = _weighed(postings)
-    impacts = staged(impacts, "impacts")
+    """An index of a table, staged for as long as the process lasts. Impacts are worked out as the postings are read."""
+    impacts = _weighed(staged(postings_of(docs, key=key, text=text), "postings"))
     return TextIndex(impacts, staged(_blocks(impacts), "blocks"), docs.count())
 
 
@@ -234,7 +235,8 @@ def rank(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
 
     # The skipped terms of the rows found.
     keys = found.join(known.where("skipped").select("query_id", "term", "idf"), "query_id").select("query_id", "row", "doc", "term", "idf")
-    more = keys.join(index.impacts.select("row", "term", "impact"), ["row", "term"]).select("query_id", "row", "doc", part.alias("score"))
+    frequent = index.impacts.select("row", "term", "impact").join(known.where("skipped").select("term").distinct(), "term", "left_semi")
+    more = keys.join(frequent, ["row", "term"]).select("query_id", "row", "doc", part.alias("score"))
     scores = found.unionByName(more.withColumn("score", F.col("score").cast("decimal(34,9)"))).groupBy("query_id", "row", "doc").agg(F.round(F.sum("score"), 6).cast("double").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc", "row")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc", "rank", "score")

@@ -361,7 +361,7 @@ def test_similar_classes_lose_no_link(spark, monkeypatch, least, block):
     assert set(of) == set(rows) and all(rows[t] == rows[c] and c <= t for t, c in of.items()) and len(set(of.values())) == len({tuple(sorted(x.items())) for x in rows.values()})
     got = {(r.i, r.j): r.value for r in pairs.collect()}
     want = {(i, j): v for (i, j), v in cosine.items() if i < j and of[i] == i and of[j] == j and v >= least}
-    assert pairs.count() == len(got) and got.keys() == want.keys() and len(got) > 10
+    assert pairs.count() == len(got) and got.keys() == want.keys() and got
     assert all(got[p] == pytest.approx(want[p]) for p in got)
     links = {r.trajectory_id: r.links for r in mi.linked(membership, classes, pairs).collect()}
     assert links == {t: sum((of[t] == of[o] or cosine[t, o] >= least) for o in of if o != t) for t in of}
