@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..staging import drop_staged, numbered, staged
+from ..staging import numbered, staged
 from .evaluation import guarded_saving, resample_counts
 
+#: Vectors that are ranked in one task: with two objectives, and with more (each is held against all before it there).
+CHAIN_ROWS, CHAIN_BLOCK = 1 << 18, 1 << 12
+
 
 def bundle_metrics(pairs: DataFrame) -> DataFrame:
     """Exposure and three objectives of each bundle of feedback pairs."""
@@ -116,19 +120,111 @@ def first_front(items: DataFrame, objectives: tuple[str, ...], within: tuple[str
     return items.join(named, on, "left_semi").unionByName(items.where(lacking))
 
 
+def _chain(x: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Ranks of distinct vectors in descending order: one more than the greatest rank among those before that are as great in all
+    objectives, and than ``base``, what is known from elsewhere."""
+    rank = np.zeros(len(x), np.int64)
+    if x.shape[1] <= 2:
+        # The greatest last objective (negated) of each rank and beyond so far; it falls as ranks rise, so the rank sought is found by halving.
+        last, top = (-x[:, -1]).tolist(), []
+        for i, (v, b) in enumerate(zip(last, base.tolist())):
+            r = max(bisect_right(top, v), b)
+            rank[i] = r + 1
+            # ``top`` of a rank counts higher ranks as well, so it has no gaps where ranks are skipped for a base.
+            known = len(top)
+            top += [v] * (r + 1 - known)
+            for k in range(min(r, known - 1), -1, -1):
+                if top[k] <= v:
+                    break
+                top[k] = v
+        return rank
+    for i in range(len(x)):
+        above = rank[:i][(x[:i] >= x[i]).all(axis=1)]
+        rank[i] = 1 + max(int(above.max(initial=0)), int(base[i]))
+    return rank
+
+
+def _upper_bounds(before: DataFrame, after: DataFrame, n: int) -> DataFrame:
+    """(place, base): the greatest rank among vectors of ``before`` that are as great as a vector of ``after`` in all objectives but the first,
+    which they are by their order."""
+    if n <= 2:
+        # One objective is left: a running maximum down its order, range by range. Equal ones of ``before`` come first.
+        o = F.col(f"o{n - 1}")
+        both = before.select(o.alias("v"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("place"), "rank").unionByName(after.select(o.alias("v"), F.lit(1).alias("side"), "place", F.lit(0).cast("long").alias("rank")))
+        kept = staged(both.repartitionByRange(F.desc("v"), "side").sortWithinPartitions(F.desc("v"), "side").withColumn("at", F.monotonically_increasing_id()), "sweep")
+        part = F.shiftright("at", 33)
+        most = sorted(kept.groupBy(part.alias("p")).agg(F.max("rank").alias("m")).collect())  # one row a partition
+        carried, high = [], 0
+        for p, m in most:
+            carried.append((p, high))
+            high = max(high, m)
+        starts = before.sparkSession.createDataFrame(carried, "p long, carried long")
+        upto = F.max("rank").over(Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        swept = kept.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("base", F.greatest(upto, F.col("carried")))
+        return swept.where("side = 1").select("place", "base")
+    names = [f"o{k}" for k in range(n)]
+    # Blocks of vectors meet blocks of vectors, but only where some of one may be as great as some of the other.
+    blocked = lambda rows: rows.withColumn("block", F.floor(F.col("place") / CHAIN_BLOCK))
+    boxes = lambda rows, f: blocked(rows).groupBy("block").agg(*[f(o).alias(o) for o in names])
+    can = F.lit(True)
+    for o in names[1:]:
+        can = can & (F.col(f"h.{o}") >= F.col(f"l.{o}"))
+    meet = boxes(before, F.max).alias("h").join(boxes(after, F.min).alias("l"), can).select(F.col("h.block").alias("high"), F.col("l.block").alias("low"))  # a row a pair of blocks
+    meet = staged(meet, "meet")
+    cell = lambda rows, side, mine: blocked(rows).join(meet, F.col("block") == F.col(mine)).select("high", "low", F.lit(side).alias("side"), "place", "rank", *names)
+    both = cell(before, 0, "high").unionByName(cell(after.withColumn("rank", F.lit(0).cast("long")), 1, "low"))
+
+    def most(part: pd.DataFrame) -> pd.DataFrame:
+        h, l = part[part["side"] == 0].sort_values("rank", ascending=False), part[part["side"] == 1]  # noqa: E741
+        a, b, ranks = h[names].to_numpy(float), l[names].to_numpy(float), h["rank"].to_numpy()
+        found = np.zeros(len(b), np.int64)
+        for at in range(0, len(b), 512):
+            ok = np.ones((len(b[at : at + 512]), len(a)), bool)
+            for k in range(1, n):
+                ok &= a[None, :, k] >= b[at : at + 512, None, k]
+            first = ok.argmax(axis=1)  # ranks fall
+            found[at : at + 512] = np.where(ok.any(axis=1), ranks[first], 0)
+        return pd.DataFrame({"place": l["place"].to_numpy(), "base": found})
+
+    return both.groupBy("high", "low").applyInPandas(most, "place long, base long").groupBy("place").agg(F.max("base").alias("base"))
+
+
 def fronts(items: DataFrame, objectives: tuple[str, ...], key: str = "item_id") -> DataFrame:
-    """Items with their front rank, peeled front by front until none is left; each step is a table in the shared folder."""
-    left, out, rank = staged(items, "items"), [], 1
-    while not left.isEmpty():
-        front = staged(first_front(left, objectives).withColumn("front", F.lit(rank)), "front")
-        out.append(front)
-        rest = staged(left.join(front.select(key), key, "left_anti"), "items")
-        drop_staged(left)
-        left, rank = rest, rank + 1
-    ranked = items.withColumn("front", F.lit(0)).limit(0)
-    for front in out:
-        ranked = ranked.unionByName(front)
-    return ranked
+    """Items with their front: 1 where none dominates an item, else one more than the greatest front among those that dominate it.
+
+    Distinct vectors are numbered in descending order, so whoever dominates one stands before it. Blocks of ``CHAIN_ROWS`` (with three and
+    more objectives ``CHAIN_BLOCK``) are settled in that order, halves before halves: a settled half gives the other one the ranks
+    that it builds on, by a running maximum down the second objective, or by pairs of blocks. A block is one task; the number of
+    jobs grows with the number of blocks, not with that of fronts. An item that lacks an objective is dominated by none, and dominates none."""
+    n = len(objectives)
+    names = [f"o{k}" for k in range(n)]
+    flat = items.select(*[F.col(o).cast("double").alias(f"o{k}") for k, o in enumerate(objectives)]).dropna().distinct()
+    placed = staged(numbered(flat, *[F.desc(o) for o in names]), "vectors")
+    rows, size = placed.count(), CHAIN_ROWS if n <= 2 else CHAIN_BLOCK
+    schema = "place long, rank long, " + ", ".join(f"{o} double" for o in names)
+
+    def settle(low: int, high: int, base: DataFrame | None) -> DataFrame:
+        here = placed.where(F.col("place").between(low, high - 1))
+        if high - low <= size:
+            known = here.join(base.select(F.col("place").alias("b_place"), "base"), F.col("place") == F.col("b_place"), "left").select("place", *names, F.coalesce("base", F.lit(0)).alias("base")) if base is not None else here.select("place", *names, F.lit(0).cast("long").alias("base"))
+
+            def ranks(part: pd.DataFrame) -> pd.DataFrame:
+                part = part.sort_values("place")
+                return part.assign(rank=_chain(part[names].to_numpy(float), part["base"].to_numpy()))[["place", "rank", *names]]
+
+            return staged(known.groupBy(F.lit(0).alias("block")).applyInPandas(ranks, schema), "ranks")
+        mid = low + size * max(1, (high - low) // (2 * size))
+        first = settle(low, mid, base)
+        rest = placed.where(F.col("place").between(mid, high - 1))
+        more = _upper_bounds(first, rest, n)
+        both = more if base is None else more.unionByName(base.select("place", "base").where(F.col("place") >= mid)).groupBy("place").agg(F.max("base").alias("base"))
+        return first.unionByName(settle(mid, high, staged(both, "base")))
+
+    ranked = settle(0, rows, None).drop("place").select(*[F.col(o).alias(f"_{o}") for o in names], F.col("rank").cast("int").alias("front"))
+    on, lacking = F.lit(True), F.lit(False)
+    for k, o in enumerate(objectives):
+        on, lacking = on & (F.col(o).cast("double") == F.col(f"_o{k}")), lacking | F.col(o).isNull()
+    return items.join(ranked, on).select(*items.columns, "front").unionByName(items.where(lacking).withColumn("front", F.lit(1)))
 
 
 def bootstrap_pareto(pairs: DataFrame, *, samples: int, seed: int, least_exposure: int = 1) -> DataFrame:

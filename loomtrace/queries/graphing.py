@@ -274,11 +274,18 @@ def _items(spark, sf):
     return traces.episodes(spark, sf).groupBy(F.col("sample_id").alias("item_id")).agg(F.round(F.avg("primary_score"), 6).alias("o1"), (-F.round(F.avg("steps"), 6)).alias("o2"), F.round(F.avg(F.col("success").cast("int")), 6).alias("o3"))
 
 
-@query("g22_pareto_ranks", sql("episodes", f"""{_ITEMS}, b6 AS (SELECT sample_id % 6 AS item_id, round(avg(primary_score), 6) AS o1, -round(avg(steps), 6) AS o2 FROM episodes GROUP BY 1),
-  d AS (SELECT a.item_id AS lo, b.item_id AS hi FROM b6 a JOIN b6 b ON b.o1 >= a.o1 AND b.o2 >= a.o2 AND (b.o1 > a.o1 OR b.o2 > a.o2)), r AS (SELECT item_id, 1 AS depth FROM b6 UNION SELECT lo, depth + 1 FROM r JOIN d ON hi = item_id) SELECT item_id, max(depth) AS front FROM r GROUP BY 1"""))
+_DEPTHS = """d AS (SELECT a.item_id AS lo, b.item_id AS hi FROM it a JOIN it b ON b.o1 >= a.o1 AND b.o2 >= a.o2 {third}AND (b.o1 > a.o1 OR b.o2 > a.o2{more})), r AS (SELECT item_id, 1 AS depth FROM it UNION SELECT lo, depth + 1 FROM r JOIN d ON hi = item_id) SELECT item_id, max(depth) AS front FROM r GROUP BY 1"""
+
+
+@query("g22_pareto_ranks", sql("episodes", f"{_ITEMS}, {_DEPTHS.format(third='', more='')}"))
 def g22_ranks(spark, sf):
-    b = traces.episodes(spark, sf).groupBy((F.col("sample_id") % 6).alias("item_id")).agg(F.round(F.avg("primary_score"), 6).alias("o1"), (-F.round(F.avg("steps"), 6)).alias("o2"))
-    return dp.fronts(b, ("o1", "o2")).select("item_id", "front")
+    """Every sample, by two objectives."""
+    return dp.fronts(_items(spark, sf), ("o1", "o2")).select("item_id", "front")
+
+
+@query("g22_pareto_ranks_three", sql("episodes", f"{_ITEMS}, {_DEPTHS.format(third='AND b.o3 >= a.o3 ', more=' OR b.o3 > a.o3')}"))
+def g22_ranks_three(spark, sf):
+    return dp.fronts(_items(spark, sf), ("o1", "o2", "o3")).select("item_id", "front")
 
 
 @query("g23_structural_scores", sql("nodes", """p AS (SELECT 'old' AS partition, segment_id % 4 AS c, * FROM nodes UNION ALL SELECT 'new', event_type, * FROM nodes),

@@ -459,6 +459,29 @@ def test_k_means_of_a_table_is_that_of_its_rows(spark):
     assert [found[i] for i in range(120)] == here.tolist() == [0] * 40 + [1] * 40 + [2] * 40
 
 
+@pytest.mark.parametrize("leaf, n", [(1 << 18, 2), (8, 2), (8, 3), (16, 4), (8, 1)])
+def test_fronts_are_those_of_peeling(spark, monkeypatch, leaf, n):
+    monkeypatch.setattr(dp, "CHAIN_ROWS", leaf)
+    monkeypatch.setattr(dp, "CHAIN_BLOCK", leaf)
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 6, (70, n)).astype(float)
+    names = tuple(f"o{k}" for k in range(n))
+    rows = [(i, *(float(c) for c in v)) for i, v in enumerate(x)] + [(100, *(None,) * n)]
+    got = {r.item_id: r.front for r in dp.fronts(spark.createDataFrame(rows, "item_id long, " + ", ".join(f"{o} double" for o in names)), names).collect()}
+    want, left, front = {100: 1}, set(range(len(x))), 1
+    while left:
+        best = {i for i in left if not any((x[j] >= x[i]).all() and (x[j] > x[i]).any() for j in left)}
+        want |= dict.fromkeys(best, front)
+        left, front = left - best, front + 1
+    assert got == want and max(want.values()) > 2
+
+
+def test_fronts_of_a_hundred_thousand_on_one_chain(spark):
+    chain = spark.range(100_000).selectExpr("id AS item_id", "cast(id AS double) AS x", "cast(id div 2 AS double) AS y")
+    assert dp.fronts(chain, ("x", "y")).where("front <> 100000 - item_id").count() == 0
+    assert dp.fronts(chain.limit(0), ("x", "y")).count() == 0
+
+
 def test_fronts_of_a_long_chain_and_of_many_items(spark):
     chain = spark.range(12).selectExpr("id AS item_id", "cast(id AS double) AS x", "cast(id AS double) AS y")
     assert {r.item_id: r.front for r in dp.fronts(chain, ("x", "y")).collect()} == {i: 12 - i for i in range(12)}
