@@ -16,11 +16,16 @@ asked for give fewer. Scores are sums of decimals, the same in any order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..staging import new_path, staged
 from .validation import require_empty
@@ -59,25 +64,48 @@ STEM: tuple[tuple[tuple[str, str, str, str], ...], ...] = (
     (("e", "", ONE, SHORT),),
     (("ll", "l", TWO_WITH_L, ""),),
 )
-#: Words of other lengths stay as they are.
-STEMMED = (3, 64)
+#: Words of other lengths stay as they are; stems that a worker remembers.
+STEMMED, REMEMBERED = (3, 64), 1 << 20
 
 
-def stemmed(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with the words of ``column`` stemmed: a projection a step, so that no step's expression is worked out twice."""
-    for step in STEM:
-        out = None
-        for suffix, new, condition, unless in step:
-            before = F.expr(f"left(`{column}`, length(`{column}`) - {len(suffix)})")
-            ok = before.rlike(condition) if condition else F.lit(True)
-            ok = ok & ~before.rlike(unless) if unless else ok
-            hit = F.col(column).endswith(suffix)
-            then = F.when(ok, F.concat(before, F.lit(new))).otherwise(F.col(column))
-            out = F.when(hit, then) if out is None else out.when(hit, then)
-        # A mark is tidied up whatever the length that is left.
-        fit = F.length(column).between(*STEMMED) | F.col(column).endswith("~")
-        rows = rows.withColumn(column, F.when(fit, out.otherwise(F.col(column))).otherwise(F.col(column)))
-    return rows
+class Stems(dict):
+    """Stems of words by the rule table; as many words as ``REMEMBERED`` are remembered."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        rule = lambda suffix, new, condition, unless: (suffix, new, re.compile(condition).match if condition else None, re.compile(unless).match if unless else None)
+        self.steps = [[rule(*r) for r in step] for step in STEM]
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        stem = word
+        for step in self.steps:
+            # A mark is tidied up whatever the length that is left.
+            if not STEMMED[0] <= len(stem) <= STEMMED[1] and not stem.endswith("~"):
+                continue
+            for suffix, new, condition, unless in step:
+                if stem.endswith(suffix):
+                    before = stem[: len(stem) - len(suffix)]
+                    if (condition is None or condition(before)) and not (unless and unless(before)):
+                        stem = before + new
+                    break
+        self[word] = stem
+        return stem
+
+
+_stems = Stems()
+
+
+def stem_of(word: str) -> str:
+    """The stem of a word, from what this worker remembers."""
+    return _stems[word]
+
+
+@F.pandas_udf(StringType())
+def stem(words: pd.Series) -> pd.Series:
+    """Stems of single words."""
+    return words.map(stem_of, na_action="ignore")
 
 
 def stem_sql(source: str, result: str) -> str:
@@ -95,29 +123,42 @@ def stem_sql(source: str, result: str) -> str:
     return ",\n".join(tables)
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits in lower case, without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), F.lit(TOKEN), F.lit(0))
-
-
 def query_terms(queries: DataFrame, *, query: str = "query") -> DataFrame:
-    """(query_id, term): the distinct stems of a query's ASCII letters and digits. Staged: a filter that a later join implies would be
-    rewritten through every step of the stemmer."""
+    """(query_id, term): the distinct stems of a query's ASCII letters and digits."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(query)), F.lit(QUERY_TOKEN), F.lit(0)))).alias("term"))
-    return staged(stemmed(words, "term").distinct(), "terms")
+    return words.select("query_id", stem("term").alias("term")).distinct()
 
 
 def postings_of(docs: DataFrame, *, key: str, text: str, batch: int = 0) -> DataFrame:
-    """(row, doc, dl, term, tf) of every row with any term. ``row`` numbers rows: 20 bits of batch, 15 of partition, 28 within it.
-
-    Texts are dealt by row, once; a row's terms are counted where it lies."""
+    """(row, doc, dl, term, tf) of every row with any term: runs of letters and digits in lower case, without marks, stemmed. ``row`` numbers rows:
+    20 bits of batch, 15 of partition, 28 within it. A text's terms are counted where it is read, so nothing is shuffled."""
     at = F.monotonically_increasing_id()
     part, within = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
     row = F.when((part < 1 << 15) & (within < 1 << 28), F.lit(batch << 43) + F.shiftleft(part, 28) + within).otherwise(F.raise_error(F.lit("too many rows in one batch")).cast("long"))
-    dealt = docs.select(row.alias("row"), F.col(key).alias("doc"), F.col(text).alias("text")).repartition("row")
-    words = dealt.select("row", "doc", tokens(F.col("text")).alias("words"))
-    one = words.select("row", "doc", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-    return stemmed(one, "term").groupBy("row", "doc", "dl", "term").agg(F.count("*").alias("tf"))
+    rows = docs.select(row.alias("row"), F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    plain = str.maketrans(MARKED, PLAIN)
+    split = re.compile(r"[^\W_]+").findall  # what TOKEN says
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                owner, lengths, terms, times = [], [], [], []
+                for k, t in enumerate(b.column("text").to_pylist()):
+                    words = Counter(split((t or "").lower().translate(plain)))
+                    found: dict[str, int] = {}
+                    for w, n in words.items():
+                        s = stem_of(w)
+                        found[s] = found.get(s, 0) + n
+                    owner += [k] * len(found)
+                    lengths += [sum(found.values())] * len(found)
+                    terms += found.keys()
+                    times += found.values()
+                of = pa.array(owner, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("row").take(of), b.column("doc").take(of), pa.array(lengths, pa.int64()), pa.array(terms, pa.string()), pa.array(times, pa.int64())], ["row", "doc", "dl", "term", "tf"])
+
+    return rows.mapInArrow(count, f"row long, doc {kind}, dl long, term string, tf long")
 
 
 # ---- building
