@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import traces
+from ..oracle import sql
 from ..streaming import events as st
 
 QUERIES, SQL = {}, {}
@@ -55,10 +56,24 @@ def deduplicated(spark, sf):
     return st.drain(st.once_per_key(st.stream(spark, path), "event_id")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("st01_streaming_state", "SELECT user_id, CASE arg_max(event_type, event_id) FILTER (event_type <> 'error') WHEN 'view' THEN 'results' WHEN 'click' THEN 'item' WHEN 'purchase' THEN 'terminal' ELSE 'search' END AS page, count(*) AS n_events FROM events GROUP BY 1")
+def _shuffled(spark, sf, n=2):
+    """The events in ``n`` files that know no order, and a last one far behind them in time: it lets the watermark pass them all."""
+    from ..sources.files import scratch
+
+    path = scratch(spark, "shuffled")
+    e = traces.read(spark, sf, "events")
+    for k in range(n):
+        e.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == k).coalesce(1).sortWithinPartitions(F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(path)
+    last = e.agg((F.max("ts") + F.expr("interval 1000 days")).alias("ts"))
+    last.select(F.lit(-1).cast("long").alias("event_id"), "ts", *[F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns if c not in ("event_id", "ts")]).select(*e.columns).write.mode("append").parquet(path)
+    return st.stream(spark, path, files=1)
+
+
+@query("st01_streaming_state", sql("machine", "SELECT trajectory_id, step_index::BIGINT AS step_index, event AS shop_event FROM machine WHERE step_index >= 0"))
 def state(spark, sf):
-    out = st.drain(st.page_states(_stream(spark, sf)), "update")
-    return out.groupBy("user_id").agg(F.max_by("page", "n_events").alias("page"), F.max("n_events").alias("n_events"))
+    """Every step's event from a stream that brings the events in no order."""
+    steps = traces.weekly(_shuffled(spark, sf, 2)).select("trajectory_id", "ts", "event_id", *traces.shop_action())
+    return st.drain(st.page_states(steps, late="400 days")).where("event_id >= 0").select("trajectory_id", "step_index", "shop_event")
 
 
 # ---- categories that plain Spark covers, on the star schema

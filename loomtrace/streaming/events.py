@@ -4,13 +4,14 @@ Each function takes and returns a streaming (or batch) DataFrame; ``drain`` runs
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators import labels as lb
 from ..sources.files import scratch
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -37,25 +38,109 @@ def once_per_key(events: DataFrame, *key: str, late: str = "40 days") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key))
 
 
-def page_states(events: DataFrame) -> DataFrame:
-    """(user_id, page, n_events): a small page-state machine kept per user across micro-batches; an event's kind moves the page."""
-    moves = {"view": "results", "click": "item", "purchase": "terminal", "signup": "search"}
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        page, n = state.get if state.exists else ("search", 0)
-        for part in parts:
-            for e in part.sort_values("event_id")["event_type"]:
-                page, n = moves.get(e, page), n + 1
-        state.update((page, n))
-        yield pd.DataFrame({"user_id": [key[0]], "page": [page], "n_events": [n]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, page string, n_events long", "page string, n_events long", "update", "NoTimeout")
+_ASIN = re.compile(r"[A-Za-z0-9]{8,16}")
+
+
+def shop_event(page: str, searched: bool, tool: str | None, keywords: str | None, value: str | None, kinds: dict[str, str]) -> str:
+    """The event of one step on a page: what ``labels.classify_shop`` folds over a whole trajectory, a step at a time."""
+    if tool == "search_action" and keywords is not None:
+        return "query_refinement" if searched else "query_formulation"
+    if tool != "click_action" or value is None:
+        return "other_click"
+    v, asin = value.lower().strip(" "), bool(_ASIN.fullmatch(value.strip(" ")))
+    fixed = {"buy now": "purchase_decision", "back to search": "search_backtracking"}
+    if v in fixed:
+        return fixed[v]
+    kind = min((k.lower() for c, k in kinds.items() if c.lower() == v), default="")
+    here = {
+        "results": "result_navigation" if v in ("next >", "< prev") else "candidate_selection" if not kinds or kind == lb.PRODUCT_LINK else "",
+        "item_detail": "detail_backtracking" if v == "< prev" else "",
+        "item": "attribute_inspection" if v in lb.DETAILS else "option_selection" if (kind == lb.OPTION if kinds else not asin) else "",
+        "unknown": "candidate_selection" if asin else "",
+    }
+    return here.get(page, "") or "other_click"
+
+
+class PageMachine(StatefulProcessor):
+    """Steps of one trajectory in the order of event time, whatever the order of their arrival.
+
+    Steps wait in a list until the watermark has passed them; one timer stands for the earliest of them. Then all that
+    the watermark has passed go through the machine in order. The state of a trajectory that has been still for ``idle_ms`` is dropped."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.machine = handle.getValueState("machine", "page string, searched boolean, steps long, last long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, tool string, keywords string, value string, kinds map<string,string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = None
+        for r in rows:
+            self.waiting.appendValue((r["at"], r["event_id"], r["tool"], r["keywords"], r["value"], r["clickable_types"] or {}))
+            first = r["at"] if first is None else min(first, r["at"])
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        steps = sorted((tuple(s) for s in self.waiting.get()), key=lambda s: s[:2]) if self.waiting.exists() else []
+        due, rest = [s for s in steps if s[0] <= passed], [s for s in steps if s[0] > passed]
+        page, searched, n, last = self.machine.get() if self.machine.exists() else ("search", False, 0, 0)
+        for at, event_id, tool, keywords, value, kinds in due:
+            event = shop_event(page, searched, tool, keywords, value, kinds)
+            yield Row(trajectory_id=key[0], step_index=n, event_id=event_id, shop_event=event)
+            page, searched, n, last = lb.NEXT_PAGE.get(event, page), searched or event.startswith("query_"), n + 1, at
+        if due:
+            self.machine.update((page, searched, n, last))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        elif last // 1000 + self.idle_ms <= timerValues.getCurrentWatermarkInMs():
+            self.machine.clear()
+        else:
+            self.handle.registerTimer(last // 1000 + self.idle_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def page_states(steps: DataFrame, *, late: str = "40 days", idle_days: int = 90) -> DataFrame:
+    """(trajectory_id, step_index, event_id, shop_event) of a stream of steps (trajectory_id, ts, event_id, tool, keywords, value, and clickable_types if
+    there are any). Steps later than ``late`` behind the latest are dropped; those of one time are in the order of event_id."""
+    if "clickable_types" not in steps.columns:
+        steps = steps.withColumn("clickable_types", F.lit(None).cast("map<string,string>"))
+    rows = steps.withWatermark("ts", late).select("trajectory_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "tool", "keywords", "value", "clickable_types")
+    return rows.groupBy("trajectory_id").transformWithState(PageMachine(idle_days * 86_400_000), "trajectory_id string, step_index long, event_id long, shop_event string", "append", "eventTime")
+
+
+#: The state store that timers and lists need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def drain(out: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming query over what is available and return its rows, in the order of arrival for ``update``."""
+    """Run a streaming query over what is available and return its rows, from files in the shared folder: those of the last batch in ``complete`` mode,
+    else of all batches. A batch that is repeated overwrites its own files."""
     spark = out.sparkSession
-    name = "drained_" + uuid.uuid4().hex
-    q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path, numbers = scratch(spark, "drained"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbers.append(number)
+
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        out.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    if not numbers:
+        return spark.createDataFrame([], out.schema)
+    wanted = [max(numbers)] if mode == "complete" else sorted(set(numbers))
+    return spark.read.schema(out.schema).parquet(*[f"{path}/batch={n}" for n in wanted])

@@ -7,7 +7,7 @@ input order. Every table is a lazy DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Commands of the household domain by number, with the step's entity number put in; the last is no known action.
@@ -34,17 +34,23 @@ def pick(options: tuple[str, ...], index: F.Column, n: F.Column) -> F.Column:
     return F.replace(chosen, F.lit("{n}"), n.cast("string"))
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trajectory_id, sample_id, method, repeat_id, step_index, event_type, k, reward, event_id."""
-    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+def weekly(events: DataFrame) -> DataFrame:
+    """Events with their trajectory: trajectory_id, sample_id, method, repeat_id, ts, event_type, k, reward, event_id, week. Row by row, so
+    of a stream as well."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     e = e.withColumn("week", F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int"))
-    n = F.row_number().over(Window.partitionBy("user_id", "week").orderBy("ts", "event_id")) - 1
     return e.select(
         F.concat(F.lit("u"), "user_id", F.lit("-w"), "week").alias("trajectory_id"), F.col("user_id").alias("sample_id"), F.when(F.pmod("week", F.lit(4)) < 2, "baseline").otherwise("candidate").alias("method"),
-        (2 * F.floor(F.col("week") / 4) + F.pmod("week", F.lit(2))).cast("int").alias("repeat_id"), n.alias("step_index"), "event_type", "k", F.col("value").alias("reward"), "event_id",
+        (2 * F.floor(F.col("week") / 4) + F.pmod("week", F.lit(2))).cast("int").alias("repeat_id"), "ts", "event_type", "k", F.col("value").alias("reward"), "event_id", "week",
     )
 
 
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trajectory_id, sample_id, method, repeat_id, step_index, event_type, k, reward, event_id."""
+    n = F.row_number().over(Window.partitionBy("sample_id", "week").orderBy("ts", "event_id")) - 1
+    return weekly(read(spark, sf_dir, "events")).select("trajectory_id", "sample_id", "method", "repeat_id", n.alias("step_index"), "event_type", "k", "reward", "event_id")
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per trajectory: primary_score = purchases / max(purchases + errors, 1), steps, invalid_actions, tokens."""
     count = lambda e: F.count_if(F.col("event_type") == e)
@@ -64,14 +70,17 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of the shop domain: tool with keywords or a clicked value, pages before and after."""
-    s = steps(spark, sf_dir)
+def shop_action() -> list[Column]:
+    """Tool, keywords and clicked value of a step of the shop domain."""
     tool = F.when(F.col("event_type") == "view", "search_action").when(F.col("event_type") == "error", F.lit(None)).otherwise("click_action")
     value = F.when(F.col("event_type") == "purchase", "buy now").when(F.col("event_type") == "signup", "Back to Search").when(F.col("event_type") == "click", pick(CLICKS, F.col("k"), F.col("k")))
-    return s.select(
-        "trajectory_id", "sample_id", "method", "repeat_id", "step_index", "reward", "k", tool.alias("tool"), F.when(F.col("event_type") == "view", F.concat(F.lit("small Ring red "), "k")).alias("keywords"), value.alias("value"),
-        pick(PAGES, F.col("k"), F.col("k")).alias("before"), pick(PAGES, F.col("k") + F.col("step_index"), F.col("k")).alias("after"),
+    return [tool.alias("tool"), F.when(F.col("event_type") == "view", F.concat(F.lit("small Ring red "), "k")).alias("keywords"), value.alias("value")]
+
+
+def shop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the shop domain: tool with keywords or a clicked value, pages before and after."""
+    return steps(spark, sf_dir).select(
+        "trajectory_id", "sample_id", "method", "repeat_id", "step_index", "reward", "k", *shop_action(), pick(PAGES, F.col("k"), F.col("k")).alias("before"), pick(PAGES, F.col("k") + F.col("step_index"), F.col("k")).alias("after"),
     )
 
 
