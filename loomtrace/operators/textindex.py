@@ -5,13 +5,13 @@ An index is a folder: ``postings`` by batch, ``sources`` (which file of which si
 block of impacts that they belong to. A block is a step of the impact scale, so no term's postings are sorted or
 numbered as a group, however frequent the term.
 
-Ranking (:func:`rank`) is exact. The blocks with a term's greatest impacts give each query a score that its k-th best row
-reaches at least. Terms whose greatest parts together stay below it cannot bring in a row by themselves; of the others only blocks
-are read that can still reach it together with the rest. Rows found so are completed by the skipped terms, and only these rows.
+Ranking (:func:`rank`) is exact. The blocks with a term's greatest impacts give each query some rows, whose whole scores show what its k-th
+best row reaches at least. Terms whose greatest parts together stay below that cannot bring in a row by themselves; of the others only
+blocks are read that can still reach it together with the rest. What may then be among the best is scored in full.
 
 Defined cases: null text has no terms; rows that repeat an id are rows of their own (:func:`retrieval.distinct_first` keeps the first); null ids
 are ids; a query without known terms finds nothing; ties go to the smaller id, then the smaller row number; fewer rows than
-asked for give fewer. Scores are sums of decimals, the same in any order.
+asked for give fewer. Scores are sums of whole billionths, the same in any order.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaa
 TOKEN, QUERY_TOKEN = r"[\p{L}\p{N}]+", "[a-z0-9]+"
 K1, B = 1.2, 0.75
 #: Steps of the impact scale, which ends at K1 + 1; rows of one term that the first look reads at most.
-STEPS, FIRST_ROWS = 64, 1 << 16
-PART = "decimal(24,9)"
+STEPS, FIRST_ROWS = 64, 1 << 11
+#: Rows whose whole scores the first look works out, beside two for each of the k.
+LOOK = 32
 #: Bounds are doubles and parts are rounded; a bound this much below a score counts as reaching it.
 SLACK = 1e-6
 
@@ -65,7 +66,7 @@ STEM: tuple[tuple[tuple[str, str, str, str], ...], ...] = (
     (("ll", "l", TWO_WITH_L, ""),),
 )
 #: Words of other lengths stay as they are; stems that a worker remembers.
-STEMMED, REMEMBERED = (3, 64), 1 << 20
+STEMMED, REMEMBERED = (3, 64), 1 << 17
 
 
 class Stems(dict):
@@ -245,22 +246,43 @@ def index_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Tex
 # ---- ranking
 
 
+def _idf(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, term, idf, bound) of the queries' known terms; a term's parts are at most ``bound``."""
+    terms = index.blocks.groupBy("term").agg(F.sum("rows").alias("df"), F.max("most").alias("most"))
+    idf = F.greatest(F.log((F.lit(index.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return query_terms(queries).join(terms, "term").select("query_id", "term", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
+
+
+def _part() -> Column:
+    """A term's part of a score in billionths: whole numbers have one sum in any order."""
+    return F.round(F.col("idf") * F.col("impact") * 1e9).cast("long")
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc, rank, score) from sums in billionths, which are rounded to millionths."""
+    whole = scores.select("query_id", "row", "doc", F.expr("(sum + 500) div 1000").alias("micro"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("micro"), "doc", "row")
+    return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc", "rank", (F.col("micro") / 1e6).alias("score"))
+
+
 def rank(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc, rank, score): the k best rows of every query by BM25 over its distinct stems; idf = ln((N - n + 0.5) / (n + 0.5)),
     at least 1e-6; parts are rounded to nine digits, scores to six."""
-    terms = index.blocks.groupBy("term").agg(F.sum("rows").alias("df"), F.max("most").alias("most"))
-    idf = F.greatest(F.log((F.lit(index.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    asked = query_terms(queries).join(terms, "term").select("query_id", "term", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
-    asked = staged(asked, "asked")
-    part = F.round(F.col("idf") * F.col("impact"), 9).cast(PART).alias("part")
-    with_impacts = lambda wanted: wanted.join(index.impacts, ["term", "block"]).select("query_id", "row", "doc", part)
-    total = lambda hits: hits.groupBy("query_id", "row", "doc").agg(F.sum("part").alias("score"))
+    asked = staged(_idf(index, queries), "asked")
+    sums = lambda wanted: wanted.join(index.impacts.select("row", "term", "block", "impact"), ["term", "block"]).groupBy("query_id", "row").agg(F.sum(_part()).alias("sum"))
 
-    # A first look: the topmost blocks of each term that hold k rows, where they are few.
+    def complete(rows: DataFrame) -> DataFrame:
+        """The whole scores of (query_id, row): all terms of the query, from the postings of these rows alone."""
+        near = index.impacts.select("row", "doc", "term", "impact").join(rows.select("row").distinct(), "row", "left_semi")
+        return near.join(rows.join(asked, "query_id").select("query_id", "row", "term", "idf"), ["row", "term"]).groupBy("query_id", "row", "doc").agg(F.sum(_part()).alias("sum"))
+
+    # A first look: the topmost blocks of each term that hold k rows, where they are few; the whole scores of what is best there.
     above = F.sum("rows").over(Window.partitionBy("term").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    top = index.blocks.withColumn("above", above).where((F.col("above") - F.col("rows") < k) & (F.col("above") <= FIRST_ROWS)).select("term", "block")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    least = total(with_impacts(asked.join(top, "term"))).withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").cast("double").alias("least"))
+    top = index.blocks.join(asked.select("term").distinct(), "term", "left_semi").withColumn("above", above)
+    top = top.where((F.col("above") - F.col("rows") < k) & (F.col("above") <= FIRST_ROWS)).select("term", "block")
+    place = lambda: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum"), "row"))
+    seen = staged(sums(asked.join(top, "term")).withColumn("place", place()).where(F.col("place") <= 2 * k + LOOK).select("query_id", "row"), "seen")
+    least = complete(seen).withColumn("place", place()).where(F.col("place") == k).select("query_id", (F.col("sum") / 1e9).alias("least"))
     known = asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
 
     # Terms in the order of their bounds: those that together stay below the least score are skipped.
@@ -271,27 +293,14 @@ def rank(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     reaching = known.where("not skipped").join(index.blocks, "term").where(F.col("idf") * F.col("most") + F.col("all") - F.col("bound") >= F.col("least"))
     wanted = staged(reaching.select("query_id", "term", "block", "idf"), "wanted")
     limits = known.groupBy("query_id").agg(F.first("least").alias("least"), F.first("rest").alias("rest"))
-    found = total(with_impacts(wanted)).join(limits, "query_id").where(F.col("score").cast("double") + F.col("rest") >= F.col("least"))
-    found = staged(found.select("query_id", "row", "doc", "score"), "candidates")
-
-    # The skipped terms of the rows found.
-    keys = found.join(known.where("skipped").select("query_id", "term", "idf"), "query_id").select("query_id", "row", "doc", "term", "idf")
-    frequent = index.impacts.select("row", "term", "impact").join(known.where("skipped").select("term").distinct(), "term", "left_semi")
-    more = keys.join(frequent, ["row", "term"]).select("query_id", "row", "doc", part.alias("score"))
-    scores = found.unionByName(more.withColumn("score", F.col("score").cast("decimal(34,9)"))).groupBy("query_id", "row", "doc").agg(F.round(F.sum("score"), 6).cast("double").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc", "row")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc", "rank", "score")
+    found = sums(wanted).join(limits, "query_id").where(F.col("sum") / 1e9 + F.col("rest") >= F.col("least")).select("query_id", "row")
+    return _best(complete(staged(found, "candidates")), k)
 
 
 def plain_rank(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """What :func:`rank` returns, from all postings of all terms: for comparison."""
-    terms = index.blocks.groupBy("term").agg(F.sum("rows").alias("df"))
-    idf = F.greatest(F.log((F.lit(index.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    hits = query_terms(queries).join(terms, "term").withColumn("idf", idf).join(index.impacts, "term")
-    part = F.round(F.col("idf") * F.col("impact"), 9).cast(PART)
-    scores = hits.groupBy("query_id", "row", "doc").agg(F.round(F.sum(part), 6).cast("double").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc", "row")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc", "rank", "score")
+    hits = _idf(index, queries).join(index.impacts, "term")
+    return _best(hits.groupBy("query_id", "row", "doc").agg(F.sum(_part()).alias("sum")), k)
 
 
 def scratch_index(spark: SparkSession) -> str:

@@ -421,7 +421,7 @@ _BM_SUM = _BM_ALL.replace("round(sum(greatest(", "round(sum(round(greatest(").re
 _STEMS = rf"""w AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(coalesce(text, '')), '{ti.MARKED}', '{ti.PLAIN}'), '{ti.TOKEN}')) AS term FROM documents), u AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{ti.QUERY_TOKEN}')) AS term FROM benchmark),
   vocabulary AS (SELECT term FROM w UNION SELECT term FROM u), {ti.stem_sql("vocabulary", "stems")}, p AS (SELECT doc_id, stem, count(*) AS tf FROM w JOIN stems USING (term) GROUP BY 1, 2)"""
 _BM_STEMS = f"""{_STEMS}, l AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY 1), d AS (SELECT stem, count(*) AS df FROM p GROUP BY 1), q AS (SELECT DISTINCT item_id AS query_id, stem FROM u JOIN stems USING (term)),
-  s AS (SELECT query_id, p.doc_id AS doc, round(sum(round(greatest(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM l)))), 9)::DECIMAL(24,9)), 6)::DOUBLE AS score FROM q JOIN d USING (stem) JOIN p USING (stem) JOIN l USING (doc_id) GROUP BY 1, 2),
+  s AS (SELECT query_id, p.doc_id AS doc, ((sum(round(greatest(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM l)))) * 1e9)::BIGINT)::BIGINT + 500) // 1000) / 1e6 AS score FROM q JOIN d USING (stem) JOIN p USING (stem) JOIN l USING (doc_id) GROUP BY 1, 2),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM s)"""
 _DISTINCT = ", g AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc % 20 ORDER BY rank) AS n FROM k WHERE rank <= 100) SELECT query_id, doc, place FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM g WHERE n = 1) WHERE place <= 10"
 

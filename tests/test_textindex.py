@@ -104,7 +104,7 @@ def test_ranking_reads_less_than_all_postings(spark, monkeypatch):
     real = ti.staged
     monkeypatch.setattr(ti, "staged", lambda df, label: kept.setdefault(label, real(df, label)))
     assert [r.doc for r in ti.rank(index, asked, 3).orderBy("rank").collect()] == [3, 503, 1003]
-    assert {r.term for r in kept["wanted"].collect()} <= {"rare", "gem"} and kept["candidates"].count() == 6
+    assert {r.term for r in kept["wanted"].collect()} <= {"rare", "gem"} and kept["candidates"].count() <= 6
 
 
 def test_words_without_stems_rank_as_plain_bm25(spark):
