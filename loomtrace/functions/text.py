@@ -10,9 +10,39 @@ PRICE = r"(?i)(?:Price:\s*|\|\s*\$)(\d+(?:\.\d+)?)"
 SELECTED = r"(?is)Selected:\s*\{(.*?)\}"
 
 
-def normalise(text: Column) -> Column:
-    """Lower case, outer blanks off, inner white space to one blank. (Lower case, not case folding: sharp s stays.)"""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+def _foldings() -> dict[str, str]:
+    """What full case folding makes of the characters that lower case alone does not do, by Python's tables."""
+    every = (chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000)
+    return {c: c.casefold() for c in every if c.casefold() != c.lower()}
+
+
+FOLDINGS = _foldings()
+
+
+def folded(text: Column) -> Column:
+    """Case folding: lower case, then sharp s, final sigma, ligatures and the like as one form. Text of ASCII characters alone is only lowered."""
+    one = {c: f for c, f in FOLDINGS.items() if len(f) == 1}
+    several = {c: f for c, f in FOLDINGS.items() if len(f) > 1}
+    low = F.lower(text)
+    out = low
+    for c, f in several.items():
+        out = F.replace(out, F.lit(c), F.lit(f))
+    out = F.when(low.rlike("[" + "".join(several) + "]"), out).otherwise(low)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(out, "".join(one), "".join(one.values()))).otherwise(low)
+
+
+def folded_sql(text: str) -> str:
+    """The same in DuckDB's dialect."""
+    one = {c: f for c, f in FOLDINGS.items() if len(f) == 1}
+    text = f"lower({text})"
+    for c, f in FOLDINGS.items():
+        text = f"replace({text}, '{c}', '{f.replace(chr(39), chr(39) * 2)}')" if len(f) > 1 else text
+    return f"translate({text}, '{''.join(one)}', '{''.join(one.values())}')"
+
+
+def normalise(text: Column, *, fold: bool = False) -> Column:
+    """Lower case (or case folding), outer blanks off, inner white space to one blank. Logs' commands are ASCII, for which both are the same."""
+    return F.trim(F.regexp_replace(folded(text) if fold else F.lower(text), r"\s+", " "))
 
 
 def without_number(entity: Column) -> Column:

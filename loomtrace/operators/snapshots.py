@@ -101,6 +101,7 @@ def violations(s: Snapshot) -> DataFrame:
         children = children.unionByName(s.high_card_mids.join(s.high_card_steps.select(F.col("skill_id").alias("_s")).distinct(), F.col("skill_id") == F.col("_s"), "left_anti"))
     covered = lambda cards, of, column: _without(of, column, cards, "skill_id").isEmpty() and _without(cards, "skill_id", of, column).isEmpty()
     renamed = lambda rows, column: rows.withColumnRenamed(column, "skill_id")
+    both = lambda rows, cards, of, column: _of(_of(rows, "skill_id", cards, "skill_id"), "skill_id", of, column)  # noqa: E731 - ids that have a card and a structure
     rules = {
         "training trajectories repeat": _repeated(s.training, "trajectory_id"),
         "no training trajectories": flag(s.training.isEmpty(), "training"),
@@ -112,7 +113,7 @@ def violations(s: Snapshot) -> DataFrame:
         "segment outside training": _without(s.cluster_members, "trajectory_id", s.training, "trajectory_id", "segment_id"),
         "path support outside training": _without(s.path_support, "trajectory_id", s.training, "trajectory_id", "path_id"),
         "path length": _ids(lengths.where(f"coalesce(_n, 0) < 2 or _n > {s.longest_path} or coalesce(_d, 0) < 2"), "path_id"),
-        "mid card members differ": _differing(_of(renamed(s.cluster_members, "cluster_id"), "skill_id", s.mid_cards, "skill_id"), _of(s.mid_card_members, "skill_id", s.clusters, "cluster_id"), "skill_id", "segment_id"),
+        "mid card members differ": _differing(both(renamed(s.cluster_members, "cluster_id"), s.mid_cards, s.clusters, "cluster_id"), both(s.mid_card_members, s.mid_cards, s.clusters, "cluster_id"), "skill_id", "segment_id"),
         "high card without child card": _without(children, "mid_id", s.mid_cards, "skill_id", "skill_id"),
         "mid index and cards differ": _without(s.mid_index, "skill_id", s.mid_cards, "skill_id").unionByName(_without(s.mid_cards, "skill_id", s.mid_index, "skill_id")),
         "high index and cards differ": _without(s.high_index, "skill_id", s.high_cards, "skill_id").unionByName(_without(s.high_cards, "skill_id", s.high_index, "skill_id")),
@@ -128,13 +129,13 @@ def violations(s: Snapshot) -> DataFrame:
             "community mid without cluster": _without(s.community_mids, "mid_id", s.clusters, "cluster_id", "community_id"),
             "community path without path": _without(s.community_paths, "path_id", s.paths, "path_id", "community_id"),
             "community support outside training": _without(s.community_support, "trajectory_id", s.training, "trajectory_id", "community_id"),
-            "high card members differ": _differing(_of(renamed(s.community_mids, "community_id"), "skill_id", s.high_cards, "skill_id"), _of(s.high_card_mids, "skill_id", s.communities, "community_id"), "skill_id", "mid_id"),
+            "high card members differ": _differing(both(renamed(s.community_mids, "community_id"), s.high_cards, s.communities, "community_id"), both(s.high_card_mids, s.high_cards, s.communities, "community_id"), "skill_id", "mid_id"),
             "high card order without a member path": _ids(orders.join(theirs, (F.col("skill_id") == F.col("_c")) & (F.col("steps") == F.col("_steps")), "left_anti"), "skill_id"),
         }
     else:
         rules |= {
             "communities in a version without them": flag(s.communities is not None and not s.communities.isEmpty(), "communities"),
-            "high card order differs from path": _differing(_of(renamed(s.path_steps, "path_id"), "skill_id", s.high_cards, "skill_id"), _of(s.high_card_steps, "skill_id", s.paths, "path_id"), "skill_id", "place", "mid_id"),
+            "high card order differs from path": _differing(both(renamed(s.path_steps, "path_id"), s.high_cards, s.paths, "path_id"), both(s.high_card_steps, s.high_cards, s.paths, "path_id"), "skill_id", "place", "mid_id"),
         }
     out = None
     for name, ids in rules.items():

@@ -15,8 +15,10 @@ from ..operators import policies as po
 from ..operators import retrieval as rt
 from ..operators import segmentation as sg
 from ..operators import sequences as sq
+from ..operators import snapshots as sn
 from ..operators import textindex as ti
 from ..oracle import sql
+from ..staging import staged
 from .evaluating import _bundled
 from .sequencing import _decisions, _partitions
 
@@ -148,6 +150,41 @@ def g12(spark, sf):
     return m.select("path_id", F.array_join("path", ">").alias("path"), *[F.round(c, 6).alias(c) for c in ("positive", "negative", "score")])
 
 
+_SNAPSHOT = f"""{_PATHS}, m AS (SELECT path, string_split(path, chr(31)) AS steps FROM s WHERE p >= 0.02 AND p * ln((p + 1e-6) / (n + 1e-6)) > 0), x AS (SELECT trajectory_id FROM episodes WHERE sample_id % 10 = 3)
+  SELECT 'segment outside training' AS rule, count(*) AS n FROM segments WHERE trajectory_id IN (SELECT trajectory_id FROM x) UNION ALL SELECT 'path support outside training', count(DISTINCT path) FROM m JOIN g USING (path) WHERE trajectory_id IN (SELECT trajectory_id FROM x)
+  UNION ALL SELECT 'path length', count(*) FROM m WHERE len(steps) > 3 UNION ALL SELECT 'high card without child card', count(*) FROM m WHERE list_contains(steps, 'click') UNION ALL SELECT 'mid index and cards differ', 2 UNION ALL SELECT 'mid card without cluster', 1
+  UNION ALL SELECT 'mid coverage flag', 1 UNION ALL SELECT 'mid card members differ', count(DISTINCT event_type) FROM segments WHERE event_type <> 'click' AND start_step = 0"""
+
+
+@query("v07_snapshot_integrity", sql("segments episodes", f"SELECT rule, n FROM ({'WITH ' + _SNAPSHOT}) WHERE n > 0"))
+def v07_snapshot(spark, sf):
+    """Broken rules of a snapshot of all trajectories, some of which its training leaves out; its cards lack a cluster, have one that is none, and
+    forget the first segments."""
+    segments = sq.segments(traces.steps(spark, sf))
+    training = traces.episodes(spark, sf).where("sample_id % 10 <> 3").select("trajectory_id")
+    mined = staged(mi.mine_paths(*_mined(spark, sf)).select("path_id", "path", "trajectories"), "paths")
+    clusters = segments.select(F.col("event_type").alias("cluster_id")).distinct()
+    cards = clusters.where("cluster_id <> 'click'").unionByName(spark.range(1).select(F.lit("ghost").alias("cluster_id")))
+    hashed = lambda rows, c: rows.select(F.col(c).alias("skill_id"), sn.text_hash(c).alias("text_hash"))
+    steps = mined.select("path_id", F.posexplode("path").alias("place", "mid_id"))
+    snapshot = sn.Snapshot(
+        training=training, clusters=clusters, cluster_members=segments.select(F.col("event_type").alias("cluster_id"), "segment_id", "trajectory_id"),
+        paths=mined.select("path_id"), path_steps=steps, path_support=mined.select("path_id", F.explode("trajectories").alias("trajectory_id")),
+        mid_cards=hashed(cards, "cluster_id"), mid_card_members=segments.where("start_step > 0").select(F.col("event_type").alias("skill_id"), "segment_id"), high_cards=hashed(mined, "path_id"),
+        high_card_steps=steps.withColumnRenamed("path_id", "skill_id"), mid_index=hashed(clusters, "cluster_id"), high_index=hashed(mined, "path_id"), longest_path=3, source_hashes=dict.fromkeys(sn.SOURCES, "0" * 64),
+    )
+    return sn.violations(snapshot).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_LINES = "SELECT sha256(concat('{{\"event_type\":\"', event_type, '\",\"segment_id\":\"', segment_id, '\"}}')) AS d, count(*) AS n FROM segments GROUP BY 1"
+
+
+@query("v07_content_digest", sql("segments", f"e AS ({_LINES.format()}), b AS (SELECT left(d, 2) AS name, sha256(string_agg(d || ':' || n, chr(10) ORDER BY d)) AS line, sum(n) AS n FROM e GROUP BY 1), one AS (SELECT sha256(string_agg(d || ':' || n, chr(10) ORDER BY d)) AS line FROM e), two AS (SELECT sha256(string_agg(line, chr(10) ORDER BY name)) AS line FROM b) SELECT CASE WHEN (SELECT count(*) FROM e) <= 1024 THEN (SELECT line FROM one) ELSE (SELECT line FROM two) END AS digest, (SELECT sum(n) FROM e)::BIGINT AS n"))
+def v07_digest(spark, sf):
+    """The digest of all segments' labels, whatever their order. (Its SQL has the tree of up to 262,144 rows.)"""
+    return sn.digest_tree(sq.segments(traces.steps(spark, sf)).select("segment_id", "event_type"))
+
+
 _SEQF = "c AS (SELECT trajectory_id, event_type, lead(event_type) OVER (PARTITION BY trajectory_id ORDER BY start_step) AS nx FROM segments), f AS (SELECT trajectory_id, 'mid:' || event_type AS feature FROM c UNION ALL SELECT trajectory_id, 'transition:' || event_type || '->' || nx FROM c WHERE nx IS NOT NULL), n AS (SELECT trajectory_id, feature, count(*) AS n FROM f GROUP BY 1, 2), w AS (SELECT trajectory_id, feature, n * ln((SELECT count(DISTINCT trajectory_id) FROM segments) / count(*) OVER (PARTITION BY feature)) AS weight FROM n)"
 
 

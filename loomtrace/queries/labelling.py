@@ -241,9 +241,9 @@ def p28(spark, sf):
 # ---- scalar functions
 
 
-@query("f01_normalise", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM documents")
+@query("f01_normalise", rf"SELECT doc_id, md5(trim(regexp_replace({tx.folded_sql('text')}, '\s+', ' ', 'g'))) AS digest FROM documents")
 def f01(spark, sf):
-    return traces.read(spark, sf, "documents").select("doc_id", F.md5(tx.normalise(F.col("text"))).alias("digest"))
+    return traces.read(spark, sf, "documents").select("doc_id", F.md5(tx.normalise(F.col("text"), fold=True)).alias("digest"))
 
 
 @query("f02_entity", sql("commands", r"SELECT DISTINCT command, regexp_replace(trim(regexp_replace(lower(command), '\s+', ' ', 'g')), '\s+\d+$', '') AS entity FROM commands"))

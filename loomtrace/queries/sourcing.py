@@ -73,6 +73,15 @@ def s04(spark, sf):
     return fs.read_task_ids(spark, path, "extra_info.task_id").distinct()
 
 
+@query("s04_dataset_index", sql("episodes", "SELECT row_number() OVER (ORDER BY trajectory_id) - 1 AS dataset_index, sample_id AS task_id FROM episodes"))
+def s04_index(spark, sf):
+    """Places in a table of several files that was written in the order of the ids."""
+    path = fs.scratch(spark, "numbered")
+    e = traces.episodes(spark, sf).select("trajectory_id", F.struct(F.col("sample_id").alias("task_id"), F.col("steps").alias("other")).alias("extra_info"))
+    e.repartitionByRange(5, "trajectory_id").sortWithinPartitions("trajectory_id").write.parquet(path)
+    return fs.read_numbered(spark, path, "extra_info.task_id")
+
+
 @query("s05_goal_range", "SELECT range AS goal_index, r::INTEGER AS repeat_id FROM range(5, 25), (VALUES (0), (1), (2)) t(r)")
 def s05(spark, sf):
     return fs.goal_range(spark, 5, 25, 200, (0, 1, 2))
@@ -208,6 +217,21 @@ def s21(spark, sf):
     return fs.read_jsonl(spark, path).agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("n_samples"))
 
 
+_REPORTED = ("click", "error", "purchase", "signup", "view")
+
+
+@query("s18_pool_report", sql("segments", "SELECT count(DISTINCT trajectory_id) AS trajectories, count(*) AS segments, max(n_steps) AS longest, " + ", ".join(f"count(*) FILTER (event_type = '{e}') AS n_{e}" for e in _REPORTED) + " FROM segments"))
+def s18_report(spark, sf):
+    """The report of a pool, gathered while it is written."""
+    s = sq.segments(traces.steps(spark, sf)).groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("start_step", "end_step", "event_type"))).alias("segments"))
+    of = lambda e: F.size(F.filter("segments", lambda x: x["event_type"] == e))
+    counts = {f"n_{e}": F.sum(of(e)) for e in _REPORTED}
+    longest = F.max(F.array_max(F.transform("segments", lambda x: x["end_step"] - x["start_step"] + 1)))
+    report = fs.write_pool(nested(spark, sf).join(s, "trajectory_id"), fs.scratch(spark, "pool"), trajectories=F.count("*"), segments=F.sum(F.size("segments")), longest=longest, **counts)
+    names = ("trajectories", "segments", "longest", *counts)
+    return spark.createDataFrame([tuple(int(report[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 # ---- run state
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import validation as va
@@ -49,10 +49,31 @@ def write_by_episode(rows: DataFrame, path: str, key: str = "trajectory_id") ->
 
 
 def read_task_ids(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """One nested field of a Parquet table; the scan reads that leaf alone. Rows are numbered by the field, not by file order."""
+    """One nested field of a Parquet table; the scan reads that leaf alone. :func:`read_numbered` has the rows' places as well."""
     return spark.read.parquet(path).select(F.col(field).alias("task_id"))
 
 
+def read_numbered(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """(dataset_index, columns...): a Parquet table's rows by their place in the order of its files and within them.
+
+    The reader's own position column gives the place within a file; the sizes of the files before it (one row a file) the rest. Files are in the
+    order of their paths, which is that of a writer's tasks."""
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), *columns)
+    sizes = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_file").alias("_of"), before.alias("_before"))
+    names = [c.rsplit(".", 1)[-1] for c in columns]
+    return rows.join(starts, F.col("_file") == F.col("_of")).select((F.col("_before") + F.col("_row")).alias("dataset_index"), *names)
+
+
+def write_pool(rows: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write a pool of trajectories, and return its report: metrics gathered as the rows are written, not by reading them again. Metrics must be
+    aggregates; a task that is repeated does not count twice, as those of the job that committed are taken."""
+    seen = Observation()
+    rows.observe(seen, *[m.alias(n) for n, m in metrics.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def goal_range(spark: SparkSession, start: int, end: int, size: int, repeats: tuple[int, ...]) -> DataFrame:
     """Goal indices [start, end) within [0, size), times repeats."""
     if not 0 <= start < end <= size:

@@ -50,6 +50,8 @@ def test_goal_events_are_substrings(spark):
 
 def test_scalar_text_functions(spark):
     assert one(spark, tx.normalise(F.col("t")), t="  A\t b\n C ") == "a b c"
+    for t in ("Straße ΣΑΣ ς ﬁn", "İstanbul ĲSSEL", "ŉ ǰ Ⅷ K", "Ꭰ ꭰ", "PLAIN", ""):
+        assert one(spark, tx.folded(F.col("t")), t=t) == t.casefold()
     assert one(spark, tx.phrase_visible(F.col("p"), F.col("t")), p="Red shoe", t="a shoe, RED!") is True
     assert one(spark, tx.phrase_visible(F.col("p"), F.col("t")), p="--", t="x") is False
     assert one(spark, tx.prices(F.col("t")), t="Price: 3.5 | $12 and | $7.25") == [3.5, 12.0, 7.25]
@@ -585,3 +587,17 @@ def test_clickable_types_come_before_exclusion(spark):
     steps = spark.createDataFrame(rows, "trajectory_id string, step_index int, tool string, keywords string, value string, clickable_types map<string,string>")
     want = ["query_formulation", "other_click", "candidate_selection", "other_click", "option_selection", "option_selection", "purchase_decision"]
     assert [r.shop_event for r in lb.classify_shop(steps).orderBy("step_index").collect()] == want
+
+
+def test_rows_are_numbered_by_file_and_place(spark, tmp_path):
+    spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id").selectExpr("struct(id AS task, 'x' AS other) AS info").write.parquet(f"{tmp_path}/t")
+    rows = fs.read_numbered(spark, f"{tmp_path}/t", "info.task")
+    assert rows.columns == ["dataset_index", "task"] and rows.where("dataset_index <> task").count() == 0 and rows.count() == 1000
+    spark.range(0).selectExpr("id AS task").write.parquet(f"{tmp_path}/none")
+    assert fs.read_numbered(spark, f"{tmp_path}/none", "task").count() == 0
+
+
+def test_a_pool_reports_what_it_writes(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "id % 3 AS kind")
+    report = fs.write_pool(rows, f"{tmp_path}/pool", n=F.count("*"), kinds=F.max("kind"))
+    assert report == {"n": 100, "kinds": 2} and spark.read.parquet(f"{tmp_path}/pool").count() == 100
