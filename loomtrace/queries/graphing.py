@@ -18,6 +18,7 @@ from ..operators import sequences as sq
 from ..operators import snapshots as sn
 from ..operators import textindex as ti
 from ..oracle import sql
+from ..sources import graph_store as gs
 from ..staging import staged
 from .evaluating import _bundled
 from .sequencing import _decisions, _partitions
@@ -94,6 +95,14 @@ def g07(spark, sf):
     return gr.laplacian(gr.edge_algebra(*_graph(spark, sf))).select("i", "j", F.round("value", 5).alias("value"))
 
 
+@query("s14_matrix_sink", sql("nodes", f"{_GRAPH}, b AS (SELECT i, semantic, base, adjacency FROM signed UNION ALL SELECT j, semantic, base, adjacency FROM signed) SELECT i, count(*) FILTER (adjacency <> 0) AS edges, round(sum(abs(adjacency)), 5) AS degree, round(sum(semantic), 5) AS semantic, round(sum(base), 5) AS base FROM b GROUP BY 1 HAVING count(*) FILTER (adjacency <> 0) > 0"))
+def s14_matrices(spark, sf):
+    """Row sums of the stored matrices, read from their buckets."""
+    stored = gs.store_matrices(gr.edge_algebra(*_graph(spark, sf)), buckets=8)
+    sums = stored.groupBy("i").agg(F.round(F.sum("semantic"), 5).alias("semantic"), F.round(F.sum("base"), 5).alias("base"))
+    return gs.degrees(stored).withColumn("degree", F.round("degree", 5)).join(sums, "i")
+
+
 def _spectrum(spark, sf):
     graph = _graph(spark, sf)
     return gr.eigenpairs(gr.laplacian(gr.edge_algebra(*graph)), 16, nodes=graph[0].select("segment_id"))

@@ -11,6 +11,7 @@ from ..operators import sequences as sq
 from ..operators import textindex as ti
 from ..oracle import sql
 from ..sources import files as fs
+from ..sources import provider as pv
 
 QUERIES, SQL = {}, {}
 
@@ -82,6 +83,15 @@ def s04_index(spark, sf):
     return fs.read_numbered(spark, path, "extra_info.task_id")
 
 
+@query("s22_context_provider", "SELECT p_partkey AS goal_index, ['region-guide'] AS skill_ids, (SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) FROM region) AS context FROM part")
+def s22(spark, sf):
+    """Every goal with the one context of a fixed provider: a text file that Spark has written."""
+    path = fs.scratch(spark, "context")
+    names = traces.read(spark, sf, "region").coalesce(1).orderBy("r_regionkey")
+    names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda r: r["r_name"]), "\n").alias("value")).write.text(path)
+    return pv.select_fixed(traces.goals(spark, sf).select("goal_index"), pv.provided(spark, "region-guide", pv.context_of(spark, path)))
+
+
 @query("s05_goal_range", "SELECT range AS goal_index, r::INTEGER AS repeat_id FROM range(5, 25), (VALUES (0), (1), (2)) t(r)")
 def s05(spark, sf):
     return fs.goal_range(spark, 5, 25, 200, (0, 1, 2))

@@ -601,3 +601,31 @@ def test_a_pool_reports_what_it_writes(spark, tmp_path):
     rows = spark.range(100).selectExpr("id", "id % 3 AS kind")
     report = fs.write_pool(rows, f"{tmp_path}/pool", n=F.count("*"), kinds=F.max("kind"))
     assert report == {"n": 100, "kinds": 2} and spark.read.parquet(f"{tmp_path}/pool").count() == 100
+
+
+def test_stored_matrices_are_summed_without_a_shuffle(spark):
+    from loomtrace.sources import graph_store as gs
+
+    edges = spark.createDataFrame([(1, 2, *[float(k) for k in range(7)]), (1, 3, *[0.5] * 6, 0.0), (2, 3, *[1.0] * 6, -2.0)], "i long, j long, " + ", ".join(f"{m} double" for m in gs.MATRICES))
+    stored = gs.store_matrices(edges, buckets=4)
+    assert stored.count() == 6
+    degrees = gs.degrees(stored)
+    assert {tuple(r) for r in degrees.collect()} == {(1, 1, 6.0), (2, 2, 8.0), (3, 1, 2.0)}
+    joined = stored.join(degrees, "i")
+    assert joined.count() == 6
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(degrees)
+    values, vectors = gs.store_spectrum(spark, np.array([7, 9]), np.array([0.0, 0.5]), np.eye(2))
+    assert {tuple(r) for r in values.collect()} == {(0, 0.0), (1, 0.5)} and {r.segment_id: r.vector for r in vectors.collect()} == {7: [1.0, 0.0], 9: [0.0, 1.0]}
+
+
+def test_a_fixed_context_is_a_source(spark, tmp_path):
+    from loomtrace.sources import provider as pv
+
+    (tmp_path / "guide.txt").write_text("  First look.\nThen act.\n")
+    rows = pv.provided(spark, "guide", pv.context_of(spark, f"file://{tmp_path}/guide.txt"))
+    assert [tuple(r) for r in rows.collect()] == [("guide", "First look.\nThen act.")]
+    assert pv.select_fixed(spark.range(3), rows).select("id", "skill_ids").collect()[0].skill_ids == ["guide"]
+    for skill, context in (("", "x"), ("guide", "  ")):
+        with pytest.raises(Exception, match="must not be empty"):
+            pv.provided(spark, skill, context).collect()
