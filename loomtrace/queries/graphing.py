@@ -16,6 +16,7 @@ from ..operators import retrieval as rt
 from ..operators import segmentation as sg
 from ..operators import sequences as sq
 from ..operators import snapshots as sn
+from ..operators import structural as sr
 from ..operators import textindex as ti
 from ..oracle import sql
 from ..sources import graph_store as gs
@@ -346,6 +347,48 @@ def g23(spark, sf):
     return old.unionByName(new).select("partition", *[F.round(c, 6).alias(c) for c in ("outcome_purity", "role_purity", "compactness")])
 
 
+_NEW = "CASE WHEN event_type IN (0, 1) THEN 100 WHEN event_type = 2 THEN 220 + outcome::BIGINT WHEN event_type = 3 THEN 230 + segment_id % 3 WHEN event_type IN (4, 5) THEN 200 + event_type * 10 + (embedding[1] > 0)::BIGINT ELSE 900 + event_type END"
+#: By its construction 0 and 1 are merged, 2 to 5 are split, and 4 loses too many segments.
+_PROPOSED = f"""nw AS (SELECT segment_id, {_NEW} AS b FROM nodes WHERE segment_id % 7 <> 0 AND NOT (event_type = 4 AND segment_id % 3 = 0)),
+  ol AS (SELECT segment_id, event_type::BIGINT AS a, 'a' || lpad((CASE WHEN event_type IN (0, 1) THEN 0 ELSE event_type END)::VARCHAR, 12, '0') AS component FROM nodes),
+  ev AS (SELECT component, a, b, outcome, segment_id % 4 AS role, embedding FROM ol JOIN nw USING (segment_id) JOIN nodes USING (segment_id)), kind AS (SELECT component, CASE WHEN count(DISTINCT a) = 1 AND count(DISTINCT b) > 1 THEN 'split' WHEN count(DISTINCT a) > 1 AND count(DISTINCT b) = 1 THEN 'merge' END AS action FROM ev GROUP BY 1),
+  ok AS (SELECT component FROM (SELECT component, count(*) AS n FROM ev GROUP BY 1) JOIN (SELECT component, count(*) AS m FROM ol GROUP BY 1) USING (component) JOIN kind USING (component) WHERE action IS NOT NULL AND n / m >= 0.8),
+  sides AS (SELECT 'old' AS side, a AS c, * FROM ev JOIN ok USING (component) UNION ALL SELECT 'new', b, * FROM ev JOIN ok USING (component)),
+  po AS (SELECT side, component, sum(top) / sum(n) AS v FROM (SELECT side, component, c, max(n) AS top, sum(n) AS n FROM (SELECT side, component, c, outcome, count(*) AS n FROM sides GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+  pr AS (SELECT side, component, sum(top) / sum(n) AS v FROM (SELECT side, component, c, max(n) AS top, sum(n) AS n FROM (SELECT side, component, c, role, count(*) AS n FROM sides GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+  ce AS (SELECT side, component, c, list(m ORDER BY d) AS centroid FROM (SELECT side, component, c, d, avg(embedding[d]) AS m FROM sides, range(1, 65) t(d) GROUP BY ALL) GROUP BY ALL),
+  pc AS (SELECT side, component, avg({_DOT.format(a="embedding", b="centroid")} / ({_NORM.format(a="embedding")} * {_NORM.format(a="centroid")})) AS v FROM sides JOIN ce USING (side, component, c) GROUP BY ALL),
+  it AS (SELECT * FROM (SELECT component AS item_id, round(n1.v - n0.v, 9) AS o1, round(r1.v - r0.v, 9) AS o2, round(c1.v - c0.v, 9) AS o3 FROM (SELECT * FROM po WHERE side = 'new') n1 JOIN (SELECT * FROM po WHERE side = 'old') n0 USING (component) JOIN (SELECT * FROM pr WHERE side = 'new') r1 USING (component) JOIN (SELECT * FROM pr WHERE side = 'old') r0 USING (component)
+    JOIN (SELECT * FROM pc WHERE side = 'new') c1 USING (component) JOIN (SELECT * FROM pc WHERE side = 'old') c0 USING (component)) WHERE least(o1, o2, o3) >= -1e-9 AND greatest(o1, o2, o3) > 1e-9),
+  fr AS ({_DEPTHS.format(third="AND b.o3 >= a.o3 ", more=" OR b.o3 > a.o3").replace("d AS (", "WITH RECURSIVE d AS (", 1)}),
+  found AS (SELECT item_id AS component, action, o1, o2, o3, front FROM it JOIN fr USING (item_id) JOIN kind ON component = item_id)"""
+
+
+def _proposed(spark, sf):
+    n = traces.nodes(spark, sf)
+    e, s = F.col("event_type"), F.col("segment_id")
+    number = (
+        F.when(e.isin(0, 1), 100).when(e == 2, 220 + F.col("outcome").cast("long")).when(e == 3, 230 + s % 3)
+        .when(e.isin(4, 5), 200 + e * 10 + (F.get("embedding", F.lit(0)) > 0).cast("long")).otherwise(900 + e)
+    )
+    new = n.where((s % 7 != 0) & ~((e == 4) & (s % 3 == 0))).select("segment_id", number.cast("long").alias("new_id"))
+    evidence = n.select("segment_id", "outcome", (s % 4).alias("event_type"), "embedding")
+    return sr.proposals(n.select("segment_id", e.cast("long").alias("old_id")), new, evidence, least_retention=0.1, least_purity=0.1)
+
+
+_GAINED = "round(o1, 6) AS outcome_gain, round(o2, 6) AS role_gain, round(o3, 6) AS compactness_gain"
+
+
+@query("g23_structural_proposals", sql("nodes", f"{_PROPOSED} SELECT component, action, {_GAINED}, front FROM found"))
+def g23_proposals(spark, sf):
+    return _proposed(spark, sf).select("component", "action", *[F.round(g, 6).alias(g) for g in sr.GAINS], "front")
+
+
+@query("t07_structural_selection", sql("nodes", f"{_PROPOSED} SELECT component, action, {_GAINED} FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY front, o1 DESC, o2 DESC, o3 DESC, component) AS place FROM found) WHERE place = 1"))
+def t07_selection(spark, sf):
+    return sr.selected(_proposed(spark, sf)).select("component", "action", *[F.round(g, 6).alias(g) for g in sr.GAINS])
+
+
 @query("g24_shadow_split", sql("nodes", "c AS (SELECT event_type, list(m ORDER BY d) AS centroid FROM (SELECT event_type, d, avg(embedding[d]) AS m FROM nodes, range(1, 65) t(d) WHERE event_type IN (0, 1, 2) GROUP BY 1, 2) GROUP BY 1) SELECT segment_id, arg_max(c.event_type, struct_pack(s := round(" + _DOT.format(a="n.embedding", b="centroid") + " / (" + _NORM.format(a="n.embedding") + " * " + _NORM.format(a="centroid") + "), 9), t := c.event_type)) AS child FROM nodes n, c WHERE n.event_type NOT IN (0, 1, 2) GROUP BY 1"))
 def g24(spark, sf):
     n = traces.nodes(spark, sf)

@@ -629,3 +629,36 @@ def test_a_fixed_context_is_a_source(spark, tmp_path):
     for skill, context in (("", "x"), ("guide", "  ")):
         with pytest.raises(Exception, match="must not be empty"):
             pv.provided(spark, skill, context).collect()
+
+
+def test_structural_proposals_are_gated_and_dominate(spark):
+    from loomtrace.operators import structural as sr
+
+    rows = []  # segment, old, new, outcome, event, vector
+    for k in range(40):
+        rows.append((k, 1, 10 + k % 2, float(k % 2), k % 2, [1.0, float(k % 2)]))  # a clean split
+        rows.append((100 + k, 2 + k % 2, 20, 1.0, 5, [1.0, 0.0]))  # a merge that changes nothing
+        rows.append((200 + k, 4, None if k < 10 else 30 + k % 2, float(k % 2), k % 2, [1.0, float(k % 2)]))  # a split that loses a quarter
+        rows.append((300 + k, 5 + k % 2, 40, float(k % 2), 0, [1.0, float(k % 2)]))  # a merge that mixes
+        rows.append((400 + k, 7, 50, 1.0, 0, [0.0, 1.0]))  # goes on
+    t = spark.createDataFrame(rows, "segment_id long, old_id long, new_id long, outcome double, event_type long, embedding array<double>")
+    old, new = t.select("segment_id", "old_id"), t.where("new_id is not null").select("segment_id", "new_id")
+    found = sr.proposals(old, new, t.select("segment_id", "outcome", "event_type", "embedding"))
+    assert [(r.component, r.action, r.outcome_gain, r.role_gain, r.front) for r in found.collect()] == [("a000000000001", "split", 0.5, 0.5, 1)]
+    looser = sr.proposals(old, new, t.select("segment_id", "outcome", "event_type", "embedding"), coverage=0.7)
+    assert {r.component for r in looser.collect()} == {"a000000000001", "a000000000004"} and sr.selected(looser).collect()[0].component == "a000000000001"
+    with pytest.raises(ValueError, match="without evidence"):
+        sr.proposals(old, new, t.where("segment_id > 3").select("segment_id", "outcome", "event_type", "embedding"))
+
+
+def test_shadow_split_covers_its_source(spark):
+    from loomtrace.operators import structural as sr
+
+    v = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [1.0, 0.1], 4: [0.1, 1.0], 5: [1.0, 1.0], 6: [1.0, 0.0], 7: [0.0, 1.0]}
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    members, centres = sr.shadow_split(
+        t([(1,), (2,), (3,), (4,), (5,)], "segment_id long"), t([(1, "t1", "x"), (2, "t1", "y"), (6, "old", "x"), (7, "new", "y")], "segment_id long, trajectory_id string, child string"), t([("t1",), ("old",)], "trajectory_id string"),
+        t(list(v.items()), "segment_id long, vector array<double>"), t([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "child string, centroid array<double>"),
+    )
+    assert {tuple(r) for r in members.collect()} == {("x", 1, False), ("y", 2, False), ("y", 7, False), ("x", 3, True), ("y", 4, True), ("y", 5, True)}
+    assert {r.child: r.centroid for r in centres.collect()} == {"x": pytest.approx([1.0, 0.05]), "y": pytest.approx([0.275, 1.0])}
