@@ -181,20 +181,26 @@ def format_records(records: DataFrame, *, key: str = "id", record: str = "record
     turns = F.coalesce(canonical_turns(F.col("v"), F.col("layout"), F.col("long")), F.array().cast(TURNS))
     marked = F.transform(turns, lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     known = printed.select(key, "fingerprint", "layout", marked.alias("turns"))
-    heads = F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n")))
+    head = lambda t: F.length(t["role"]) + (len(START) + 1)
     pieces = F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n")))
-    none = F.array().cast("array<struct<start:int,length:int>>")
-
-    def place(acc: Column, i: Column) -> Column:
-        t, head = F.element_at("turns", i + 1), F.element_at("heads", i + 1)
-        start = acc["at"] + F.length(head)
-        span = F.array(F.struct(start.alias("start"), F.length(t["text"]).alias("length")))
-        spans = F.when(t["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((start + F.length(t["text"]) + len(END) + 1).alias("at"), spans.alias("spans"))
-
-    index = F.when(F.size("turns") > 0, F.sequence(F.lit(0), F.size("turns") - 1)).otherwise(F.array().cast("array<int>"))
-    spans = F.aggregate(index, F.struct(F.lit(0).alias("at"), none.alias("spans")), place, lambda a: a["spans"])
-    return known.withColumn("heads", heads).select(key, "fingerprint", "layout", F.array_join(pieces, "").alias("formatted"), spans.alias("loss"))
+    sizes = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.length(t["text"]).alias("length"), (t["role"] == "assistant").alias("loss")))
+    sized = known.select(key, "fingerprint", "layout", F.array_join(pieces, "").alias("formatted"), sizes.alias("sizes"))
+    widths = sized.withColumn("widths", F.transform("sizes", lambda z: z["head"] + z["length"] + (len(END) + 1)))
+    placed = widths.withColumn("starts", running(F.col("widths")))
+    spans = F.transform(F.filter(F.arrays_zip("sizes", "starts"), lambda z: z["sizes"]["loss"]), lambda z: F.struct((z["starts"] + z["sizes"]["head"]).alias("start"), z["sizes"]["length"].alias("length")))
+    return placed.select(key, "fingerprint", "layout", "formatted", spans.alias("loss"))
+
+
+def running(numbers: Column) -> Column:
+    """For each number of an array, a column of its own, the sum of those before it. A fold that appends copies what it has so far, so it runs within blocks of about
+    the square root of the array's length, and over the blocks."""
+    start = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    before = lambda xs: F.aggregate(xs, start(), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    width = F.greatest(F.ceil(F.sqrt(F.size(numbers))), F.lit(1)).cast("int")
+    last = F.floor((F.size(numbers) - 1) / width).cast("int")
+    blocks = F.when(F.size(numbers) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(numbers, k * width + 1, width))).otherwise(F.array().cast("array<array<int>>"))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+    return F.flatten(F.zip_with(F.transform(blocks, before), before(totals), lambda xs, at: F.transform(xs, lambda x: x + at)))
 
 
 def parse_formatted(formatted: Column) -> Column:
@@ -230,10 +236,18 @@ def records_of(turns: DataFrame) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """The contract's columns, read back from formatted text and loss spans."""
+    """The contract's columns, read back from formatted text and loss spans. A span is cut from the piece of text that it lies in, so that no turn
+    is looked for from the text's beginning; spans that lie elsewhere than in the assistant's pieces raise."""
     turns = F.col("turns")
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    back = formatted.withColumn("turns", parse_formatted(F.col("formatted"))).withColumn("loss_text", loss)
+    bodies = formatted.withColumn("bodies", F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda b: b != ""))
+    located = bodies.withColumn("widths", F.transform("bodies", lambda b: F.length(b) + len(START))).withColumn("at", running(F.col("widths")))
+    theirs = located.withColumn("theirs", F.filter(F.arrays_zip("bodies", "at"), lambda z: F.substring_index(z["bodies"], "\n", 1) == "assistant"))
+    ok = F.size("theirs") == F.size("loss")
+    inside = lambda z: F.substring(z["theirs"]["bodies"], z["loss"]["start"] - z["theirs"]["at"] - (len(START) - 1), z["loss"]["length"])
+    fits = lambda z: (z["loss"]["start"] >= z["theirs"]["at"] + len(START)) & (z["loss"]["start"] + z["loss"]["length"] <= z["theirs"]["at"] + len(START) + F.length(z["theirs"]["bodies"]))
+    cut = F.transform(F.arrays_zip("theirs", "loss"), lambda z: F.when(fits(z), unescape(inside(z))).otherwise(F.raise_error(F.lit("a loss span lies outside of its turn")).cast("string")))
+    loss = F.when(ok, F.array_join(cut, "")).otherwise(F.raise_error(F.lit("loss spans are not those of the assistant's turns")).cast("string"))
+    back = theirs.withColumn("turns", parse_formatted(F.col("formatted"))).withColumn("loss_text", loss)
     whole = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),

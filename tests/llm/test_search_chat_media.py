@@ -197,3 +197,17 @@ def test_records_without_a_layout_raise_in_the_query(spark):
     bad = spark.createDataFrame([(1, "not json")], "id long, record string")
     with pytest.raises(Exception, match="no known layout"):
         chat_format.known_only(chat_format.format_records(bad)).collect()
+
+
+def test_a_conversation_of_very_many_turns_takes_linear_time(spark):
+    import time
+
+    n = 200_000
+    said = F.concat(F.lit("some words "), F.col("id").cast("string"))
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    began = time.time()
+    done = chat_format.known_only(chat_format.format_records(chat_format.records_of(turns).withColumnRenamed("conv_id", "id"), key="id"))
+    row = chat_format.digests(done.withColumnRenamed("id", "conv_id")).first()
+    loss = "".join(f"some words {k}" for k in range(1, n, 2))
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert time.time() - began < 90
