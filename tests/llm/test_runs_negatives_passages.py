@@ -230,3 +230,15 @@ def test_op13_by_its_definition(spark):
 def test_matching_statistics():
     automaton = SuffixAutomaton([[1, 2, 3, 1, 2], [2, 3, 4]])
     assert [m for m, _ in automaton.matching_statistics([1, 2, 3, 4, 9, 3, 1, 2, 2])] == [1, 2, 3, 3, 0, 1, 2, 3, 1]
+
+
+def test_hard_negatives_of_far_clusters_are_not_sought_elsewhere(spark, monkeypatch):
+    """Where clusters lie far apart, bounds keep most candidates from most groups."""
+    rng = np.random.default_rng(2)
+    centres = 40 * np.eye(6)
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=6) * 0.1], i // 6 % 2) for i in range(600)]
+    sent, real = [], hard_negatives._served
+    monkeypatch.setattr(hard_negatives, "_served", lambda cells, groups, same, home: (sent.append((home, real(cells, groups, same, home).count(), cells.count() * groups.count())), real(cells, groups, same, home))[1])
+    got = sorted(tuple(r)[:6] for r in hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), every=10, positives=2, negatives=2, low=90, high=100).collect())
+    assert got == mined_by_brute_force(rows, 10, 2, 2, 90, 100) and got
+    assert sum(n for home, n, _ in sent if not home) < sum(n for home, _, n in sent if not home) / 2
