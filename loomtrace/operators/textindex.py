@@ -273,7 +273,7 @@ def rank(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
 
     def complete(rows: DataFrame) -> DataFrame:
         """The whole scores of (query_id, row): all terms of the query, from the postings of these rows alone."""
-        near = index.impacts.select("row", "doc", "term", "impact").join(rows.select("row").distinct(), "row", "left_semi")
+        near = index.impacts.select("row", "doc", "term", "impact").join(asked.select("term").distinct(), "term", "left_semi").join(rows.select("row").distinct(), "row", "left_semi")
         return near.join(rows.join(asked, "query_id").select("query_id", "row", "term", "idf"), ["row", "term"]).groupBy("query_id", "row", "doc").agg(F.sum(_part()).alias("sum"))
 
     # A first look: the topmost blocks of each term that hold k rows, where they are few; the whole scores of what is best there.
