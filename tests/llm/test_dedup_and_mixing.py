@@ -21,25 +21,72 @@ def reach(n, pairs):
     return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("bits, full", [(6, 16_384), (8, 16), (12, 16_384)])
-def test_near_links_find_every_pair_within_four_bits(spark, bits, full):
-    rng = np.random.default_rng(bits)
-    base = rng.integers(0, 2**63, 25, dtype=np.uint64) * np.uint64(2)
-    prints = set(base.tolist())
-    for b in base.tolist():
-        for flips in (1, 2, 3, 4, 5, 6):
-            x = b
-            for k in rng.choice(64, flips, replace=False).tolist():
-                x ^= 1 << k
-            prints.add(x)
-    prints |= {0, 1, 2**64 - 1}
-    u = np.array(sorted(prints), np.uint64)
-    links = simhash_dedup.near_links(spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp long"), n=len(u), bits=bits, full=full).toPandas()
+def some_prints(seed, centres, most):
+    rng = np.random.default_rng(seed)
+    base = (rng.integers(0, 2**63, centres, dtype=np.uint64) * np.uint64(2)).tolist()
+    prints = {0, 1, 2**64 - 1, *base}
+    for x in base:
+        for flips in range(1, most + 1):
+            prints.add(x ^ sum(1 << k for k in rng.choice(64, flips, replace=False).tolist()))
+    return np.array(sorted(prints), np.uint64)
+
+
+def check_links(spark, u, radius, **how):
+    links = simhash_dedup.near_links(spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp long"), n=len(u), radius=radius, **how).toPandas()
     at = {int(x): i for i, x in enumerate(u.view(np.int64))}
-    want = reach(len(u), [(i, j) for i in range(len(u)) for j in range(i) if bin(int(u[i] ^ u[j])).count("1") <= 4])
+    apart = np.bitwise_count(u[:, None] ^ u[None, :])
+    want = reach(len(u), np.argwhere(np.triu(apart <= radius, 1)).tolist())
     assert reach(len(u), [(at[a], at[b]) for a, b in zip(links.a, links.b)]) == want
 
 
+@pytest.mark.parametrize("bits, full, most", [(6, 1 << 23, 1 << 21), (8, 1 << 23, 64), (12, 1 << 23, 1 << 21), (12, 3000, 1 << 21)])
+def test_near_links_find_every_pair_within_four_bits(spark, bits, full, most):
+    """Also where a task splits its variants, and where the shuffle deals those of full heads by further bits."""
+    check_links(spark, some_prints(bits, 25, 6), 4, bits=bits, full=full, most=most)
+
+
+@pytest.mark.parametrize("radius", [0, 2, 6])
+def test_near_links_of_other_radii(spark, radius):
+    check_links(spark, some_prints(radius, 8, 8), radius, bits=8)
+
+
+def test_radii_that_cannot_be_halved_raise(spark):
+    with pytest.raises(ValueError):
+        simhash_dedup.near_links(spark.createDataFrame([], "fp long"), n=0, radius=3)
+
+
+def test_a_dense_head_takes_bounded_memory():
+    """10,000 fingerprints within three bits of one centre, all of one head: 14 million variants, made two million at a time."""
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 2**63))
+    u = np.array(sorted({centre ^ sum(1 << k for k in rng.choice(52, 3, replace=False).tolist()) for _ in range(10_000)}), np.uint64)
+    head = np.full(len(u), u[0] >> np.uint64(52))
+    made = [len(a) for a, _ in simhash_dedup._meetings(head, np.arange(len(u)), u, 12, 2, simhash_dedup.AT_ONCE)]
+    assert max(made) <= simhash_dedup.AT_ONCE < sum(made)
+    # Three bits from one centre: any two within four bits share one of the three, and all hang together.
+    a, b = simhash_dedup.meet(head, u, 12)
+    assert len(set(a.tolist())) == 1 and len(b) == len(u) - 1
+
+
+def test_near_duplicates_by_other_shingles_and_radius(spark):
+    """The parameters reach the fingerprints and the links: components are those of a brute force with the same ones."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for edits in (0, 1, 2, 4):
+            changed = list(words)
+            for k in rng.sample(range(60), edits):
+                changed[k] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(changed))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for words, radius in ((2, 4), (5, 6)):
+        prints = [simhash_dedup.fingerprint(t.encode(), words) for t in texts]
+        want = reach(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= radius])
+        got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs, words_per_shingle=words, radius=radius).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_fingerprint_definition():
     import xxhash
 
