@@ -24,6 +24,11 @@ from loomtrace.llm import mixing, packing, shared, simhash_dedup, suffix_dedup,
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Words of a shingle in the near-copies stage. A changed word changes as many shingles, so short ones bring fingerprints of near
+#: copies closer at the same radius, which sets the cost: of pairs that share 0.8 or more of their five-word shingles, two words
+#: link over twice as many as the four of operator 10's own query.
+SHINGLE = 2
+
 #: Identities that are broadcast at most (16 bytes each); more of them are joined by a shuffle.
 FEW = 1_000_000
 
@@ -50,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The rows to drop are few beside those to keep, so they are what is joined: a broadcast while small, else one shuffle."""
     rows = _identified(docs)
-    found = shared.staged(simhash_dedup.near_duplicates(rows, keep=("uid",)), "groups")
+    found = shared.staged(simhash_dedup.near_duplicates(rows, words_per_shingle=SHINGLE, keep=("uid",)), "groups")
     lead = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("lead")
     leads = found.groupBy("group").agg(lead, F.count("*").alias("n")).where("n > 1").select("group", F.col("lead.uid").alias("lead"))
     leads = shared.staged(leads, "leads")
