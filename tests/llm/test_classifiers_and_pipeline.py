@@ -149,7 +149,7 @@ def test_pipeline_stages(spark, odd_docs, small):
 
     alone = _written(spark, stages["simhash_near_dedup"](spark, clean, small), "alone")
     rows = sorted(clean.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
-    prints = [simhash_dedup.fingerprint((r.text or "").encode()) for r in rows]
+    prints = [simhash_dedup.fingerprint((r.text or "").encode(), corpus_pipeline.SHINGLE) for r in rows]
     roots = reach(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4])
     assert alone.columns == list(columns) and tuples(alone) == Counter(tuple(rows[i][c] for c in columns) for i in set(roots))
 
