@@ -57,14 +57,17 @@ def branch_graph(decisions: DataFrame, reward: str = "reward") -> tuple[DataFram
     for field, weight in PERCENT.items():
         percent = percent + F.when(F.col(f"source_key.{field}").eqNullSafe(F.col(f"target_key.{field}")), weight).otherwise(0)
     e = e.withColumn("support", F.coalesce("support", F.lit(0))).withColumn("semantic", percent / 100).withColumn("strength", F.coalesce("strength", F.lit(0.0))).withColumn("outcome", vx.cosine(F.col("source_bands"), F.col("target_bands"), 0.0))
-    weight = F.when(F.col("support") > 0, 0.4 * F.col("semantic") + 0.4 * F.col("strength") + 0.2 * F.col("outcome")).otherwise(0.6 * F.col("semantic") + 0.4 * F.col("outcome"))
+    # Tenths of a percentage are whole, so no rounding comes before the division.
+    weight = F.when(F.col("support") > 0, percent * 4 / 10 / 100 + 0.4 * F.col("strength") + 0.2 * F.col("outcome")).otherwise(percent * 6 / 10 / 100 + 0.4 * F.col("outcome"))
     return nodes, e.withColumn("weight", weight)
 
 
 def signed(edges: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """Symmetric signed adjacency: positive = weight (exact + partial / 2), negative = weight low; unobserved edges take the geometric mean of their ends' bands."""
+    """Symmetric signed adjacency: positive = weight (exact + partial / 2), negative = weight low; unobserved edges take the geometric mean of their ends' bands.
+
+    The bands are weighed together, so what differs by less than a product's rounding stays an entry."""
     band = lambda i: F.when(F.col("support") > 0, F.get("bands", F.lit(i))).otherwise(F.sqrt(F.get("source_bands", F.lit(i)) * F.get("target_bands", F.lit(i))))
-    a = edges.select("source", "target", (F.col("weight") * (band(2) + 0.5 * band(1)) - penalty * F.col("weight") * band(0)).alias("v"))
+    a = edges.select("source", "target", (F.col("weight") * (band(2) + 0.5 * band(1) - penalty * band(0))).alias("v"))
     both = a.unionByName(a.select(F.col("target").alias("source"), F.col("source").alias("target"), "v"))
     return both.groupBy("source", "target").agg((F.sum("v") / 2).alias("adjacency")).where("adjacency <> 0")
 
