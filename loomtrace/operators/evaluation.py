@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -57,12 +58,13 @@ def task_means(episodes: DataFrame, measure: Column) -> DataFrame:
 
 
 def mcnemar(wins: Column, losses: Column) -> Column:
-    """Exact two-sided p: twice the binomial tail, at most 1. Binomials are products, so nothing overflows."""
+    """Exact two-sided p: twice the binomial tail, at most 1. The tail is its largest term, as a sum of logarithms, times the sum of all terms over
+    it, so nothing overflows or underflows however many pairs differ."""
     n, k = wins + losses, F.least(wins, losses)
-    step = lambda s, i: F.struct((s["c"] * (n - i + 1) / i).alias("c"), (s["sum"] + s["c"] * (n - i + 1) / i).alias("sum"))
+    step = lambda s, i: F.struct((s["log"] + F.log((n - i + 1) / i)).alias("log"), (s["sum"] * i / (n - i + 1) + 1).alias("sum"))
     seq = F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    one = F.pow(F.lit(0.5), n.cast("double"))
-    tail = F.aggregate(seq, F.struct(one.alias("c"), one.alias("sum")), step, lambda s: s["sum"])
+    start = F.struct((n * math.log(0.5)).alias("log"), F.lit(1.0).alias("sum"))
+    tail = F.aggregate(seq, start, step, lambda s: F.exp(s["log"]) * s["sum"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
