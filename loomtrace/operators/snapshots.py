@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,17 +146,43 @@ def violations(s: Snapshot) -> DataFrame:
     return out
 
 
-def digest_tree(rows: DataFrame, *, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def _hashed(level: DataFrame) -> DataFrame:
+    """(name, line, n) of each bucket of (bucket, name, line, n): its lines in the order of their names, hashed as they stream by, so a bucket may be
+    of any size."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, total, running = None, 0, hashlib.sha256()
+        done = lambda: pa.RecordBatch.from_pylist([{"name": bucket, "line": running.hexdigest(), "n": total}])
+        for b in batches:
+            for name, line, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "line", "n"))):
+                if name != bucket:
+                    if bucket is not None:
+                        yield done()
+                    bucket, total, running = name, 0, hashlib.sha256()
+                elif total:
+                    running.update(b"\n")
+                running.update(line.encode())
+                total += n
+        if bucket is not None:
+            yield done()
+
+    return level.repartition("bucket").sortWithinPartitions("bucket", "name").select("bucket", "line", "n").mapInArrow(stream, "name string, line string, n long")
+
+
+def digest_tree(rows: DataFrame, *, leaf_rows: int = LEAF_ROWS, deepest: int | None = None) -> DataFrame:
     """One row (digest, n): SHA-256 of a table's rows whatever their order, and their number. Rows are told by their canonical JSON over the
-    columns in the order of their names; nulls are values."""
+    columns in the order of their names; nulls are values. ``deepest`` bounds the tree's levels of buckets; buckets then hold more rows."""
     row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}), 256)
     entries = rows.select(row.alias("d")).groupBy("d").agg(F.count("*").alias("n"))
     distinct, depth = entries.count(), 0
-    while distinct > leaf_rows * 256**depth:
+    while distinct > leaf_rows * 256**depth and (deepest is None or depth < deepest):
         depth += 1
     # Entries are (name, digest, n); each level hashes those whose names begin alike.
     level = entries.select(F.col("d").alias("name"), F.concat_ws(":", "d", "n").alias("line"), "n")
     for k in range(depth, -1, -1):
+        if k == depth == deepest:  # buckets of any size
+            level = _hashed(level.select(F.substring("name", 1, 2 * k).alias("bucket"), "name", "line", "n"))
+            continue
         lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "line"))), lambda e: e["line"]), "\n")
         level = level.groupBy(F.substring("name", 1, 2 * k).alias("name")).agg(F.sha2(lines, 256).alias("line"), F.sum("n").alias("n"))
     empty = rows.sparkSession.range(1).select(F.lit(hashlib.sha256(b"").hexdigest()).alias("digest"), F.lit(0).cast("long").alias("n"))
