@@ -235,7 +235,8 @@ def bootstrap_pareto(pairs: DataFrame, *, samples: int, seed: int, least_exposur
     tasks = numbered(pairs.select("sample_id").distinct(), "sample_id", name="task")
     n = tasks.count()
     draws = resample_counts(spark, n, samples, seed)
-    rows = pairs.join(tasks, "sample_id").join(draws, "task")
+    # What draws come from is tiny, so a plan without this hint broadcasts them.
+    rows = pairs.join(tasks, "sample_id").join(draws.hint("merge"), "task")
     b, c, t = F.col("base_success").cast("int"), F.col("cand_success").cast("int"), F.col("times")
     mean = lambda x: F.sum(x * t) / F.sum(t)
     sampled = rows.groupBy("b", "bundle").agg(mean(c).alias("performance"), mean(c - b).alias("gain"), mean(guarded_saving()).alias("saving"))

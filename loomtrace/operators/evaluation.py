@@ -125,7 +125,7 @@ def bootstrap_means(tasks: DataFrame, value: str = "value", *, samples: int = 10
         raise ValueError("no tasks to resample")
     if n > held:
         placed = numbered(tasks.select(order, F.col(value).cast("double").alias("v")), order, name="task")
-        drawn = resample_counts(spark, n, samples, seed).join(placed, "task")
+        drawn = resample_counts(spark, n, samples, seed).hint("merge").join(placed, "task")
         return drawn.groupBy("b").agg((F.sum(F.col("v") * F.col("times")) / n).alias("mean"))
     values = np.array([r[0] for r in tasks.orderBy(order).select(F.col(value).cast("double")).collect()])
     shared = spark.sparkContext.broadcast(values)
