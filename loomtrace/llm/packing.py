@@ -32,7 +32,9 @@ from . import shared
 
 #: Words that a worker remembers at most, and the letters of the longest: beyond it the table starts anew, after a slice of
 #: texts long words are forgotten, so what is kept is bounded in bytes, too.
-CACHE_ENTRIES, LONGEST_WORD = 600_000, 64
+CACHE_ENTRIES, LONGEST_WORD = 200_000, 64
+#: Texts that a worker has as objects at once.
+SLICE = 256
 #: The vocabulary's pattern and word-end mark.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -203,9 +205,9 @@ def pack(
                 serial += 1
 
             key_type = b.column("k").type
-            keys, texts = b.column("k").to_pylist(), b.column("t").to_pylist()
-            for at in range(0, len(texts), 1024):
-                for k, ids in zip(keys[at : at + 1024], tok.encode(texts[at : at + 1024])):
+            for at in range(0, b.num_rows, SLICE):
+                some = b.slice(at, SLICE)
+                for k, ids in zip(some.column("k").to_pylist(), tok.encode(some.column("t").to_pylist())):
                     ids += tail
                     row += 1
                     total = len(ids) // 4
