@@ -49,7 +49,7 @@ def s01(spark, sf):
 
 def _episode_files(spark, rows):
     path = fs.scratch(spark, "episodes")
-    rows.write.option("maxRecordsPerFile", 1).json(path)  # one file an episode
+    fs.write_episode_files(rows, path)
     return fs.read_episode_files(spark, path).select("trajectory_id", F.size("steps").cast("long").alias("n_steps"))
 
 
@@ -57,7 +57,7 @@ def _episode_files(spark, rows):
 @query("s02_episode_files_all", sql("steps", "SELECT trajectory_id, count(*) AS n_steps FROM steps GROUP BY 1"))
 def s02(spark, sf):
     """Every episode; both names are of one query."""
-    return _episode_files(spark, nested(spark, sf).repartition("trajectory_id"))
+    return _episode_files(spark, nested(spark, sf))
 
 
 @query("s03_recursive_results", sql("episodes", "SELECT method, count(*) AS n, sum(steps)::BIGINT AS steps FROM episodes GROUP BY 1"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import validation as va
-from ..staging import new_path
+from ..staging import mounted, new_path
 
 STEP = "struct<step_index:int,event_type:string,k:int,reward:double>"
 TRAJECTORY = f"trajectory_id string, sample_id long, method string, repeat_id int, primary_score double, steps array<{STEP}>"
@@ -32,9 +36,42 @@ def write_jsonl(rows: DataFrame, path: str, order: str = "trajectory_id") -> Non
     rows.orderBy(order).write.mode("overwrite").json(path)
 
 
+def write_episode_files(rows: DataFrame, path: str, key: str = "trajectory_id") -> None:
+    """One JSON document a file; a repeated id raises.
+
+    On a mounted folder tasks write the files by themselves, named by the hash of the id, in folders by its first digits: Spark's writer starts
+    several processes a file there, to set its permissions and those of its checksum. A file appears as a whole, and a task that is repeated
+    writes the same again. In other stores Spark's writer makes a file a row."""
+    rows = rows.select(F.sha2(key, 256).alias("name"), F.to_json(F.struct(*rows.columns)).alias("value")).repartition("name").sortWithinPartitions("name")
+    folder = mounted(rows.sparkSession, path)
+    if folder is None:
+        va.require_empty(va.duplicates(rows, "name"), f"duplicate {key}")
+        rows.select("value").write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+        return
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = "", 0
+        for part in parts:
+            for name, value in zip(part.column("name").to_pylist(), part.column("value").to_pylist()):
+                if name == last:
+                    raise ValueError(f"duplicate {key}")
+                at = f"{folder}/{name[:2]}"
+                if name[:2] != last[:2]:
+                    os.makedirs(at, exist_ok=True)
+                last, n, hidden = name, n + 1, f"{at}/.{name}-{uuid.uuid4().hex}"
+                with open(hidden, "wb") as f:
+                    f.write(value.encode())
+                os.replace(hidden, f"{at}/{name}.json")
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    os.makedirs(folder, exist_ok=True)  # no rows, no task that makes it
+
+
 def read_episode_files(spark: SparkSession, path: str, schema: str = TRAJECTORY) -> DataFrame:
     """One JSON document a file, with the file's name, in no order."""
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,txt}")
+    return files.json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
 def read_results(spark: SparkSession, root: str, schema: str, name: str = "*.json") -> DataFrame:
