@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..operators import validation as va
 from ..staging import mounted, new_path
@@ -69,11 +72,69 @@ def write_episode_files(rows: DataFrame, path: str, key: str = "trajectory_id")
 
 
 def read_episode_files(spark: SparkSession, path: str, schema: str = TRAJECTORY) -> DataFrame:
-    """One JSON document a file, with the file's name, in no order."""
+    """One JSON document a file, with the file's name, in no order.
+
+    On a mounted folder the driver lists the folders in it alone; tasks list and read what lies in them, so that no file has a status on the
+    driver. In other stores Spark's reader lists every file there."""
+    folder = mounted(spark, path)
+    if folder is not None:
+        return _read_mounted(spark, folder, schema)
     files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,txt}")
     return files.json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+#: Bytes of files that a task reads before it passes them on.
+READ_BYTES = 4 << 20
+
+
+def _read_mounted(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What Spark's reader gives of the JSON documents under a folder, by tasks that list and read a folder each."""
+    seen = lambda name: not name.startswith(("_", "."))
+    with os.scandir(folder) as entries:
+        parts = sorted(e.path for e in entries if seen(e.name) and e.is_dir())
+    # What lies in the folder itself is one more part.
+    places = spark.createDataFrame([(folder, False), *((p, True) for p in parts)], "at string, deep boolean").repartition(len(parts) + 1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, deep in zip(b.column("at").to_pylist(), b.column("deep").to_pylist()):
+                held, names, texts = 0, [], []
+                for file in _files(at, deep):
+                    with open(file, "rb") as f:
+                        raw = f.read()
+                    held += len(raw)
+                    names.append(_ASKEW.sub(lambda c: quote(c[0], safe=""), os.path.basename(file)))
+                    texts.append(raw.decode(json.detect_encoding(raw), "replace"))
+                    if held >= READ_BYTES:
+                        yield pa.RecordBatch.from_pydict({"file": names, "value": texts})
+                        held, names, texts = 0, [], []
+                if names:
+                    yield pa.RecordBatch.from_pydict({"file": names, "value": texts})
+
+    texts = places.mapInArrow(read, "file string, value string").where(F.trim(F.translate("value", "\t\r\n", "   ")) != "")
+    kind = spark.createDataFrame([], schema).schema
+    none = F.array(F.lit(None).cast(kind))  # a malformed document gives a row of nulls
+    rows = texts.select("file", F.explode(F.coalesce(F.from_json("value", ArrayType(kind)), none)).alias("r"))
+    return rows.select("r.*", "file")
+
+
+#: What a file's name doesn't keep as it is in its URI.
+_ASKEW = re.compile(r"[^\w\x80-\U0010ffff!$&'()*+,;=:@~.-]", re.ASCII)
+
+
+def _files(at: str, deep: bool) -> Iterator[str]:
+    """JSON and text files in a folder, and in those below it."""
+    with os.scandir(at) as entries:
+        for e in entries:
+            if e.name.startswith(("_", ".")):
+                continue
+            if e.is_dir():
+                if deep:
+                    yield from _files(e.path, True)
+            elif e.name.endswith((".json", ".txt")):
+                yield e.path
+
+
 def read_results(spark: SparkSession, root: str, schema: str, name: str = "*.json") -> DataFrame:
     """All result files under a folder."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
