@@ -57,16 +57,21 @@ def deduplicated(spark, sf):
 
 
 def _shuffled(spark, sf, n=2):
-    """The events in ``n`` files that know no order, and a last one far behind them in time: it lets the watermark pass them all."""
+    """The events in ``n`` batches of files that know no order, and a last one far behind them in time: it lets the watermark pass them all."""
     from ..sources.files import scratch
 
     path = scratch(spark, "shuffled")
     e = traces.read(spark, sf, "events")
+    mixed = F.xxhash64("event_id", F.lit(1))
+    files = 1
     for k in range(n):
-        e.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == k).coalesce(1).sortWithinPartitions(F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(path)
+        # Adaptive execution makes as many files as the rows need, so no task has a whole batch.
+        part = e.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == k).repartition(mixed).sortWithinPartitions(mixed)
+        part.write.mode("append").parquet(path)
+        files = max(files, -(-len(spark.read.parquet(path).inputFiles()) // (k + 1)))
     last = e.agg((F.max("ts") + F.expr("interval 1000 days")).alias("ts"))
     last.select(F.lit(-1).cast("long").alias("event_id"), "ts", *[F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns if c not in ("event_id", "ts")]).select(*e.columns).write.mode("append").parquet(path)
-    return st.stream(spark, path, files=1)
+    return st.stream(spark, path, files=files)
 
 
 @query("st01_streaming_state", sql("machine", "SELECT trajectory_id, step_index::BIGINT AS step_index, event AS shop_event FROM machine WHERE step_index >= 0"))
